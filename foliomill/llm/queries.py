@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, simhash, toxicity
+from . import ann, bpe, exact_dedup, mixing, quality, simhash, toxicity
 from .shared import fold
 
 
@@ -29,6 +29,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate_once(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = fold(F.col("doc_id"), 5) != 0
+    scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learn, threshold=0.3)
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), digests=True)
 
@@ -54,6 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
