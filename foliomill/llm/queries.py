@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, quality, simhash, toxicity
+from . import ann, bpe, exact_dedup, langid, mixing, quality, simhash, toxicity
 from .shared import fold
 
 
@@ -39,6 +39,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), digests=True)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold(F.col("doc_id"), 5) != 0)
+    return langid.identify(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
+    "op4_language": op4_language,
     "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
