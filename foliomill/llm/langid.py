@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import SortedIndex, materialise
 
 ORDER = 4
 TRAIN_DOCS = 1_000
@@ -34,7 +34,6 @@ DISCOUNT = 0.75
 #: Share of a language's training texts whose cross-entropy is accepted.
 ACCEPTED = 0.995
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-SLOTS_PER_ENTRY = 4
 
 
 def _letter_table() -> np.ndarray:
@@ -96,34 +95,16 @@ def _reach(begins: np.ndarray, n: int) -> np.ndarray:
 class Level:
     """Sorted hashes of one order; log10 probability and log10 back-off weight (of the n-gram as context) by language."""
 
-    keys: np.ndarray
+    index: SortedIndex
     logp: np.ndarray
     back: np.ndarray
-    slots: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
-    def index(self) -> None:
-        """Where to start in the sorted keys for each value of the top bits: two probes settle nearly all look-ups."""
-        bits = max(1, math.ceil(math.log2(max(2, SLOTS_PER_ENTRY * len(self.keys)))))
-        self.shift = np.uint64(64 - bits)
-        edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
-        self.slots = np.searchsorted(self.keys, edges).astype(np.int32)
+    @property
+    def keys(self) -> np.ndarray:
+        return self.index.keys
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash in the sorted keys, -1 for those not in it."""
-        if not len(self.keys):
-            return np.full(len(h), -1)
-        top = len(self.keys) - 1
-        at = self.slots[h >> self.shift]
-        out = np.full(len(h), -1)
-        open_ = np.arange(len(h))
-        want = h
-        while len(open_):
-            here = self.keys[np.minimum(at, top)]
-            hit = here == want
-            out[open_[hit]] = at[hit]
-            go = (here < want) & (at < top)
-            open_, at, want = open_[go], at[go] + 1, want[go]
-        return out
+        return self.index.find(h)
 
 
 @dataclass
@@ -213,8 +194,7 @@ def build(languages: list[str], counts: dict[tuple[int, int], tuple[np.ndarray,
                 _, _, groups, weight = tables[order + 1][lang]
                 known = np.isin(groups, keys)
                 back[np.searchsorted(keys, groups[known]), lang] = np.log10(np.maximum(weight[known], 1e-6))
-        levels.append(Level(keys, logp, back))
-        levels[-1].index()
+        levels.append(Level(SortedIndex(keys), logp, back))
     _fill(levels, counts, unseen, k)
     return LanguageModel(languages, levels, unseen.astype(np.float32), np.full(k, np.inf))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, materialise, text_slices, word_bounds
+from .shared import LOWER, materialise, run_hashes, text_slices, word_bounds
 
 NAMES = (
     "log_words", "word_length", "upper", "digits", "marks", "symbols", "pipes", "bangs", "lines", "stops",
@@ -61,24 +61,6 @@ def _distinct(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(r[first], minlength=n).astype(float)
 
 
-def _run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each run of bytes, equal for equal runs (wrapping polynomial over random byte values)."""
-    rng = np.random.default_rng(20)
-    table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        step = np.uint64(0x9E3779B97F4A7C15)
-        inverse = np.uint64(pow(int(step), -1, 1 << 64))
-        power = np.full(len(data) + 1, step)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        back = np.full(len(data) + 1, inverse)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(table[data] * power[:-1], out=total[1:])
-        return (total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64)
-
-
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The vector of each text: counts as logarithms, shares as square roots or logits."""
     n = len(offsets) - 1
@@ -86,7 +68,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, rows = word_bounds(data, offsets)
     low = LOWER[data]
     words = np.bincount(rows, minlength=n).astype(float)
-    hashes = _run_hashes(low, starts, ends)
+    hashes = run_hashes(low, starts, ends)
     some_size, some_words = np.maximum(size, 1), np.maximum(words, 1)
     share = [np.sqrt(_sum(c[data], offsets) / some_size) for c in COUNTED]
     letters = np.maximum(_sum(LETTERS[data], offsets), 1)
@@ -108,7 +90,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     stops = np.r_[cuts[1:], len(data)] if len(cuts) else cuts
     line_rows = np.searchsorted(offsets, cuts, "right") - 1
     lines = np.bincount(line_rows, minlength=n).astype(float)
-    line_share = _distinct(line_rows, _run_hashes(data, cuts, stops), n) / np.maximum(lines, 1)
+    line_share = _distinct(line_rows, run_hashes(data, cuts, stops), n) / np.maximum(lines, 1)
     view = memoryview(np.ascontiguousarray(data))
     packed = np.array([len(zlib.compress(view[a:b], 1)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], float)
     return np.stack(

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, mixing, quality, simhash, toxicity
+from . import ann, bpe, ctw, exact_dedup, langid, mixing, quality, simhash, toxicity
 from .shared import fold
 
 
@@ -45,6 +45,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 10) == 0)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_language": op4_language,
+    "op5_context_tree": op5_context_tree,
     "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,

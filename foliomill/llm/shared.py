@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import zlib
@@ -125,3 +126,48 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     out = data[np.minimum(np.cumsum(source), len(data) - 1)]
     out[begins[1:] - 1] = 32
     return out, begins
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each run of bytes, equal for equal runs (wrapping polynomial over random byte values)."""
+    rng = np.random.default_rng(20)
+    table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        step = np.uint64(0x9E3779B97F4A7C15)
+        inverse = np.uint64(pow(int(step), -1, 1 << 64))
+        power = np.full(len(data) + 1, step)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        back = np.full(len(data) + 1, inverse)
+        back[0] = 1
+        back = np.multiply.accumulate(back)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * power[:-1], out=total[1:])
+        return (total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+
+
+class SortedIndex:
+    """Look-ups in a sorted array of hashes.
+
+    A table over the top bits says where to start, so two probes settle nearly all.
+    """
+
+    def __init__(self, keys: np.ndarray, slots_per_entry: int = 4):
+        self.keys = keys
+        bits = max(1, math.ceil(math.log2(max(2, slots_per_entry * len(keys)))))
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash in the sorted keys, -1 for those not in it."""
+        out = np.full(len(h), -1)
+        if not len(self.keys):
+            return out
+        top, rows, at = len(self.keys) - 1, np.arange(len(h)), self.slots[h >> self.shift]
+        while len(rows):
+            here = self.keys[np.minimum(at, top)]
+            hit = here == h
+            out[rows[hit]] = at[hit]
+            go = (here < h) & (at < top)
+            rows, at, h = rows[go], at[go] + 1, h[go]
+        return out
