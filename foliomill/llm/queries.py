@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, ctw, exact_dedup, langid, mixing, quality, simhash, toxicity
+from . import ann, bpe, ctw, exact_dedup, langid, mixing, pii, quality, simhash, toxicity
 from .shared import fold
 
 
@@ -50,6 +50,12 @@ def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold(F.col("doc_id"), 10) == 0)
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = os.environ.get("SURROGATE_KEY", "a key of one's own").encode()
+    found = pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
+    return found.select("doc_id", "text", "n_entities", F.to_json("kinds").alias("kinds"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_language": op4_language,
     "op5_context_tree": op5_context_tree,
+    "op6_surrogates": op6_surrogates,
     "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
