@@ -151,6 +151,9 @@ class LanguageModel:
 def build(languages: list[str], counts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> LanguageModel:
     """Models from, for each (language, order): hashes, hashes of their first n-1 characters, of their last n-1, and counts."""
     k = len(languages)
+    if not k:
+        none = np.zeros((0, 0), np.float32)
+        return LanguageModel([], [Level(SortedIndex(np.zeros(0, np.uint64)), none, none) for _ in range(ORDER)], np.zeros(0, np.float32), np.zeros(0))
     levels = []
     lower: list[dict] = [{} for _ in range(k)]  # per language: sorted keys and probabilities of the order below
     unseen = np.zeros(k)

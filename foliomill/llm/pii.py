@@ -165,7 +165,7 @@ class Surrogates:
         n, words = self._number("name", canon, attempt), []
         for i, _ in enumerate(name.split(" ")):
             word = ""
-            for _ in range(self.syllables):
+            for _ in range(self.syllables + attempt // 2):  # so that no number of names can use them up
                 n, a = divmod(n, len(onsets))
                 n, b = divmod(n, len(vowels))
                 word += onsets[a] + vowels[b]
