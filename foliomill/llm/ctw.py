@@ -7,10 +7,14 @@ each node has Krichevsky-Trofimov counts of the whole training corpus, and the
 weights of all depths follow from the corpus by the context-tree recursion: a node's
 weighted probability is half its own estimate and half the product of its branches'.
 
-A context has branches for the older bytes that make up at least one part in
-``CONTEXTS`` of the corpus each; all other older bytes share one branch.  So at most
-``CONTEXTS`` contexts of a depth are in the model, however large the corpus is, and
-nothing is left out of the counts.
+Every context that the corpus holds is in the model, which grows with the corpus and
+is a table for each depth in the shared folder (``gram_scores``).  It is computed one
+depth at a time, first from the deepest up, then down again.  A step meets at most
+256 branches of a byte after a context, so no key is hot.  Grams that only texts
+outside the training have are in these tables with a count of zero, which changes no
+estimate; so each gram of a text has its score there.  The grams that make up one part
+in ``HEAVY_GRAMS`` of all bytes or more are sent to all tasks, all others reach their
+scores by the join that the words take.
 
 Words are counted over the whole corpus.  The words that make up one part in
 ``HEAVY`` of all tokens or more (at most ``HEAVY`` of them) are sent to all tasks, all
@@ -31,11 +35,11 @@ from pyspark.sql import functions as F
 from .shared import LOWER, SortedIndex, materialise, run_hashes, spaced, text_slices, word_bounds
 
 DEPTH = 6
-CONTEXTS = 1 << 16
 HEAVY = 1 << 19
+HEAVY_GRAMS = 1 << 21
 #: Stands for the end of a text among word hashes, and among bytes (no word holds it).
 END_WORD, END_BYTE = 0, 10
-WORD, GRAM = 0, 1
+WORD, GRAM, TEXT = 0, 1, 2
 #: Distinct keys that a task gathers before it passes them on.
 KEEP_KEYS = 1 << 20
 #: Bytes of text that a task works on at once.
@@ -129,7 +133,10 @@ def _index(keys: np.ndarray, *columns: np.ndarray) -> tuple:
 
 
 def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[Depth]:
-    """The depths of the model from, for each, the grams (context and byte) and their counts."""
+    """The depths of a model in memory from, for each, the grams (context and byte) and their counts.
+
+    ``gram_scores`` is the same for tables; this form is what it is compared with.
+    """
     keys, zeros, ones = [], [], []
     for gram, count in tables:
         k = np.concatenate([_node_keys(gram, bit) for bit in range(8)])
@@ -253,7 +260,7 @@ class _Gathered:
 
 
 def count_corpus(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, every, train): tokens by word hash and bytes by gram, of all texts and of training texts.
+    """(kind, key, every, train): tokens by word hash and bytes by gram, of all texts and of the training texts among them.
 
     ``rows``: learn (boolean), text.
     """
@@ -269,8 +276,9 @@ def count_corpus(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
                 keys, inverse = np.unique(h, return_inverse=True)
                 every = np.bincount(inverse, minlength=len(keys))
                 yield from words.add(keys, every, np.bincount(inverse, of, len(keys)).astype(np.int64))
-                keys, n = np.unique(grams(p, depth)[own[p.text_rows]], return_counts=True)
-                yield from bytes_.add(keys, n, n)
+                keys, inverse = np.unique(grams(p, depth), return_inverse=True)
+                every = np.bincount(inverse, minlength=len(keys))
+                yield from bytes_.add(keys, every, np.bincount(inverse, own[p.text_rows], len(keys)).astype(np.int64))
         yield from words.flush()
         yield from bytes_.flush()
 
@@ -278,24 +286,90 @@ def count_corpus(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     return parts.groupBy("kind", "key").agg(F.sum("every").alias("every"), F.sum("train").alias("train"))
 
 
-def tree_tables(counts: DataFrame, depth: int = DEPTH, most: int = CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth, the grams of the contexts that are in the model, and their counts."""
-    now = counts.filter(F.col("kind") == GRAM).select("key", F.col("train").alias("n"))
-    total = now.agg(F.sum("n")).first()[0] or 0
-    least = max(1, total / most)
-    out = []
-    for d in range(depth, -1, -1):
-        if d < depth:
-            mask = (1 << (8 * (d + 1))) - 1
-            now = materialise(now.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n")), "grams")
-        context = F.shiftrightunsigned("key", 8)
-        kept = now.groupBy(context.alias("c")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("c")
-        # At most ``most`` contexts, each with at most 256 bytes.
-        found = now.join(F.broadcast(kept), context == F.col("c"), "left_semi").toArrow()
-        gram, n = found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
-        order = np.argsort(gram)
-        out.append((gram[order], n[order]))
-    return out[::-1]
+_BITS = range(8)
+
+
+def _mixed(key: np.ndarray, n: np.ndarray, below: list[np.ndarray]) -> tuple[list[np.ndarray], ...]:
+    """For the eight decisions of each gram of whole contexts, in order of their keys:
+
+    the log weighted probability of the node (at the first gram of the node, else zero),
+    the weight of the node's own estimate times that of the gram's bit, and the weight
+    left to the branches.  ``below``: log probability of the branches, to be added up over
+    the grams of a node; empty at the deepest.
+    """
+    weighted, own_share, left = [], [], []
+    for bit in _BITS:
+        node = key >> (8 - bit)
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+        is_one = (key >> (7 - bit)) & 1 == 1
+        ones = np.add.reduceat(n * is_one, first).astype(float)
+        zeros = np.add.reduceat(n, first) - ones
+        own = log_kt(zeros, ones)
+        whole, weight = own, np.ones(len(first))
+        if below:
+            whole = np.logaddexp(own, np.add.reduceat(below[bit], first)) - np.log(2)
+            weight = np.exp(np.minimum(own - np.log(2) - whole, 0))
+        at_first = np.zeros(len(key))
+        at_first[first] = whole
+        weighted.append(at_first)
+        own_share.append(weight[of] * (np.where(is_one, ones[of], zeros[of]) + 0.5) / (zeros + ones + 1)[of])
+        left.append((1 - weight)[of])
+    return weighted, own_share, left
+
+
+def _level(rows: DataFrame, deepest: bool) -> DataFrame:
+    """The grams of one depth with their nodes' probabilities, from the rows (key, n, every, w0 to w7) of the depth below."""
+    names = ["key", "n", "every", *(f"{c}{bit}" for c in "wab" for bit in _BITS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
+            first = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+            key = columns[0][first]
+            n, every, *below = (np.add.reduceat(c, first) for c in columns[1:])
+            weighted, own_share, left = _mixed(key, n, below)
+            values = [*weighted, *(x.astype(np.float32) for x in [*own_share, *left])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, every, *values)], names)
+
+        kept: list[np.ndarray] = []  # the last context, which may go on in the next batch
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            columns = [np.concatenate(c) for c in zip(kept, columns, strict=True)] if kept else columns
+            if not len(columns[0]):
+                continue
+            context = columns[0] >> 8
+            to = int(np.searchsorted(context, context[-1]))
+            if to:
+                yield settled([c[:to] for c in columns])
+            kept = [c[to:] for c in columns]
+        if kept:
+            yield settled(kept)
+
+    taken = ["key", "n", "every", *([] if deepest else [f"w{bit}" for bit in _BITS])]
+    schema = ", ".join(["key long, n long, every long", *(f"{c}{bit} {'double' if c == 'w' else 'float'}" for c in "wab" for bit in _BITS)])
+    dealt = rows.select(*taken).repartition(F.shiftright("key", 8)).sortWithinPartitions("key")
+    return materialise(dealt.mapInArrow(run, schema), "grams")
+
+
+def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, every, logp): log10 probability of the byte of each gram of ``counts`` by the model of the training texts."""
+    rows = counts.filter(F.col("kind") == GRAM).select("key", F.col("train").alias("n"), "every")
+    levels = [_level(rows, True)]
+    for d in range(depth - 1, -1, -1):
+        mask = (1 << (8 * (d + 1))) - 1
+        levels.append(_level(levels[-1].withColumn("key", F.col("key").bitwiseAND(F.lit(mask))), False))
+    levels.reverse()
+    up = levels[0].select("key", "every", *(F.col(f"a{bit}").alias(f"s{bit}") for bit in _BITS), *(F.col(f"b{bit}").alias(f"l{bit}") for bit in _BITS))
+    for d in range(1, depth + 1):
+        sure = [(F.col(f"s{bit}") + F.col(f"l{bit}") * F.col(f"a{bit}")).alias(f"s{bit}") for bit in _BITS]
+        left = [(F.col(f"l{bit}") * F.col(f"b{bit}")).alias(f"l{bit}") for bit in _BITS] if d < depth else []
+        above = up.select(F.col("key").alias("above"), *(f"{c}{bit}" for c in "sl" for bit in _BITS))
+        above = F.broadcast(above) if d < 3 else above  # at most 65,536 grams
+        here = levels[d].select("key", "every", *(f"a{bit}" for bit in _BITS), *(f"b{bit}" for bit in _BITS if d < depth))
+        joined = here.withColumn("above", F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(above, "above")
+        up = joined.select("key", "every", *sure, *left)
+    logp = sum((F.log10(F.col(f"s{bit}").cast("double")) for bit in _BITS), F.lit(0.0))
+    return materialise(up.select("key", "every", logp.alias("logp")), "gram-scores")
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,14 +400,34 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     order = np.argsort(h)
     c = found.column("train").to_numpy()[order].astype(float)
     heavy = (SortedIndex(h[order]), np.log10((c + 0.1) / whole), c > 0)
-    shared = spark.sparkContext.broadcast((heavy, build(tree_tables(counts))))
+    scores = gram_scores(counts)
+    all_bytes = scores.agg(F.sum("every")).first()[0] or 0
+    found = scores.filter(F.col("every") * HEAVY_GRAMS >= all_bytes).select("key", "logp").toArrow()
+    heavy_grams = _index(found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("logp").to_numpy().astype(float))
+    shared = spark.sparkContext.broadcast((heavy, heavy_grams))
     end = np.uint64(END_WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (index, log_share, known), model = shared.value
+        (index, log_share, known), (gram_index, gram_logp) = shared.value
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 36
-        names = ["row", "key", "n", "doc_id", "tokens", "known", "base", "score", "size"]
+        names = ["row", "kind", "key", "n", "doc_id", "tokens", "known", "base", "score", "size"]
+
+        def pairs(row: np.ndarray, rows: np.ndarray, keys: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+            pair = np.empty(len(keys), [("row", np.int64), ("key", np.uint64)])
+            order = np.lexsort((keys, rows))
+            pair["row"], pair["key"] = rows[order], keys[order]
+            if len(pair):
+                first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                times = np.diff(np.r_[first, len(pair)])
+                some = pair[first]
+                for k in range(0, len(some), 100_000):
+                    s = slice(k, k + 100_000)
+                    m = len(some[s])
+                    ints, reals = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
+                    columns = [pa.array(row[some["row"][s]]), pa.array(np.full(m, kind, np.int32)), pa.array(some["key"][s].view(np.int64)), pa.array(times[s]), ints, ints, ints, reals, reals, ints]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
             for at, to, data, offsets in text_slices(batch.column(1), SLICE):
                 p = prepare(data, offsets)
@@ -345,41 +439,35 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 base = np.bincount(p.rows[hit], log_share[place[hit]], p.n) + log_share[mark]
                 n_known = np.bincount(p.rows[hit], known[place[hit]], p.n).astype(np.int64) + int(known[mark])
                 tokens = np.bincount(p.rows, minlength=p.n) + 1
-                total = np.bincount(p.text_rows, byte_scores(model, grams(p, len(model) - 1)), p.n)
+                gram = grams(p, DEPTH)
+                at_gram = gram_index.find(_hashed(gram))
+                met = at_gram >= 0
+                total = np.bincount(p.text_rows[met], gram_logp[at_gram[met]], p.n).astype(float)
                 size = np.bincount(p.text_rows, minlength=p.n)
                 none = pa.nulls(p.n, pa.int64())
                 # The row of a text has a key of its own, by which it joins nothing.
-                columns = [row, none, none, batch.column(0).slice(at, to - at), tokens, n_known, base, total, size]
+                columns = [row, np.full(p.n, TEXT, np.int32), none, none, batch.column(0).slice(at, to - at), tokens, n_known, base, total, size]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
-                pair = np.empty(int((~hit).sum()), [("row", np.int64), ("key", np.uint64)])
-                pair["row"], pair["key"] = p.rows[~hit], p.words[~hit]
-                pair.sort(order=["row", "key"])
-                if len(pair):
-                    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-                    times = np.diff(np.r_[first, len(pair)])
-                    some = pair[first]
-                    for k in range(0, len(some), 100_000):
-                        s = slice(k, k + 100_000)
-                        m = len(some[s])
-                        ints, reals = pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())
-                        columns = [pa.array(row[some["row"][s]]), pa.array(some["key"][s].view(np.int64)), pa.array(times[s]), ints, ints, ints, reals, reals, ints]
-                        yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "row long, key long, n long, doc_id long, tokens long, known long, base double, score double, size long"
+                yield from pairs(row, p.rows[~hit], p.words[~hit], WORD)
+                yield from pairs(row, p.text_rows[~met], gram[~met], GRAM)
+
+    schema = "row long, kind int, key long, n long, doc_id long, tokens long, known long, base double, score double, size long"
     marked = rows.select("doc_id", "text").mapInArrow(run, schema)
-    rare = words.filter(F.col("every") * HEAVY < every).select(F.col("key").alias("word"), F.col("train").alias("c"))
-    joined = marked.withColumn("word", F.coalesce("key", F.xxhash64("row"))).join(rare, "word", "left")
-    is_pair = F.col("key").isNotNull()
-    met = F.when(is_pair, F.coalesce("c", F.lit(0)))
+    rare = words.filter(F.col("every") * HEAVY < every).select("kind", F.col("key").alias("word"), F.col("train").alias("c"), F.lit(0.0).alias("logp"))
+    rare_grams = scores.filter(F.col("every") * HEAVY_GRAMS < all_bytes).select(F.lit(GRAM).alias("kind"), F.col("key").alias("word"), F.lit(0).cast("long").alias("c"), "logp")
+    joined = marked.withColumn("word", F.coalesce("key", F.xxhash64("row"))).join(rare.union(rare_grams), ["kind", "word"], "left")
+    is_word, is_gram = F.col("kind") == WORD, F.col("kind") == GRAM
+    met = F.coalesce("c", F.lit(0))
     share = F.log10((met + 0.1) / F.lit(whole))
     joined = joined.select(
-        "row", "doc_id", "tokens", "score", "size",
-        F.when(is_pair, F.col("n") * share).otherwise(F.col("base")).alias("base"),
-        F.when(is_pair, F.when(met > 0, F.col("n")).otherwise(0)).otherwise(F.col("known")).alias("known"),
+        "row", "doc_id", "tokens", "size",
+        F.when(is_gram, F.col("n") * F.col("logp")).otherwise(F.col("score")).alias("score"),
+        F.when(is_word, F.col("n") * share).otherwise(F.col("base")).alias("base"),
+        F.when(is_word, F.when(met > 0, F.col("n")).otherwise(0)).otherwise(F.col("known")).alias("known"),
     )
     out = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.max("score").alias("score"), F.max("size").alias("size"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.max("size").alias("size"),
     )
     bits = -F.col("score") / F.lit(float(np.log10(2))) / F.col("size")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -198,6 +198,28 @@ def test_tree_agrees_with_the_recursion_and_sums_to_one():
                 assert abs(math.log10(probs[byte]) - math.log10(ratio)) < 0.02
 
 
+@pytest.mark.parametrize("heavy", [1 << 21, 5])
+def test_every_context_of_the_corpus_is_in_the_model(spark, monkeypatch, heavy):
+    monkeypatch.setattr(ctw, "HEAVY_GRAMS", heavy)
+    rng = random.Random(7)
+    # So long a corpus that a context met a few times is less than one part in 65,536 of it.
+    rows = [(i, "zqxj kvwy " + " ".join(rng.choice(["aa", "ab", "ba", "ééa"]) for _ in range(6000)), None) for i in range(30)]
+    rows += [(100 + i, "zqxj kvwy", None) for i in range(3)] + [(200, "zqxj!", None), (201, None, None), (202, "new", None)]
+    learn = F.col("doc_id") < 200
+    found = {r["doc_id"]: r["score"] for r in ctw.score(table(spark, rows), learn).collect()}
+
+    def prepared(texts):
+        data = [(t or "").encode() for t in texts]
+        return ctw.prepare(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(x) for x in data])])
+
+    g = ctw.grams(prepared([t for i, t, _ in rows if i < 200]), ctw.DEPTH)
+    tables = [np.unique(g & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(ctw.DEPTH + 1)]
+    model = ctw.build(tables)
+    for i, t, _ in rows:
+        expected = ctw.byte_scores(model, ctw.grams(prepared([t]), ctw.DEPTH)).sum()
+        assert found[i] == pytest.approx(expected, rel=1e-4, abs=1e-4), i
+
+
 # --- personal data
 
 
