@@ -46,6 +46,9 @@ SOUNDS = {
 }
 GENDER = {t: (script, g) for (script, g), titles in TITLES.items() for t in titles}
 
+#: Capitals of the scripts in use, accented ones too, and a letter of a name with the mark before it (but for a possessive s).
+_CAPITAL = "[" + "".join(c for c in map(chr, [*range(0x590), *range(0x1E00, 0x2000)]) if c.isupper()) + "]"
+_NEXT = r"(?:(?:['’](?!s\b)|-)?[^\W\d_])"
 _title = "|".join(sorted(map(re.escape, GENDER), key=len, reverse=True))
 PATTERN = re.compile(
     r"(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
@@ -56,10 +59,13 @@ PATTERN = re.compile(
     r"|(?P<ssn>\b\d{3}-\d{2}-\d{4}\b)"
     r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w))"
     r"|(?P<phone>(?<!\w)\+\d[\d ().-]{6,18}\d(?!\w)|(?<![\w.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w))"
-    rf"|(?P<name>\b(?:{_title})\b\.? [^\W\d_][^\W\d_'’-]+(?: [A-ZА-ЯΑ-Ω][^\W\d_]+\b)?)"
+    rf"|(?P<name>\b(?:{_title})\b\.? {_CAPITAL}{_NEXT}+(?: {_CAPITAL}{_NEXT}+\b)?)"
 )
-#: A text that has none of these holds no entity, and is not searched further.
-HINT = re.compile(r"[0-9]{2}|[0-9][ .-][0-9]|@")
+#: A text that has none of these holds no entity, and is not searched further.  Each branch of
+#: PATTERN has its hint: e-mail @; key, secret and name their words; quoted secret its sign and
+#: quote; hex secret its run; international phone plus and digit; all others two digits at most
+#: one mark apart.
+HINT = re.compile(r"\d[ .-]?\d|\+\d|@|[=:] \"|[0-9a-f]{32}")
 HINT_WORDS = ["AKIA", "token", "secret", "password", *GENDER]
 DIGIT_KINDS = ("card", "phone", "ssn")
 
@@ -74,8 +80,6 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
             title, _, name = m[0].partition(" ")
             title = title.rstrip(".")
             script, gender = GENDER[title]
-            if not name[:1].isupper():
-                continue
             start += m[0].index(" ") + 1
             yield kind, f"{script}:{gender}:{name}", start, end
         elif kind in DIGIT_KINDS:

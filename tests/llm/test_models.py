@@ -247,6 +247,19 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     assert pii.pseudonymise(table(spark, []), KEY).count() == 0
 
 
+def test_prefilter_holds_back_no_entity(monkeypatch):
+    texts = {
+        'api_key = "aBcDeFgHiJkLmNoPqRst"': "aBcDeFgHiJkLmNoPqRst", 'client: "x7Qa9Zk2Lm4Pb6Tc"': "x7Qa9Zk2Lm4Pb6Tc",
+        "sum abcdefabcdefabcdefabcdefabcdefab": "abcdefabcdefabcdefabcdefabcdefab", "+1 ( 2 ( 3 ( 4": "+1 ( 2 ( 3 ( 4",
+        "at ٣٣٣-٣٣-٣٣٣٣": "٣٣٣-٣٣-٣٣٣٣", "Mr O'Brien left": "O'Brien", "Mrs Smith-Jones left": "Smith-Jones", "Frau Anna Öztürk": "Anna Öztürk",
+        "Herr Émile D’Arc": "Émile D’Arc", "Mr Smith's hat": "Smith", "Don john@x.com": "john@x.com", "Mr. John Smith's": "John Smith",
+    }
+    found = {t: [t[a:b] for _, _, a, b in pii.entities(t)] for t in texts}
+    assert found == {t: [e] for t, e in texts.items()}
+    monkeypatch.setattr(pii, "HINT", re.compile(""))
+    assert {t: [t[a:b] for _, _, a, b in pii.entities(t)] for t in texts} == found
+
+
 def test_permutations_are_one_to_one():
     s = pii.Surrogates(KEY)
     assert sorted(s.permute("t", i, 1000) for i in range(1000)) == list(range(1000))
