@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .shared import fold, materialise
 
 #: Labelled rows of each class that training takes at most.
@@ -106,19 +107,6 @@ class Contrast:
         return float(top), float(second), math.log1p(hits), math.sqrt(hits / len(words))
 
 
-def _text_key(text: str | None) -> int:
-    """A hash that near copies mostly share and unlike texts hardly ever do.
-
-    The smallest hash of the long words, where a text has many unlike ones; else of
-    the runs of three words.
-    """
-    words = windows(text)
-    long = {w for w in words if len(w) >= 8}
-    if len(long) >= 6:
-        return min(map(zlib.crc32, long))
-    return min(zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
-
-
 def train_dictionaries(counts: list[tuple[bytes, int, int]], n_toxic: int, n_plain: int) -> ToxicityModel:
     """Dictionaries from (word, toxic documents with it, ordinary documents with it)."""
     plain = sorted(((p, w) for w, _, p in counts if p), reverse=True)
@@ -184,13 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_docs
     ids = materialise(sample_ids(labels, F.col(label_col), train_docs, fold(F.col("doc_id"), 5) != 0), "toxic-ids")
     sample = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id"), "toxic-sample")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [_text_key(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["doc_id", "text", "y", "k"])
-
-    # Copies and near copies of one text count once, or its chance words would look typical of its class.
-    sample = sample.select("doc_id", "text", "y").mapInArrow(keyed, "doc_id long, text string, y int, k long")
+    # Copies and near copies of one text (op8's components of the bounded sample) count
+    # once, or its chance words would look typical of its class.
+    found = simhash.near_duplicates(sample).groupBy("doc_id").agg(F.min("component_id").alias("k"))
+    sample = sample.select("doc_id", "text", "y").join(found, "doc_id")
     sample = materialise(sample.groupBy("y", "k").agg(F.min_by("doc_id", "doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")), "toxic-sample")
     to_count = fold(F.col("doc_id"), 5) != 4
 

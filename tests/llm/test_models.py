@@ -306,3 +306,20 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values()) and [out[i]["predicted"] for i in (500, 501, 502, None)] == [0] * 4
     none = toxicity.fit(table(spark, []), truth.limit(0))
     assert toxicity.score(docs.limit(2), none).count() == 2
+
+
+def test_unlike_texts_all_train(spark, monkeypatch):
+    # Every text has the long word with the smallest hash of all, yet none is a copy of another; ten are copies.
+    rng = random.Random(2)
+    words = [f"{a}{b}{c}{d}ing" for a in ("mor", "tel", "gra") for b in ("an", "ei", "ou") for c in ("d", "st", "ng") for d in ("ab", "ek", "il")]
+    common = min(words, key=lambda w: shared.zlib.crc32(w.encode()))
+    rows = [(i, common + " " + " ".join(rng.choice(words) for _ in range(60)), None) for i in range(80)]
+    rows += [(100 + i, rows[0][1], None) for i in range(10)]
+    truth = spark.createDataFrame([(i, i % 2, 0) for i, _, _ in rows], "doc_id long, toxic int, text int")
+    seen = []
+    original = toxicity.train_dictionaries
+    monkeypatch.setattr(toxicity, "train_dictionaries", lambda counts, t, p: seen.append(t + p) or original(counts, t, p))
+    toxicity.fit(table(spark, rows), truth)
+    learn = [i for i, _, _ in rows if shared.fold_of(i, 5) in (1, 2, 3)]
+    unlike = sum(i < 100 and i > 0 for i in learn)
+    assert unlike <= seen[0] <= unlike + 2
