@@ -43,8 +43,37 @@ KEEP_WORDS = 400_000
 WORDS = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+#: Marks and spaces beyond ASCII, which separate words too (joiners do not).
+SEPARATORS = re.compile(
+    "[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u1680\u2000-\u200b\u200e-\u206f\u2e00-\u2e7f\u3000-\u3020\u3030"
+    "\ufe10-\ufe1f\ufe30-\ufe6f\uff01-\uff20\uff3b-\uff40\uff5b-\uff65]+"
+)
+#: Scripts that put no space between words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+#: Bytes of the longest run that is one window.
+LONGEST = 64
+
+
 def windows(text: str | None) -> list[bytes]:
-    return WORDS.findall((text or "").lower().encode("utf-8", "replace"))
+    """Words of a text; runs that are no single word are seen whole, by windows that start at each of their characters."""
+    text = (text or "").lower()
+    unspaced = False
+    if not text.isascii():
+        text = SEPARATORS.sub(" ", text)
+        unspaced = UNSPACED.search(text) is not None
+    out = []
+    for word in WORDS.findall(text.encode("utf-8", "replace")):
+        if len(word) <= LONGEST and not unspaced:
+            out.append(word)
+            continue
+        run = word.decode()
+        widths = (2, 4) if UNSPACED.search(run) else (12,) if len(word) > LONGEST else ()
+        if not widths or len(run) <= widths[0]:
+            out.append(word)
+            continue
+        for width in widths:
+            out += [run[i : i + width].encode() for i in range(len(run) - width + 1)]
+    return out
 
 
 @dataclass
@@ -75,8 +104,6 @@ class Contrast:
         self.known: dict[bytes, int] = {}
 
     def of(self, word: bytes) -> int:
-        if len(word) > 64:  # such runs are no words; their first and last parts speak for them
-            return max(self.of(word[:32]), self.of(word[-32:]))
         marked, least = b" " + word + b" ", 0
         for size in WINDOW_BYTES:
             window = marked * -(-size // len(marked))
@@ -185,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_docs
                 found = list(set(windows(text)))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32())], ["w", "y"])
 
-    counted = sample.filter(to_count).select("text", "y").mapInArrow(words, "w binary, y int").filter(F.length("w") <= 64)
+    counted = sample.filter(to_count).select("text", "y").mapInArrow(words, "w binary, y int")
     counted = counted.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("p"))
     top = counted.filter(F.col("t") + F.col("p") >= 2).orderBy(F.desc(F.col("t") * 4 + F.col("p")), "w").limit(TRAIN_WORDS)
     sizes = {r["y"]: r["n"] for r in sample.filter(to_count).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -323,3 +323,11 @@ def test_unlike_texts_all_train(spark, monkeypatch):
     learn = [i for i, _, _ in rows if shared.fold_of(i, 5) in (1, 2, 3)]
     unlike = sum(i < 100 and i > 0 for i in learn)
     assert unlike <= seen[0] <= unlike + 2
+
+
+def test_every_part_of_a_text_is_in_a_window():
+    assert toxicity.windows("calm\u00a0grobnik\u2014\u201cstinkoid\u201d l\u2019été") == [b"calm", b"grobnik", b"stinkoid", b"l", "été".encode()]
+    run = "今天天气很好" * 20
+    assert "坏蛋".encode() in toxicity.windows(f"{run}坏蛋{run}") and "坏蛋".encode() in toxicity.windows("你是坏蛋吗")
+    assert any(b"grobnik" in w for w in toxicity.windows("q" * 100 + "grobnik" + "z" * 100))
+    assert max(map(len, toxicity.windows(f"{run} {'é' * 90} {'x' * 500}"))) <= 64
