@@ -51,6 +51,23 @@ def test_stages_take_effect_in_turn(spark, corpus):
     assert Counter(r["doc_id"] for r in out) == Counter(left["mixing"])
 
 
+def test_mixed_order_reaches_the_last_stage(spark, tmp_path):
+    # The longest texts are in the last part file, which Spark reads first.
+    rows = [(i, f"w{i} " * (400 if i % 7 > 1 else 2), "en", "big" if i % 7 > 1 else f"s{i % 7}", 1) for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        expected = [r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs, "").select("doc_id").collect()]
+        stored = corpus_pipeline.materialise(corpus_pipeline.mixing_stage(spark, docs, ""), "mixed")
+        assert len(stored.inputFiles()) > 1
+        out = corpus_pipeline.tokens_stage(spark, stored, "").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["doc_id"] for r in out] == expected
+    positions = [r["position"] for r in out]
+    assert positions == sorted(set(positions))
+
+
 def test_empty_documents(spark, corpus, tmp_path):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
