@@ -309,25 +309,61 @@ def test_toxicity(spark):
 
 
 def test_unlike_texts_all_train(spark, monkeypatch):
-    # Every text has the long word with the smallest hash of all, yet none is a copy of another; ten are copies.
+    # Every text shares a long word, yet none is a copy of another; ten are copies.
     rng = random.Random(2)
     words = [f"{a}{b}{c}{d}ing" for a in ("mor", "tel", "gra") for b in ("an", "ei", "ou") for c in ("d", "st", "ng") for d in ("ab", "ek", "il")]
-    common = min(words, key=lambda w: shared.zlib.crc32(w.encode()))
-    rows = [(i, common + " " + " ".join(rng.choice(words) for _ in range(60)), None) for i in range(80)]
+    rows = [(i, words[0] + " " + " ".join(rng.choice(words) for _ in range(60)), None) for i in range(80)]
     rows += [(100 + i, rows[0][1], None) for i in range(10)]
     truth = spark.createDataFrame([(i, i % 2, 0) for i, _, _ in rows], "doc_id long, toxic int, text int")
-    seen = []
-    original = toxicity.train_dictionaries
-    monkeypatch.setattr(toxicity, "train_dictionaries", lambda counts, t, p: seen.append(t + p) or original(counts, t, p))
+    seen, trained = [], []
+    parts, train = toxicity.typical_parts, toxicity.zstandard.train_dictionary
+    monkeypatch.setattr(toxicity, "typical_parts", lambda *a: seen.append(a[4] + a[5]) or parts(*a))
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, some, **k: trained.append(some) or train(size, some, **k))
     toxicity.fit(table(spark, rows), truth)
     learn = [i for i, _, _ in rows if shared.fold_of(i, 5) in (1, 2, 3)]
     unlike = sum(i < 100 and i > 0 for i in learn)
     assert unlike <= seen[0] <= unlike + 2
+    # Both dictionaries are trained, each on whole texts of its class and no other.
+    of_class = [{toxicity.normalised(t) for i, t, _ in rows if i % 2 == y} for y in (0, 1)]
+    assert len(trained) == 2 and all(some and set(some) <= own for some, own in zip(trained, of_class, strict=True))
 
 
-def test_every_part_of_a_text_is_in_a_window():
-    assert toxicity.windows("calm\u00a0grobnik\u2014\u201cstinkoid\u201d l\u2019été") == [b"calm", b"grobnik", b"stinkoid", b"l", "été".encode()]
-    run = "今天天气很好" * 20
-    assert "坏蛋".encode() in toxicity.windows(f"{run}坏蛋{run}") and "坏蛋".encode() in toxicity.windows("你是坏蛋吗")
-    assert any(b"grobnik" in w for w in toxicity.windows("q" * 100 + "grobnik" + "z" * 100))
-    assert max(map(len, toxicity.windows(f"{run} {'é' * 90} {'x' * 500}"))) <= 64
+def test_every_byte_is_in_a_window():
+    for text in ("", " \t", "a", "calm grobnik", "今天天气很好" * 50, "x" * 1000, "é" * 33):
+        whole = toxicity.normalised(text)
+        cut, step = toxicity.windows(whole), toxicity.WINDOW // 2
+        assert (cut[0] if cut else b"") + b"".join(w[step:] for w in cut[1:]) == whole and all(len(w) <= toxicity.WINDOW for w in cut)
+    assert toxicity.normalised(None) == b"" and toxicity.normalised(" A\n b ") == b" a b "
+
+
+def test_contrasts_by_brute_force():
+    rng = random.Random(4)
+    ordinary = b"".join(rng.choice([b" river", b" stone", b" walked", b" lights"]) for _ in range(500))
+    model = toxicity.untrained(ordinary, b" grobnik \xff stinkoid ")
+    params = toxicity.zstandard.ZstdCompressionParameters.from_level(3, min_match=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+    raw = toxicity.zstandard.DICT_TYPE_RAWCONTENT
+    contents = ordinary + b" " * len(model.toxic), ordinary + model.toxic
+    text = "River stone grobnik walked " * 3 + "q" * 40 + "stinkoid" + "今天" * 30
+    want = []
+    whole = toxicity.normalised(text)
+    for at in range(0, len(whole) - 16, 16):
+        sizes = []
+        for content in contents:
+            dictionary = toxicity.zstandard.ZstdCompressionDict(content + b" " * 16, dict_type=raw)
+            dictionary.precompute_compress(compression_params=params)
+            sizes.append(len(toxicity.zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress(whole[at : at + 32] * 2)))
+        want.append(sizes[0] - sizes[1])
+    found = toxicity.Contrast(model)
+    assert found.of(text).tolist() == want and max(want) >= 3
+    # In the middle of a run without any space, in any script.
+    for run in ("今天天气很好" * 20, "z" * 300, "ไทย" * 60):
+        assert found.of(f"{run} ").max() <= 1 < found.of(f"{run} grobnik {run}").max()
+        assert found.of(f"{run}grobnik{run}").max() > 1
+
+
+def test_typical_parts():
+    grams = np.unique(toxicity.gram_hashes(b"the calm idiot here"))
+    toxic, plain = np.full(len(grams), 50.0), np.full(len(grams), 50.0)
+    plain[np.isin(grams, toxicity.gram_hashes(b" idiot "))] = 0
+    assert toxicity.typical_parts(b"the calm idiot here, idiot"[:19], grams, toxic, plain, 100, 100, (4.0, 3.0)) == b" idiot "
+    assert toxicity.typical_parts(b"", grams[:0], toxic[:0], plain[:0], 0, 0, (4.0, 3.0)) == b""
