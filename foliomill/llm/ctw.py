@@ -7,18 +7,20 @@ each node has Krichevsky-Trofimov counts of the whole training corpus, and the
 weights of all depths follow from the corpus by the context-tree recursion: a node's
 weighted probability is half its own estimate and half the product of its branches'.
 
-Every context that the corpus holds is in the model, which grows with the corpus and
-is a table for each depth in the shared folder (``gram_scores``).  It is computed one
-depth at a time, first from the deepest up, then down again.  A step meets at most
-256 branches of a byte after a context, so no key is hot.  Grams that only texts
-outside the training have are in these tables with a count of zero, which changes no
-estimate; so each gram of a text has its score there.  The grams that make up one part
-in ``HEAVY_GRAMS`` of all bytes or more are sent to all tasks, all others reach their
-scores by the join that the words take.
-
-Words are counted over the whole corpus.  The words that make up one part in
-``HEAVY`` of all tokens or more (at most ``HEAVY`` of them) are sent to all tasks, all
-other words reach their counts by a join, in which no word is hot.
+Every context that the corpus holds is in the model, so the model grows with the corpus.
+A gram is a byte with the ``DEPTH`` bytes before it.  Grams are counted by task, dealt by
+their last three context bytes (``PARTS`` parts), so that a subtree of depth three lies
+in one part, and settled there from the leaves up.  What remains, the depths two, one
+and none, is small: its grams are runs of two to four bytes of UTF-8.  Then the weights
+go down again, in one more pass over the parts, and leave one number for each gram.
+Grams that only texts outside the training have are counted with zero, which changes no
+estimate; so each gram of a text has its number.
+
+The most frequent grams and words (``HEAVY_GRAMS`` and ``HEAVY`` at most) are sent to all
+tasks; all others reach their numbers by a join, in which no key is hot.
+
+A task holds the grams of one part: one in ``PARTS`` of all unlike grams, or those of the
+most frequent run of three bytes if that is more (half a percent of them here).
 """
 
 from __future__ import annotations
@@ -35,16 +37,19 @@ from pyspark.sql import functions as F
 from .shared import LOWER, SortedIndex, materialise, run_hashes, spaced, text_slices, word_bounds
 
 DEPTH = 6
-HEAVY = 1 << 19
-HEAVY_GRAMS = 1 << 21
+#: Depth of the subtrees' roots, and the parts that they are dealt to.
+ROOTS, PARTS = 3, 1024
+#: Words and grams that are sent to all tasks at most, the most frequent ones.
+HEAVY, HEAVY_GRAMS = 1 << 20, 1 << 21
 #: Stands for the end of a text among word hashes, and among bytes (no word holds it).
 END_WORD, END_BYTE = 0, 10
-WORD, GRAM, TEXT = 0, 1, 2
+WORD, GRAM, TOP, TEXT = 0, 1, 2, 3
 #: Distinct keys that a task gathers before it passes them on.
-KEEP_KEYS = 1 << 20
+KEEP_KEYS = 1 << 21
 #: Bytes of text that a task works on at once.
-SLICE = 1 << 19
+SLICE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BITS = range(8)
 
 
 @dataclass
@@ -64,6 +69,7 @@ def prepare(data: np.ndarray, offsets: np.ndarray) -> Prepared:
     starts, ends, rows = word_bounds(data, offsets)
     text, begins = spaced(LOWER[data], starts, ends)
     words = run_hashes(text, begins[:-1], begins[1:] - 1)
+    words &= np.uint64((1 << 63) - 1)  # one bit is for the count of training texts
     words[words == END_WORD] = 1
     last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True]) if len(rows) else np.zeros(0, np.int64)
     text[begins[last + 1] - 1] = END_BYTE
@@ -102,25 +108,6 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - np.log(np.pi) - _log_gamma(a + b + 1)
 
 
-def _node_keys(gram: np.ndarray, bit: int) -> np.ndarray:
-    """Context and the bits so far (with a leading one) of the decision on a bit, 0 to 7, of the gram's byte."""
-    byte = gram & np.uint64(255)
-    return ((gram >> np.uint64(8)) << np.uint64(8)) | np.uint64(1 << bit) | (byte >> np.uint64(8 - bit))
-
-
-@dataclass
-class Depth:
-    """The nodes of one depth: where a chain of contexts stands there, and what it predicts if it ends there."""
-
-    contexts: SortedIndex
-    nodes: SortedIndex
-    sure: np.ndarray  # probability of a one settled at or above this depth
-    open: np.ndarray  # weight left to what lies below
-    ends: np.ndarray  # probability of a one if no older byte has a branch
-    grams: SortedIndex
-    logp: np.ndarray  # log10 of the gram's byte, if the chain ends here
-
-
 def _hashed(keys: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return keys * _ODD
@@ -132,109 +119,39 @@ def _index(keys: np.ndarray, *columns: np.ndarray) -> tuple:
     return SortedIndex(h[order], 2), *(c[order] for c in columns)
 
 
-def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[Depth]:
-    """The depths of a model in memory from, for each, the grams (context and byte) and their counts.
+def _counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unlike keys, sorted, with how often they occur in all texts and in those to learn from."""
+    both, times = np.unique((keys << np.uint64(1)) | learn.astype(np.uint64), return_counts=True)
+    keys = both >> np.uint64(1)
+    if not len(keys):
+        return keys, times, times
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(times, first), np.add.reduceat(times * (both & np.uint64(1)).astype(np.int64), first)
 
-    ``gram_scores`` is the same for tables; this form is what it is compared with.
-    """
-    keys, zeros, ones = [], [], []
-    for gram, count in tables:
-        k = np.concatenate([_node_keys(gram, bit) for bit in range(8)])
-        is_one = np.concatenate([(gram >> np.uint64(7 - bit)) & np.uint64(1) for bit in range(8)]).astype(float)
-        unique, inverse = np.unique(k, return_inverse=True)
-        n = np.tile(count.astype(float), 8)
-        keys.append(unique)
-        ones.append(np.bincount(inverse, n * is_one, len(unique)))
-        zeros.append(np.bincount(inverse, n * (1 - is_one), len(unique)))
-    last = len(tables) - 1
-    parent = [np.zeros(0, np.int64)]
-    for d in range(1, last + 1):
-        context, bits = keys[d] >> np.uint64(8), keys[d] & np.uint64(255)
-        up = ((context & np.uint64((1 << (8 * (d - 1))) - 1)) << np.uint64(8)) | bits
-        parent.append(np.searchsorted(keys[d - 1], up))
-    weight: list[np.ndarray] = [np.zeros(0)] * (last + 1)
-    other: list[np.ndarray] = [np.zeros(0)] * (last + 1)
-    below = np.zeros(0)
-    for d in range(last, -1, -1):
-        own, n = log_kt(zeros[d], ones[d]), len(keys[d])
-        weight[d], other[d] = np.ones(n), np.full(n, 0.5)
-        weighted = own
-        if d < last and len(keys[d + 1]):
-            has = np.bincount(parent[d + 1], minlength=n) > 0
-            rest_0 = np.maximum(zeros[d] - np.bincount(parent[d + 1], zeros[d + 1], n), 0)
-            rest_1 = np.maximum(ones[d] - np.bincount(parent[d + 1], ones[d + 1], n), 0)
-            branches = np.bincount(parent[d + 1], below, n) + log_kt(rest_0, rest_1)
-            weighted = np.where(has, np.logaddexp(own, branches) - np.log(2), own)
-            weight[d] = np.where(has, np.exp(np.minimum(own - np.log(2) - weighted, 0)), 1.0)
-            other[d] = (rest_1 + 0.5) / (rest_0 + rest_1 + 1)
-        below = weighted
-    out, sure, left = [], np.zeros(0), np.zeros(0)
-    for d in range(last + 1):
-        kt = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-        above, rest = (np.zeros(len(kt)), np.ones(len(kt))) if d == 0 else (sure[parent[d]], left[parent[d]])
-        sure, left = above + rest * weight[d] * kt, rest * (1 - weight[d])
-        ends = np.clip(sure + left * other[d], 1e-9, 1 - 1e-9)
-        gram = tables[d][0]
-        logp = np.zeros(len(gram))
-        for bit in range(8):
-            p = ends[np.searchsorted(keys[d], _node_keys(gram, bit))] if len(gram) else np.zeros(0)
-            logp += np.log10(np.where((gram >> np.uint64(7 - bit)) & np.uint64(1), p, 1 - p))
-        contexts = _index(np.unique(gram >> np.uint64(8)))[0]
-        nodes, s, o, e = _index(keys[d], sure.astype(np.float32), left.astype(np.float32), ends.astype(np.float32))
-        of_gram, lp = _index(gram, logp.astype(np.float32))
-        out.append(Depth(contexts, nodes, s, o, e, of_gram, lp))
-    return out
 
-
-def byte_scores(model: list[Depth], gram: np.ndarray) -> np.ndarray:
-    """log10 probability of the byte of each gram after its context."""
-    out = np.zeros(len(gram))
-    todo = np.arange(len(gram))
-    for d in range(len(model) - 1, -1, -1):
-        own = gram[todo] & np.uint64((1 << (8 * (d + 1))) - 1)
-        at = model[d].grams.find(_hashed(own))
-        hit = at >= 0
-        out[todo[hit]] = model[d].logp[at[hit]]
-        todo, own = todo[~hit], own[~hit]
-        known = model[d].contexts.find(_hashed(own >> np.uint64(8))) >= 0
-        if known.any() or d == 0:
-            rare, inverse = np.unique(own if d == 0 else own[known], return_inverse=True)
-            out[todo if d == 0 else todo[known]] = _new_byte(model, rare, d)[inverse]
-        todo = todo[~known]
-        if not len(todo):
-            break
-    return out
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    keys = np.concatenate([p[0] for p in parts])
+    if not len(keys):
+        return parts[0]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], *(np.add.reduceat(np.concatenate([p[i] for p in parts])[order], first) for i in range(1, len(parts[0])))
 
 
-def _new_byte(model: list[Depth], gram: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of bytes never met after their deepest context, decision by decision."""
-    out = np.zeros(len(gram))
-    for bit in range(8):
-        p = np.full(len(gram), 0.5)
-        open_ = np.arange(len(gram))
-        for d in range(depth, -1, -1):
-            own = gram[open_] & np.uint64((1 << (8 * (d + 1))) - 1)
-            at = model[d].nodes.find(_hashed(_node_keys(own, bit)))
-            hit = at >= 0
-            rows, at = open_[hit], at[hit]
-            # Below a decision never met the estimate is a half at every depth.
-            p[rows] = model[d].ends[at] if d == depth else model[d].sure[at] + model[d].open[at] * 0.5
-            open_ = open_[~hit]
-            if not len(open_):
-                break
-        p = np.clip(p, 1e-9, 1 - 1e-9)
-        out += np.log10(np.where((gram >> np.uint64(7 - bit)) & np.uint64(1), p, 1 - p))
-    return out
+def _context(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The ``depth`` bytes before the byte of each gram."""
+    return (keys >> 8) & ((1 << (8 * depth)) - 1)
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    keys = np.concatenate([p[0] for p in parts])
-    unique, inverse = np.unique(keys, return_inverse=True)
-    return unique, *(np.bincount(inverse, np.concatenate([p[i] for p in parts]), len(unique)).astype(np.int64) for i in range(1, len(parts[0])))
+def _lists(bounds: np.ndarray, *columns: np.ndarray, width: tuple[int, ...] = ()) -> list[pa.Array]:
+    """Each column as an array of lists that end at ``bounds``; ``width``: numbers for each entry of a column."""
+    width = width or (1,) * len(columns)
+    return [pa.ListArray.from_arrays(pa.array((bounds * w).astype(np.int32)), pa.array(c)) for c, w in zip(columns, width, strict=True)]
 
 
 class _Gathered:
-    """Counts by key, merged in a task and passed on before they grow too many."""
+    """Counts by key, merged in a task and passed on, by part, before they grow too many."""
 
     def __init__(self, kind: int):
         self.kind, self.parts, self.size = kind, [], 0
@@ -249,44 +166,25 @@ class _Gathered:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
+        if self.size:
             keys, every, train = _merged(self.parts)
             self.parts, self.size = [], 0
-            for at in range(0, len(keys), 100_000):
-                some = slice(at, at + 100_000)
-                kind = np.full(len(keys[some]), self.kind, np.int32)
-                columns = [pa.array(kind), pa.array(keys[some].view(np.int64)), pa.array(every[some]), pa.array(train[some])]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "every", "train"])
+            keys = keys.view(np.int64)
+            root = _context(keys, ROOTS) if self.kind == GRAM else keys
+            part = (_hashed(root.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % PARTS
+            order = np.argsort(part, kind="stable")  # keys stay in order within a part
+            keys, part = keys[order], part[order]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            # Differences of neighbours are small and pack well.
+            step = np.r_[0, keys[1:] - keys[:-1]]
+            step[first] = keys[first]
+            columns = _lists(np.r_[first, len(keys)], step, every[order].astype(np.int32), train[order].astype(np.int32))
+            kind = pa.array(np.full(len(first), self.kind, np.int32))
+            yield pa.RecordBatch.from_arrays([kind, pa.array(part[first]), *columns], ["kind", "part", "keys", "every", "train"])
 
 
-def count_corpus(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, every, train): tokens by word hash and bytes by gram, of all texts and of the training texts among them.
-
-    ``rows``: learn (boolean), text.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bytes_ = _Gathered(WORD), _Gathered(GRAM)
-        for batch in batches:
-            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            for at, to, data, offsets in text_slices(batch.column(1), SLICE):
-                p, own = prepare(data, offsets), learn[at:to]
-                h = np.concatenate([p.words, np.full(p.n, END_WORD, np.uint64)])
-                of = np.concatenate([own[p.rows], own])
-                keys, inverse = np.unique(h, return_inverse=True)
-                every = np.bincount(inverse, minlength=len(keys))
-                yield from words.add(keys, every, np.bincount(inverse, of, len(keys)).astype(np.int64))
-                keys, inverse = np.unique(grams(p, depth), return_inverse=True)
-                every = np.bincount(inverse, minlength=len(keys))
-                yield from bytes_.add(keys, every, np.bincount(inverse, own[p.text_rows], len(keys)).astype(np.int64))
-        yield from words.flush()
-        yield from bytes_.flush()
-
-    parts = rows.select("learn", "text").mapInArrow(run, "kind int, key long, every long, train long")
-    return parts.groupBy("kind", "key").agg(F.sum("every").alias("every"), F.sum("train").alias("train"))
-
-
-_BITS = range(8)
+def _entries(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
 def _mixed(key: np.ndarray, n: np.ndarray, below: list[np.ndarray]) -> tuple[list[np.ndarray], ...]:
@@ -318,58 +216,190 @@ def _mixed(key: np.ndarray, n: np.ndarray, below: list[np.ndarray]) -> tuple[lis
     return weighted, own_share, left
 
 
-def _level(rows: DataFrame, deepest: bool) -> DataFrame:
-    """The grams of one depth with their nodes' probabilities, from the rows (key, n, every, w0 to w7) of the depth below."""
-    names = ["key", "n", "every", *(f"{c}{bit}" for c in "wab" for bit in _BITS)]
+def _parents(keys: np.ndarray, n: np.ndarray, weighted: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The grams of ``depth`` above those of the next: keys, counts, log probability of their branches; and whose parent each is."""
+    up, of = np.unique(keys & ((1 << (8 * (depth + 1))) - 1), return_inverse=True)
+    n = np.bincount(of, n, len(up)).astype(np.int64)
+    return up, n, [np.bincount(of, w, len(up)) for w in weighted], of
+
+
+def settle(keys: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> tuple[list[tuple], tuple]:
+    """Whole subtrees from the leaves up to the depth of their roots.
+
+    ``keys``: sorted grams, ``n``: their counts.  Returns for each depth from the
+    roots' down the shares of the nodes' own estimates, what is left to the branches
+    and the parent of each gram; and the roots' grams, counts and log probabilities.
+    """
+    levels, below, of = [], [], None
+    for d in range(depth, ROOTS - 1, -1):
+        weighted, own, left = _mixed(keys, n, below)
+        levels.append((own, left, of))
+        if d > ROOTS:
+            keys, n, below, of = _parents(keys, n, weighted, d - 1)
+    return levels[::-1], (keys, n, weighted)
+
+
+def descend(levels: list[tuple], sure: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's byte, from what is settled above the roots (8 numbers for each root gram)."""
+    for own, rest, of in levels:  # the roots first
+        sure, left = sure + left * np.stack(own), left * np.stack(rest)
+        if of is not None:
+            sure, left = sure[:, of], left[:, of]
+    return np.log10(sure).sum(axis=0)
+
+
+def count_corpus(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Counts of words and grams, in all texts and in those to learn from, as packs of sorted keys.
+
+    ``rows``: learn (boolean), text.  Returns kind, part, keys, every, train (arrays);
+    for rows of the kind TOP, part is the last two context bytes, keys the roots' grams
+    after them, train their counts and w the log weighted probabilities of their nodes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bytes_ = _Gathered(WORD), _Gathered(GRAM)
+        for batch in batches:
+            learn = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for at, to, data, offsets in text_slices(batch.column(1), SLICE):
+                p, own = prepare(data, offsets), learn[at:to]
+                h = np.concatenate([p.words, np.full(p.n, END_WORD, np.uint64)])
+                yield from words.add(*_counted(h, np.concatenate([own[p.rows], own])))
+                yield from bytes_.add(*_counted(grams(p, depth), own[p.text_rows]))
+        yield from words.flush()
+        yield from bytes_.flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "part", "keys", "every", "train", "w"]
+
+        def packed(kind: int, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            keys, every, train = _merged(parts)
+            none = pa.nulls(1, pa.list_(pa.float64()))
+            bounds = np.array([0, len(keys)])
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([0], pa.int64()), *_lists(bounds, keys, every, train), none], names)
+            if kind == GRAM:
+                top, n, weighted = settle(keys, train, depth)[1]
+                order = np.argsort(_context(top, ROOTS - 1), kind="stable")
+                top, n, w = top[order], n[order], np.stack(weighted, axis=1)[order].ravel()
+                context = _context(top, ROOTS - 1)
+                first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+                columns = _lists(np.r_[first, len(top)], top, n, n, w, width=(1, 1, 1, 8))
+                kinds = pa.array(np.full(len(first), TOP, np.int32))
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(context[first]), *columns], names)
+
+        at, parts, size = None, [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                group = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if group != at and parts:
+                    yield from packed(at[0], parts)
+                    parts, size = [], 0
+                at = group
+                keys, every, train = (_entries(batch.column(c).slice(i, 1)).astype(np.int64) for c in (2, 3, 4))
+                parts.append((np.cumsum(keys), every, train))
+                size += len(keys)
+                if len(parts) > 1 and size > 2 * len(parts[0][0]) + KEEP_KEYS:
+                    parts = [_merged(parts)]
+                    size = len(parts[0][0])
+        if parts:
+            yield from packed(at[0], parts)
+
+    some = rows.select("learn", "text").mapInArrow(count, "kind int, part long, keys array<long>, every array<int>, train array<int>")
+    dealt = some.repartition("kind", "part").sortWithinPartitions("kind", "part")
+    return dealt.mapInArrow(merge, "kind int, part long, keys array<long>, every array<long>, train array<long>, w array<double>")
+
+
+def _level(packs: DataFrame, depth: int) -> DataFrame:
+    """The grams of ``depth``, 2 or 1, from packs (part, keys, n, w) of the next, one pack or more for each context.
+
+    Returns part (their last ``depth`` - 1 context bytes), keys, n, w, own and rest (eight numbers for each key).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settled(columns: list[np.ndarray]) -> pa.RecordBatch:
-            first = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
-            key = columns[0][first]
-            n, every, *below = (np.add.reduceat(c, first) for c in columns[1:])
-            weighted, own_share, left = _mixed(key, n, below)
-            values = [*weighted, *(x.astype(np.float32) for x in [*own_share, *left])]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, every, *values)], names)
-
-        kept: list[np.ndarray] = []  # the last context, which may go on in the next batch
+        def settled(packs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            keys, n, w = (np.concatenate(c) for c in zip(*packs, strict=True))
+            keys, n, below, _ = _parents(keys, n, list(w.reshape(-1, 8).T), depth)
+            weighted, own, rest = _mixed(keys, n, below)
+            context = _context(keys, depth - 1)
+            order = np.argsort(context, kind="stable")
+            first = np.flatnonzero(np.r_[True, context[order][1:] != context[order][:-1]])
+            flat = [np.stack(x, axis=1)[order].ravel() for x in (weighted, own, rest)]
+            columns = _lists(np.r_[first, len(keys)], keys[order], n[order], *flat, width=(1, 1, 8, 8, 8))
+            return pa.RecordBatch.from_arrays([pa.array(context[order][first]), *columns], ["part", "keys", "n", "w", "own", "rest"])
+
+        at, kept, size = None, [], 0
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            columns = [np.concatenate(c) for c in zip(kept, columns, strict=True)] if kept else columns
-            if not len(columns[0]):
-                continue
-            context = columns[0] >> 8
-            to = int(np.searchsorted(context, context[-1]))
-            if to:
-                yield settled([c[:to] for c in columns])
-            kept = [c[to:] for c in columns]
+            for i in range(batch.num_rows):
+                part = batch.column(0)[i].as_py()
+                if part != at and size > KEEP_KEYS // 8:
+                    yield settled(kept)
+                    kept, size = [], 0
+                at = part
+                kept.append(tuple(_entries(batch.column(c).slice(i, 1)) for c in (1, 2, 3)))
+                size += len(kept[-1][0])
         if kept:
             yield settled(kept)
 
-    taken = ["key", "n", "every", *([] if deepest else [f"w{bit}" for bit in _BITS])]
-    schema = ", ".join(["key long, n long, every long", *(f"{c}{bit} {'double' if c == 'w' else 'float'}" for c in "wab" for bit in _BITS)])
-    dealt = rows.select(*taken).repartition(F.shiftright("key", 8)).sortWithinPartitions("key")
-    return materialise(dealt.mapInArrow(run, schema), "grams")
+    dealt = packs.select("part", "keys", "n", "w").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "part long, keys array<long>, n array<long>, w array<double>, own array<double>, rest array<double>")
+
+
+def _table(packs: DataFrame, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """Packs brought to the driver, sorted by key: the keys, and the columns with eight rows of numbers for each key."""
+    found = packs.select("keys", *columns).toArrow()
+    if not found.num_rows:
+        return [np.zeros(0, np.int64), *(np.zeros((8, 0)) for _ in columns)]
+    keys = _entries(found.column(0).combine_chunks())
+    order = np.argsort(keys)
+    rest = [_entries(found.column(c).combine_chunks()).reshape(len(keys), -1)[order].T for c in columns]
+    return [keys[order], *rest]
 
 
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, every, logp): log10 probability of the byte of each gram of ``counts`` by the model of the training texts."""
-    rows = counts.filter(F.col("kind") == GRAM).select("key", F.col("train").alias("n"), "every")
-    levels = [_level(rows, True)]
-    for d in range(depth - 1, -1, -1):
-        mask = (1 << (8 * (d + 1))) - 1
-        levels.append(_level(levels[-1].withColumn("key", F.col("key").bitwiseAND(F.lit(mask))), False))
-    levels.reverse()
-    up = levels[0].select("key", "every", *(F.col(f"a{bit}").alias(f"s{bit}") for bit in _BITS), *(F.col(f"b{bit}").alias(f"l{bit}") for bit in _BITS))
-    for d in range(1, depth + 1):
-        sure = [(F.col(f"s{bit}") + F.col(f"l{bit}") * F.col(f"a{bit}")).alias(f"s{bit}") for bit in _BITS]
-        left = [(F.col(f"l{bit}") * F.col(f"b{bit}")).alias(f"l{bit}") for bit in _BITS] if d < depth else []
-        above = up.select(F.col("key").alias("above"), *(f"{c}{bit}" for c in "sl" for bit in _BITS))
-        above = F.broadcast(above) if d < 3 else above  # at most 65,536 grams
-        here = levels[d].select("key", "every", *(f"a{bit}" for bit in _BITS), *(f"b{bit}" for bit in _BITS if d < depth))
-        joined = here.withColumn("above", F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(above, "above")
-        up = joined.select("key", "every", *sure, *left)
-    logp = sum((F.log10(F.col(f"s{bit}").cast("double")) for bit in _BITS), F.lit(0.0))
-    return materialise(up.select("key", "every", logp.alias("logp")), "gram-scores")
+    tops = counts.filter(F.col("kind") == TOP).select("part", "keys", F.col("train").alias("n"), "w")
+    two = materialise(_level(tops, 2), "grams-2")
+    one = materialise(_level(two, 1), "grams-1")
+    # Grams of two bytes: 65,536 at most.
+    keys, n, w, own, rest = _table(one, ("n", "w", "own", "rest"))
+    zero, n_0, below, of = _parents(keys, n[0] if len(keys) else keys, list(w), 0)
+    sure, left = np.zeros((8, 0)), np.zeros((8, 0))
+    if len(keys):
+        _, own_0, left_0 = _mixed(zero, n_0, below)
+        sure, left = np.stack(own_0)[:, of], np.stack(left_0)[:, of]
+    sure, left = sure + left * own, left * rest
+    # Grams of three bytes of UTF-8: well under five million, 72 bytes each.
+    key_2, own, rest = _table(two, ("own", "rest"))
+    of = np.searchsorted(keys, key_2 & 0xFFFF)
+    sure, left = sure[:, of] + left[:, of] * own, left[:, of] * rest
+    shared = counts.sparkSession.sparkContext.broadcast((key_2, sure.astype(np.float32), left.astype(np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_2, sure, left = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, every, train = (_entries(batch.column(c).slice(i, 1)) for c in (0, 1, 2))
+                levels, (top, _, _) = settle(keys, train, depth)
+                at = np.searchsorted(key_2, top & 0xFFFFFF)
+                logp = descend(levels, sure[:, at].astype(float), left[:, at].astype(float))
+                for k in range(0, len(keys), 100_000):
+                    s = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(every[s]), pa.array(logp[s])], ["key", "every", "logp"])
+
+    grams_ = counts.filter(F.col("kind") == GRAM).select("keys", "every", "train")
+    return materialise(grams_.mapInArrow(run, "key long, every long, logp double"), "gram-scores")
+
+
+def frequent(rows: DataFrame, most: int) -> int:
+    """The least count (column every) such that at most ``most`` rows reach it, to within a sixteenth of an octave."""
+    level = F.floor(F.log2("every") * 16)
+    found = rows.filter("every > 0").groupBy(level.alias("level")).agg(F.min("every").alias("least"), F.count(F.lit(1)).alias("n")).collect()  # 1,024 rows at most
+    total, least = 0, 1 << 62
+    for r in sorted(found, key=lambda r: -r["level"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,21 +419,21 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
     counts = materialise(count_corpus(rows), "corpus-counts")
-    words = counts.filter(F.col("kind") == WORD)
-    sums = words.agg(F.sum("every").alias("every"), F.sum("train").alias("train"), F.count_if(F.col("train") > 0).alias("kinds")).first()
-    every, train, kinds = (sums[k] or 0 for k in ("every", "train", "kinds"))
+    words = counts.filter(F.col("kind") == WORD).select(F.inline(F.arrays_zip("keys", "every", "train"))).withColumnRenamed("keys", "key")
+    sums = words.agg(F.sum("train").alias("train"), F.count_if(F.col("train") > 0).alias("kinds")).first()
+    train, kinds = sums["train"] or 0, sums["kinds"] or 0
     whole = train + 0.1 * (kinds + 1)
-    # Each of these words makes up one part in HEAVY of all tokens, so there are at most HEAVY.
-    heavy_rows = words.filter((F.col("every") * HEAVY >= every) | (F.col("key") == END_WORD)).select("key", "train")
-    found = heavy_rows.toArrow()
+    often = frequent(words, HEAVY)
+    is_heavy = (F.col("every") >= often) | (F.col("key") == END_WORD)
+    found = words.filter(is_heavy).select("key", "train").toArrow()
     h = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     c = found.column("train").to_numpy()[order].astype(float)
     heavy = (SortedIndex(h[order]), np.log10((c + 0.1) / whole), c > 0)
     scores = gram_scores(counts)
-    all_bytes = scores.agg(F.sum("every")).first()[0] or 0
-    found = scores.filter(F.col("every") * HEAVY_GRAMS >= all_bytes).select("key", "logp").toArrow()
-    heavy_grams = _index(found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("logp").to_numpy().astype(float))
+    often_grams = frequent(scores, HEAVY_GRAMS)
+    found = scores.filter(F.col("every") >= often_grams).select("key", F.col("logp").cast("float").alias("logp")).toArrow()
+    heavy_grams = _index(found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("logp").to_numpy())
     shared = spark.sparkContext.broadcast((heavy, heavy_grams))
     end = np.uint64(END_WORD)
 
@@ -453,8 +483,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     schema = "row long, kind int, key long, n long, doc_id long, tokens long, known long, base double, score double, size long"
     marked = rows.select("doc_id", "text").mapInArrow(run, schema)
-    rare = words.filter(F.col("every") * HEAVY < every).select("kind", F.col("key").alias("word"), F.col("train").alias("c"), F.lit(0.0).alias("logp"))
-    rare_grams = scores.filter(F.col("every") * HEAVY_GRAMS < all_bytes).select(F.lit(GRAM).alias("kind"), F.col("key").alias("word"), F.lit(0).cast("long").alias("c"), "logp")
+    rare = words.filter(~is_heavy).select(F.lit(WORD).alias("kind"), F.col("key").alias("word"), F.col("train").alias("c"), F.lit(0.0).alias("logp"))
+    rare_grams = scores.filter(F.col("every") < often_grams).select(F.lit(GRAM).alias("kind"), F.col("key").alias("word"), F.lit(0).cast("long").alias("c"), "logp")
     joined = marked.withColumn("word", F.coalesce("key", F.xxhash64("row"))).join(rare.union(rare_grams), ["kind", "word"], "left")
     is_word, is_gram = F.col("kind") == WORD, F.col("kind") == GRAM
     met = F.coalesce("c", F.lit(0))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import whole_tree
 from foliomill.llm import bpe, ctw, langid, pii, quality, shared, toxicity
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -180,12 +181,12 @@ def test_tree_agrees_with_the_recursion_and_sums_to_one():
     tables = []
     for d in range(depth + 1):
         tables.append(np.unique(g & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True))
-    model = ctw.build(tables)
+    model = whole_tree.build(tables)
     # The sequential probability of one more byte is the ratio of two weighted probabilities.
     before = [(text[i - 1] if i else 10, text[i - 2] if i > 1 else 10) for i in range(len(text))]
     for context in (b"ab", b"ca", b"zz"):
         after = [np.uint64(context[1] << 8 | context[0] << 16 | b) for b in range(256)]
-        probs = 10 ** ctw.byte_scores(model, np.array(after, np.uint64))
+        probs = 10 ** whole_tree.byte_scores(model, np.array(after, np.uint64))
         assert abs(probs.sum() - 1) < 1e-5
         for byte in b"abc":
             ratio = 1.0
@@ -214,9 +215,9 @@ def test_every_context_of_the_corpus_is_in_the_model(spark, monkeypatch, heavy):
 
     g = ctw.grams(prepared([t for i, t, _ in rows if i < 200]), ctw.DEPTH)
     tables = [np.unique(g & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(ctw.DEPTH + 1)]
-    model = ctw.build(tables)
+    model = whole_tree.build(tables)
     for i, t, _ in rows:
-        expected = ctw.byte_scores(model, ctw.grams(prepared([t]), ctw.DEPTH)).sum()
+        expected = whole_tree.byte_scores(model, ctw.grams(prepared([t]), ctw.DEPTH)).sum()
         assert found[i] == pytest.approx(expected, rel=1e-4, abs=1e-4), i
 
 
