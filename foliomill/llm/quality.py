@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
-from .shared import LOWER, materialise, run_hashes, text_slices, word_bounds
+from .shared import LOWER, free_name, materialise, run_hashes, text_slices, word_bounds
 
 NAMES = (
     "log_words", "word_length", "upper", "digits", "marks", "symbols", "pipes", "bangs", "lines", "stops",
@@ -102,6 +103,19 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
+def with_features(docs: DataFrame, column: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the statistics of every whole text in ``column``; a null text is empty."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offsets in text_slices(batch.column(place)):
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(statistics(data, offsets).ravel()), D).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, flat], [*batch.schema.names, column])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, ArrayType(DoubleType()))]))
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of every whole text; a null text is empty."""
 
@@ -239,3 +253,25 @@ def classify(docs: DataFrame, labels: DataFrame, where: Column, threshold: float
     """
     rows = materialise(features(docs), "quality-features")
     return score(rows, fit(rows, labels, where), threshold)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, where: Column, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, whose score by ``classify`` reaches the threshold.
+
+    The statistics are written beside the rows, which are then judged where they lie: no
+    row is looked up by its id, so null and repeated ids do not matter.  Other cases as
+    in ``classify``.
+    """
+    x, ok = free_name(docs, "quality_x"), free_name(docs, "quality_ok")
+    rows = materialise(with_features(docs, x, text_col), "quality-rows")
+    model = fit(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(x).alias("x")), labels, where)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = rows.columns.index(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = shared.value.score(np.asarray(batch.column(place).flatten()).reshape(-1, D))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s >= threshold)], [*batch.schema.names, ok])
+
+    judged = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(ok, BooleanType())]))
+    return judged.filter(F.col(ok)).select(*docs.columns)

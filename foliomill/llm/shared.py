@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +19,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset in a local session (tests)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -42,6 +45,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two columns that tell its rows apart, equal ones too: its file (as a hash) and its place there.
+
+    The key is the same whenever the files are read; rows that do not come straight from
+    files are stored first.  Returns the names of the two columns as well.
+    """
+    names = [free_name(df, "row_file"), free_name(df, "row_at")]
+    place = {names[0]: F.xxhash64("_metadata.file_path"), names[1]: F.col("_metadata.row_index")}
+    try:
+        return df.withColumns(place), names
+    except AnalysisException:  # no files behind these rows
+        return materialise(df, "rows").withColumns(place), names
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of every row with its class, in which no class, however large, is read by one task.
+
+    Classes that hold over one row in ``MOST_LARGE`` of all ``total`` (column ``size``) are
+    ``MOST_LARGE`` at most and sent to all tasks; the rest meet their rows by ``key``.
+    """
+    is_large = F.col(size) * MOST_LARGE > total
+    large, rest = F.broadcast(classes.filter(is_large)), classes.filter(~is_large)
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(rest, key))
+
+
+MOST_LARGE = 1_000
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does that for pure ASCII texts, in less time."""
     text = F.coalesce(text, F.lit(""))

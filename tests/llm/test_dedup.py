@@ -49,6 +49,53 @@ def test_index_carries_over_batches(spark, tmp_path):
     assert spark.table(other).count() == 3
 
 
+def test_the_index_is_read_once_and_without_a_shuffle(spark, tmp_path):
+    index = exact_dedup.create_index(spark, f"ix_{uuid.uuid4().hex}", str(tmp_path / "ix"), buckets=3)
+    for k in range(3):
+        exact_dedup.deduplicate(table(spark, [(100 * k + i, f"t{i + k}") for i in range(50)]), index)
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, digest string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = exact_dedup.settle(rows, spark.table(index), 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    lines = plan.splitlines()
+    scan = next(i for i, x in enumerate(lines) if "FileScan" in x)
+    join = next(i for i, x in enumerate(lines) if "SortMergeJoin" in x)
+    # Of the shuffles, all are on the batch's side, which comes first.
+    depth = {i: len(x) - len(x.lstrip(": +-*()0123456789")) for i, x in enumerate(lines)}
+    chain, least = [], depth[scan]
+    for i in range(scan - 1, join, -1):
+        if depth[i] < least and not lines[i].lstrip().startswith(":"):
+            chain.append(lines[i])
+            least = depth[i]
+    assert chain and not [x for x in chain if "Exchange" in x]
+    assert plan.count("FileScan") == 1
+
+    # Many appends, then one sorted file for each bucket; a digest that entered twice leaves its first id.
+    exact_dedup._append(spark.table(index).limit(5).select("digest", (F.col("keep_id") + 1).alias("keep_id")), index)
+    small = exact_dedup.compact(spark, index, f"ix_{uuid.uuid4().hex}", str(tmp_path / "small"))
+    assert spark.table(small).count() == 52 == spark.table(index).select("digest").distinct().count()
+    assert len(spark.table(small).inputFiles()) <= 3 < len(spark.table(index).inputFiles())
+    again = exact_dedup.deduplicate(table(spark, [(7, "t0"), (8, "T1")]), small).collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in again} == {(7, 0, False), (8, 1, False)}
+
+
+def test_repeated_rows_leave_one(spark, tmp_path):
+    rows = [(5, "a"), (5, "a"), (5, "b"), (9, "B"), (None, "c"), (None, "C"), (None, "a"), (None, "")]
+    table(spark, rows).write.parquet(str(tmp_path / "t"))
+    docs, key = shared.with_row_key(spark.read.parquet(str(tmp_path / "t")).withColumnRenamed("lang", "row_at"))
+    kept = docs.join(exact_dedup.distinct_rows(docs, key), key, "left_semi")
+    assert sorted(map(str, ((r["doc_id"], r["text"].lower()) for r in kept.collect()))) == sorted(map(str, [(5, "a"), (9, "b"), (None, "c"), (None, "")]))
+
+
+def test_large_classes_join_like_others(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("k"), "id")
+    classes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("size"))
+    out = shared.join_classes(rows, classes, "k", "size", 5000)
+    assert out.count() == 5000 and out.filter("k = 0 and size = 3000").count() == 3000
+
+
 def test_xxh64_agrees_with_the_library():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 256, 20_000, dtype=np.uint8)
@@ -141,3 +188,52 @@ def test_text_slices_keep_whole_texts():
 def test_ascii_lower_leaves_other_letters(spark):
     rows = spark.createDataFrame([("AÉz",), ("AZ",), (None,)], "t string")
     assert [r[0] for r in rows.select(shared.ascii_lower(F.col("t"))).collect()] == ["aÉz", "az", ""]
+
+
+def five(text):
+    w = lowered(text).split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_similar_rows_by_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("mor", "tel", "gra", "win", "sol", "ker") for b in ("an", "ei", "ou", "ist", "ul")]
+    rows = []
+    for i in range(120):
+        body = [rng.choice(words) for _ in range(rng.randint(120, 400))]
+        rows.append((i, " ".join(body)))
+        for share in (0.005, 0.01, 0.2):  # words changed: similar by far, just so, or not at all
+            other = [rng.choice(words) if rng.random() < share else w for w in body]
+            rows.append((i + round(share * 200_000), " ".join(other).upper()))
+    rows += [(90_000, None), (90_001, ""), (90_002, "one two"), (90_003, "one two"), (90_003, "one two"), (None, "one two")]
+    table(spark, rows).write.parquet(str(tmp_path / "t"))
+    docs, key = shared.with_row_key(spark.read.parquet(str(tmp_path / "t")))
+    left = [r["doc_id"] for r in docs.join(simhash.similar_rows(docs, key), key, "left_semi").collect()]
+    sets = {i: five(t) for i, t in rows[:480]}
+    likeness = {}
+    for i in range(120):
+        for j in (i + 1000, i + 2000, i + 40_000):
+            likeness[i, j] = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    alike = [p for p, x in likeness.items() if x >= 0.8]
+    assert len(alike) > 150 and sum(j not in left for _, j in alike) >= 0.95 * len(alike)
+    assert set(range(120)) <= set(left)  # the smallest id of a group stays
+    assert all(j in left for (i, j), x in likeness.items() if x < 0.5)
+    assert sorted(i for i in left if i and i >= 90_000) == [90_000, 90_002] and len(left) == len(set(left))
+
+
+def test_dense_anchor_finds_every_component():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+    fps = base[rng.integers(0, 3, 700)]
+    for row in fps:
+        for bit in rng.choice(256, rng.integers(0, 30), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    ids = np.arange(700)
+    a, b = simhash.near_edges(np.zeros(700, np.int64), ids, fps)
+    near = simhash._apart(fps[:, None], fps[None]) <= simhash.WIDE_DISTANCE
+    label = np.arange(700)
+    for _ in range(20):
+        label = np.where(near, label[None], 700).min(axis=1)
+    root = np.arange(700)
+    root[a] = b
+    assert len(np.unique(label)) == 3 and all(len(np.unique(label[root == r])) == 1 for r in np.unique(root)) and len(np.unique(root)) == 3

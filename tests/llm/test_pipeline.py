@@ -68,6 +68,23 @@ def test_mixed_order_reaches_the_last_stage(spark, tmp_path):
     assert positions == sorted(set(positions))
 
 
+def test_repeated_and_null_ids(spark, corpus, tmp_path):
+    folder, rows, kinds, prose = corpus
+    by_text = {r[0]: r[1] for r in prose[:6]}
+    a, b, c, *_ = by_text.values()
+    odd = [(5, a), (5, a), (5, b), (9, b), (None, c), (None, c), (None, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = corpus_pipeline.exact_stage(spark, docs, folder)
+    assert exact.columns == docs.columns
+    assert sorted(map(str, ((r[0], r[1]) for r in exact.collect()))) == sorted(map(str, [(5, a), (9, b), (None, c), (None, c + " more")]))
+    near = corpus_pipeline.near_stage(spark, exact, folder)
+    assert Counter(r[0] for r in near.collect()) == {5: 1, 9: 1, None: 1}
+    # All that is not junk passes the first stage once for each row; junk never does, whatever its id.
+    junk = next(r[1] for r in rows if kinds[r[0]] == "junk")
+    mixed = docs.union(spark.createDataFrame([(6, junk, "en", "s0", 1), (6, junk, "en", "s0", 1), (None, junk, "en", "s0", 1)], docs.schema))
+    assert Counter(r["text"] for r in corpus_pipeline.quality_stage(spark, mixed, folder).collect()) == Counter(t for _, t in odd)
+
+
 def test_empty_documents(spark, corpus, tmp_path):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
