@@ -79,10 +79,12 @@ def test_repeated_and_null_ids(spark, corpus, tmp_path):
     assert sorted(map(str, ((r[0], r[1]) for r in exact.collect()))) == sorted(map(str, [(5, a), (9, b), (None, c), (None, c + " more")]))
     near = corpus_pipeline.near_stage(spark, exact, folder)
     assert Counter(r[0] for r in near.collect()) == {5: 1, 9: 1, None: 1}
-    # All that is not junk passes the first stage once for each row; junk never does, whatever its id.
+    # Each row is judged by its own text: junk goes and prose stays, whatever ids they share.
     junk = next(r[1] for r in rows if kinds[r[0]] == "junk")
-    mixed = docs.union(spark.createDataFrame([(6, junk, "en", "s0", 1), (6, junk, "en", "s0", 1), (None, junk, "en", "s0", 1)], docs.schema))
-    assert Counter(r["text"] for r in corpus_pipeline.quality_stage(spark, mixed, folder).collect()) == Counter(t for _, t in odd)
+    extra = [(7000, junk, "en", "s0", 1), (7000, a, "en", "s0", 1), (7000, a, "en", "s0", 1), (None, junk, "en", "s0", 1), (None, b, "en", "s0", 1)]
+    whole = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 1000").union(spark.createDataFrame(extra, docs.schema))
+    left = Counter((r[0], r[1]) for r in corpus_pipeline.quality_stage(spark, whole, folder).collect())
+    assert left[7000, a] == 2 and left[None, b] == 1 and left[7000, junk] == left[None, junk] == 0
 
 
 def test_empty_documents(spark, corpus, tmp_path):
