@@ -4,88 +4,78 @@ Each source is cut into blocks of equal size.  With weight w (its share of the
 slots), its k-th block (k from 0) is released at floor(k / w) and due at
 ceil((k + 1) / w); in each slot the released block with the earliest deadline goes
 out.  Every source is then, at every slot, less than one block away from its target.
+When a source runs out, the rest go on in the same proportions to each other, counted
+from there.
 
-The weights are integers (a source has ``units`` of all units), so the schedule
-repeats after as many slots as there are units: one period is worked out on the
-driver, at a size set by the parameters and not by the data, and every block finds
-its slot by arithmetic and a join with that small table.  When a source runs out,
-the rest go on, in the same proportions to each other, with a period of their own.
+Weights are taken as they are, as integers of 2^53 parts.  The driver schedules blocks
+and not rows: a block holds ``block_rows`` rows, or one part in ``MAX_BLOCKS`` of all
+rows if that is more, so the schedule has a bounded length; a row meets its slot by an
+equi join on source and block, in which no key has more rows than a block.
 
 Blocks come from numbering the rows of a source without gathering a source in one
-task: rows are dealt into many splits by a hash of their id, the splits are counted,
-and each split is numbered from where the ones before it end.
+task: rows are dealt into many splits by a hash of id and place in the file, the splits
+are counted, and each split is numbered from where the ones before it end.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import free_name, with_row_key
+
 #: More sources than this are refused, since a row for each is held on the driver.
-MAX_SOURCES = 5_000
-#: Units that the weights are rounded to, by default; also the slots of one period.
-UNITS = 1_000
+MAX_SOURCES = 2_000
+#: Blocks that are scheduled at most (and one for each source).
+MAX_BLOCKS = 1 << 20
+#: Parts of the whole that weights are counted in.
+PARTS = 1 << 53
 ROWS_PER_SPLIT = 512
 MAX_SPLITS = 20_000
 
 
-def period(units: Mapping[str, int]) -> list[tuple[str, int]]:
-    """One period of the schedule: for each slot, the source and which of its blocks in this period.
-
-    Integer arithmetic throughout: with a source's a units of T, block k has release
-    k*T // a and deadline ceil((k+1)*T / a).
-    """
-    total = sum(units.values())
-    coming = [(0, name, 0) for name, a in units.items() if a > 0]
-    heapq.heapify(coming)
-    ready: list[tuple[int, int, str, int]] = []
-    slots = []
-    for slot in range(total):
-        while coming and coming[0][0] <= slot:
-            _, name, k = heapq.heappop(coming)
-            a = units[name]
-            heapq.heappush(ready, (-(-(k + 1) * total // a), -a, name, k))
-        due, _, name, k = heapq.heappop(ready)
-        assert due > slot, "a block missed its deadline"
-        slots.append((name, k))
-        if k + 1 < units[name]:
-            heapq.heappush(coming, ((k + 1) * total // units[name], name, k + 1))
-    return slots
-
-
-def to_units(weights: Mapping[str, float], units: int) -> dict[str, int]:
-    """Integer shares of ``units`` by largest remainder; a positive weight gets one unit at least."""
+def in_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Positive weights as integers in proportion, of about ``PARTS`` in all, at least one each."""
     whole = sum(weights.values())
-    exact = {s: w * units / whole for s, w in weights.items() if w > 0}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    short = units - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, short)]:
-        out[s] += 1
-    return out
+    return {s: max(1, round(w / whole * PARTS)) for s, w in weights.items()}
 
 
-def phases(blocks: Mapping[str, int], units: Mapping[str, int]) -> list[tuple[int, list[tuple[str, int]], dict[str, int]]]:
-    """The stretches in which the same sources take part, each up to the slot in which one of them runs out.
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[str, int]]:
+    """For each slot the source and which of its blocks; all blocks of all sources, none before its turn.
 
-    For each: its number of slots, its period, and how many blocks each source sends in it.
+    Integer arithmetic throughout: with a of T parts, block k is released at
+    k*T // a and due at ceil((k+1)*T / a), counted from the last time a source ran out.
     """
-    left, out = {s: n for s, n in blocks.items() if n > 0}, []
+    parts = in_parts(weights)
+    sent = dict.fromkeys(blocks, 0)
+    left = {s for s, n in blocks.items() if n > 0}
+    slots: list[tuple[str, int]] = []
     while left:
-        slots = period({s: units[s] for s in left})
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for at, (s, _) in enumerate(slots):
-            places[s].append(at)
-        length = 1 + min((n - 1) // units[s] * len(slots) + places[s][(n - 1) % units[s]] for s, n in left.items())
-        full, part = divmod(length, len(slots))
-        sent = {s: full * units[s] + bisect.bisect_left(places[s], part) for s in left}
-        out.append((length, slots, sent))
-        left = {s: n - sent[s] for s, n in left.items() if n > sent[s]}
-    return out
+        total = sum(parts[s] for s in left)
+        coming = [(0, s, 0) for s in sorted(left)]
+        ready: list[tuple[int, int, str, int]] = []
+        slot, over = 0, False
+        while not over:
+            while coming and coming[0][0] <= slot:
+                _, s, k = heapq.heappop(coming)
+                heapq.heappush(ready, (-(-(k + 1) * total // parts[s]), -parts[s], s, k))
+            due, _, s, k = heapq.heappop(ready)
+            assert due > slot, "a block missed its deadline"
+            slots.append((s, sent[s]))
+            sent[s] += 1
+            if sent[s] == blocks[s]:
+                left.remove(s)
+                over = True
+            else:
+                heapq.heappush(coming, ((k + 1) * total // parts[s], s, k + 1))
+            slot += 1
+    return slots
 
 
 def _key(source: Column) -> Column:
@@ -98,7 +88,6 @@ def mix(
     weights: Mapping[str | None, float] | None = None,
     alpha: float = 0.5,
     block_rows: int = 64,
-    units: int = UNITS,
     source_col: str = "source",
     id_col: str = "doc_id",
 ) -> DataFrame:
@@ -114,70 +103,58 @@ def mix(
     the rows are interleaved as scheduled.  No row is dropped or repeated.
 
     Defined cases: a null source is a source of its own; rows with null or repeated ids
-    are placed one by one, in an order among equals that is not fixed; an empty table
-    gives an empty result; input columns named mix_* are replaced.
+    are placed one by one, by their place in the files; an empty table gives an empty
+    result; input columns named mix_* are replaced, all other names are kept apart from
+    what is computed here; a negative weight is an error.
     """
     spark = docs.sparkSession
+    if weights is not None and min(weights.values(), default=0) < 0:
+        raise ValueError("a weight is negative")
     docs = docs.drop("mix_block", "mix_slot", "mix_pos")
-    id_, source = F.col(id_col), F.col(source_col)
-    counts = {r["s"]: r["n"] for r in docs.groupBy(_key(source).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
+    columns = docs.columns
+    docs, place = with_row_key(docs)
+    s, split, start, n, nth = (free_name(docs, x) for x in ("mix_source", "mix_split", "mix_start", "mix_n", "mix_nth"))
+    keyed = docs.withColumn(s, _key(F.col(source_col)))
+    counts = {r[0]: r[1] for r in keyed.groupBy(s).agg(F.count(F.lit(1))).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     total = sum(counts.values())
+    block_rows = max(block_rows, -(-total // MAX_BLOCKS))
+    slots = _plan(counts, weights, alpha, block_rows)
+    names = sorted(counts)
+    number = {x: i for i, x in enumerate(names)}
+    plan = pa.table(
+        {
+            s: pa.array(names, pa.string()).take(pa.array(np.fromiter((number[x] for x, _ in slots), np.int64, len(slots)))),
+            "mix_block": pa.array(np.fromiter((k for _, k in slots), np.int64, len(slots))),
+            "mix_slot": pa.array(np.arange(len(slots))),
+        }
+    )
     splits = max(1, min(MAX_SPLITS, -(-total // ROWS_PER_SPLIT)))
-    plan = _schedule(counts, weights, alpha, block_rows, units)
-    schema = "__s string, __from long, __to long, __a int, __k int, __base long, __period long, __slot int"
-    table = F.broadcast(spark.createDataFrame(plan, schema))  # a phase for each source at most, each of at most `units` slots
-
-    keyed = docs.withColumns({"__s": _key(source), "__split": F.pmod(F.xxhash64(id_), F.lit(splits)).cast("int")})
-    sizes = keyed.groupBy("__s", "__split").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__s").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__s", "__split", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__s", "__split").orderBy(F.xxhash64(id_, F.lit(1)), id_)
-    numbered = keyed.withColumn("__rn", F.row_number().over(within) - 1).join(starts, ["__s", "__split"])
-    at = F.col("__start") + F.col("__rn")
+    keyed = keyed.withColumn(split, F.pmod(F.xxhash64(id_col, place[1]), F.lit(splits)).cast("int"))
+    before = Window.partitionBy(s).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy(s, split).agg(F.count(F.lit(1)).alias(n)).select(s, split, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(s, split).orderBy(F.xxhash64(id_col, F.lit(1)), id_col, place[1], place[0])
+    numbered = keyed.withColumn(nth, F.row_number().over(within) - 1).join(starts, [s, split])
+    at = F.col(start) + F.col(nth)
     numbered = numbered.withColumns({"mix_block": F.floor(at / block_rows).cast("long"), "mix_pos": (at % block_rows).cast("int")})
-    # A block's phase is the one whose range of block numbers, for its source, holds it.
-    ranges = {}
-    for s, lo, hi, a, k, *_ in plan:
-        ranges.setdefault(s, {})[lo] = a
-    phase = spark.createDataFrame(
-        [(s, sorted(x), [x[lo] for lo in sorted(x)]) for s, x in ranges.items()], "__s string, __los array<long>, __as array<int>"
-    )
-    numbered = numbered.join(F.broadcast(phase), "__s")  # one row for each source
-    nth = F.size(F.filter("__los", lambda lo: lo <= F.col("mix_block")))
-    numbered = numbered.withColumn("__from", F.element_at("__los", nth)).withColumn(
-        "__k", ((F.col("mix_block") - F.col("__from")) % F.element_at("__as", nth)).cast("int")
-    )
-    out = numbered.join(table.select("__s", "__from", "__a", "__k", "__base", "__period", "__slot"), ["__s", "__from", "__k"])
-    cycle = F.floor((F.col("mix_block") - F.col("__from")) / F.col("__a"))
-    out = out.withColumn("mix_slot", (F.col("__base") + cycle * F.col("__period") + F.col("__slot")).cast("long"))
-    return out.select(*[docs[c] for c in docs.columns], "mix_block", "mix_slot", "mix_pos")
+    out = numbered.join(spark.createDataFrame(plan), [s, "mix_block"])
+    return out.select(*[F.col(f"`{c}`") for c in columns], "mix_block", "mix_slot", "mix_pos")
 
 
-def _schedule(counts, weights, alpha, block_rows, units) -> list[tuple]:
-    """Rows (source, first block, end block, units, block in period, slots before, period, slot)."""
+def _plan(counts: Mapping[str, int], weights: Mapping[str | None, float] | None, alpha: float, block_rows: int) -> list[tuple[str, int]]:
+    """The schedule of the weighted sources, then that of the rest."""
     if weights is None:
         target = {s: n**alpha for s, n in counts.items()}
     else:
         by_key = {"null" if s is None else f"={s}": w for s, w in weights.items()}
         target = {s: by_key.get(s, 0.0) for s in counts}
     rest = {s: float(counts[s]) for s in counts if target[s] <= 0}
-    rows, base = [], 0
+    slots = []
     for group in ({s: w for s, w in target.items() if w > 0}, rest):
-        if not group:
-            continue
-        blocks = {s: -(-counts[s] // block_rows) for s in group}
-        share = to_units(group, max(units, len(group)))
-        done = dict.fromkeys(group, 0)
-        for length, slots, sent in phases(blocks, share):
-            for slot, (s, k) in enumerate(slots):
-                if k < sent[s]:
-                    rows.append((s, done[s], done[s] + sent[s], share[s], k, base, len(slots), slot))
-            base += length
-            for s, n in sent.items():
-                done[s] += n
-    return rows
+        if group:
+            slots += schedule({s: -(-counts[s] // block_rows) for s in group}, group)
+    return slots
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:

@@ -45,29 +45,56 @@ def test_few_candidates_and_none(spark):
     assert ann.nearest(vectors(spark, [(1, [1.0])]), F.col("vec_id") == 0).count() == 0
 
 
-def test_period_stays_within_one_block():
-    rng = random.Random(1)
-    for _ in range(60):
-        units = {f"s{i}": rng.randint(1, 40) for i in range(rng.randint(1, 9))}
-        total, done = sum(units.values()), Counter()
-        slots = mixing.period(units)
-        assert Counter(s for s, _ in slots) == units
-        for at, (s, k) in enumerate(slots):
-            assert k == done[s] and k * total // units[s] <= at < -(-(k + 1) * total // units[s])
+def worst(slots, weights):
+    """Largest distance of a source from its given share of the slots, in blocks, over all prefixes."""
+    order, total, out = np.array([s for s, _ in slots]), sum(weights.values()), 0.0
+    slot = np.arange(1, len(order) + 1)
+    for s, w in weights.items():
+        out = max(out, np.abs(np.cumsum(order == s) - slot * (w / total)).max())
+    return out
+
+
+def test_every_source_is_less_than_a_block_from_the_given_weight():
+    rng = random.Random(3)
+    many = {"big": 1.0} | {f"s{i}": 1e-6 for i in range(400)}
+    families = [
+        {"a": 2 / 3, "b": 1 / 3}, {f"s{i}": rng.randint(1, 10**6) ** 0.5 for i in range(20)}, many, {"a": 1.0, "b": 1e-9},
+        {f"s{i}": 1.618**-i for i in range(40)}, {f"s{i}": 1 for i in range(7)}, {"only": 0.1},
+    ]
+    families += [{f"s{i}": rng.random() ** 3 for i in range(rng.randint(2, 30))} for _ in range(8)]
+    for weights in families:
+        n = 100_000 if len(weights) < 30 or weights is many else 20_000
+        # So many blocks of each that none runs out before slot n.
+        total = sum(weights.values())
+        slots = mixing.schedule({s: int(n * w / total) + 3 for s, w in weights.items()}, weights)[:n]
+        assert worst(slots, weights) < 1, weights
+        done = Counter()
+        for s, k in slots:
+            assert k == done[s]
             done[s] += 1
-            assert all(abs(done[x] - (at + 1) * a / total) < 1 for x, a in units.items())
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, mix_pos string, __s int"
+def test_the_rest_go_on_when_a_source_runs_out():
+    weights = {"a": 0.61, "b": 0.3, "c": 0.09}
+    slots = mixing.schedule({"a": 50, "b": 5, "c": 70}, weights)
+    assert Counter(s for s, _ in slots) == {"a": 50, "b": 5, "c": 70}
+    end = max(i for i, (s, _) in enumerate(slots) if s == "b") + 1
+    assert worst(slots[:end], weights) < 1
+    later = slots[end : max(i for i, (s, _) in enumerate(slots) if s == "a") + 1]
+    assert worst(later, {"a": 0.61, "c": 0.09}) < 1
+    assert mixing.schedule({}, {}) == [] == mixing.schedule({"a": 0}, {"a": 1.0})
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, mix_pos string, __s int, mix_source string, row_at long"
 
 
 def test_mix_keeps_all_rows_and_follows_the_schedule(spark):
     rng = random.Random(2)
     sources = ["a"] * 700 + ["b"] * 150 + ["c"] * 90 + [None] * 40 + [""] * 20
     rng.shuffle(sources)
-    docs = spark.createDataFrame([(i, "t", "l", s, 1, "x", 1) for i, s in enumerate(sources)] + [(None, "t", None, "a", None, None, None)] * 2, DOCS)
+    docs = spark.createDataFrame([(i, "t", "l", s, 1, "x", 1, "y", 2) for i, s in enumerate(sources)] + [(None, "t", None, "a", None, None, None, None, None)] * 2, DOCS)
     weights = {"a": 2.0, "b": 1.0, "c": 1.0}
-    out = mixing.mix(docs.drop("__s"), weights, block_rows=8, units=8).collect()
+    out = mixing.mix(docs, weights, block_rows=8).collect()
     assert Counter((r["doc_id"], r["source"]) for r in out) == Counter((i, s) for i, s in [*enumerate(sources), (None, "a"), (None, "a")])
     slots = {}
     for r in out:
@@ -83,9 +110,10 @@ def test_mix_keeps_all_rows_and_follows_the_schedule(spark):
         done[s] += 1
         assert all(abs(done[x] - (at + 1) * a / 8) < 1 for x, a in share.items())
     assert set(order[-8:]) <= {None, "", "a"} and order.index(None) > max(i for i, s in enumerate(order) if s in weights)
-    again = {(r["doc_id"], r["mix_slot"], r["mix_pos"]) for r in mixing.mix(docs.drop("__s"), weights, block_rows=8, units=8).collect() if r["doc_id"] is not None}
+    assert {"__s", "mix_source", "row_at"} <= set(out[0].asDict()) and {(r["__s"], r["row_at"]) for r in out} == {(1, 2), (None, None)}
+    again = {(r["doc_id"], r["mix_slot"], r["mix_pos"]) for r in mixing.mix(docs, weights, block_rows=8).collect() if r["doc_id"] is not None}
     assert again == {(r["doc_id"], r["mix_slot"], r["mix_pos"]) for r in out if r["doc_id"] is not None}
-    assert mixing.mix(docs.limit(0).drop("__s")).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_mixed_order_has_the_columns_of_the_input(spark):
