@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,11 +52,15 @@ def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = os.environ.get("SURROGATE_KEY", "a key of one's own").encode()
+    key = os.environ.get("SURROGATE_KEY", "").encode() or _RUN_KEY
     found = pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
     return found.select("doc_id", "text", "n_entities", F.to_json("kinds").alias("kinds"))
 
 
+#: Without a key of the user's own, surrogates are those of this run alone.
+_RUN_KEY = secrets.token_bytes(32)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 

@@ -244,7 +244,7 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     assert again[0][1] == again[1][1]
     card = re.search(r"card ([\d ]+);", new)[1]
     assert pii.luhn(card.replace(" ", "")) and card.count(" ") == 3
-    assert re.search(r"Mr\. [A-Z]\w+n [A-Z]\w+ and Frau [A-Z]\w+a, госпожа [А-Я]\w+на\.", new)
+    assert re.search(r"Mr\. [A-Z]\w+n [A-Z]\w+er and Frau [A-Z]\w+er, госпожа [А-Я]\w+ова\.", new)
     assert pii.pseudonymise(table(spark, []), KEY).count() == 0
 
 
@@ -256,7 +256,7 @@ def test_prefilter_holds_back_no_entity(monkeypatch):
         "Herr Émile D’Arc": "Émile D’Arc", "Mr Smith's hat": "Smith", "Don john@x.com": "john@x.com", "Mr. John Smith's": "John Smith",
     }
     found = {t: [t[a:b] for _, _, a, b in pii.entities(t)] for t in texts}
-    assert found == {t: [e] for t, e in texts.items()}
+    assert {t: [" ".join(x)] for t, x in found.items()} == {t: [e] for t, e in texts.items()}
     monkeypatch.setattr(pii, "HINT", re.compile(""))
     assert {t: [t[a:b] for _, _, a, b in pii.entities(t)] for t in texts} == found
 
@@ -273,7 +273,7 @@ def test_permutations_are_one_to_one():
 
 def test_collisions_are_settled(spark):
     # One syllable: far fewer names than entities.
-    names = [("name", f"latin:m:N{chr(97 + i // 26)}{chr(97 + i % 26)}x") for i in range(120)]
+    names = [("name", f"latin:s:N{chr(97 + i // 26)}{chr(97 + i % 26)}x") for i in range(120)]
     found = spark.createDataFrame(names, "kind string, canon string")
     s = pii.Surrogates(KEY, syllables=1)
     special = {(r["kind"], r["canon"]): r["new"] for r in pii.exceptions(found, s).collect()}
@@ -281,6 +281,59 @@ def test_collisions_are_settled(spark):
     assert special and len(set(final)) == len(names) and not {c for _, c in names} & set(final)
 
 
+def test_exceptions_are_joined_beyond_the_bound(spark, monkeypatch):
+    # One syllable, so most names need another surrogate; the same texts by either way.
+    monkeypatch.setattr(pii, "SYLLABLES", 1)
+    monkeypatch.setattr(pii.Surrogates.__init__, "__defaults__", (1,))
+    names = [f"N{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(150)]
+    rows = [(i, f"Mr {n} met Mrs {names[i - 1]}; {n} left", None) for i, n in enumerate(names)] + [(None, None, None), (7, "Mr Nahx", None), (8, "nothing", None)]
+    sent = {(r["doc_id"], r["text"]) for r in pii.pseudonymise(table(spark, rows), KEY).collect()}
+    joined = pii.pseudonymise(table(spark, rows), KEY, max_sent=20).collect()
+    assert {(r["doc_id"], r["text"]) for r in joined} == sent and len(joined) == len(rows)
+    new = {r["doc_id"]: re.findall(r"N?[A-Z]\w+er\b", r["text"] or "") for r in joined if r["doc_id"] not in (None, 7, 8)}
+    assert all(len(x) == 3 and x[0] == x[2] for x in new.values()) and len({x[0] for x in new.values()}) == 148
+    assert all(new[i][1] == new[i - 1][0] for i in range(10, 150))
+
+
+def test_a_used_up_format_ends(spark):
+    # All 26 addresses of one letter are entities, so no surrogate is none; each still has its own.
+    found = spark.createDataFrame([("email", f"{c}@{c}.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" if a != b], "kind string, canon string")
+    s = pii.Surrogates(KEY)
+    assert pii.exceptions(found, s).count() == 0
+    made = {s.of("email", r["canon"]) for r in found.collect()}
+    assert len(made) == 676 and not any(s.of("email", r["canon"]) == r["canon"] for r in found.collect())
+
+
+def test_people_agree_within_a_text():
+    s = pii.Surrogates(KEY)
+    new = pii.replace("Mr. John Smith saw Dr Smith. Smith's hat! Dr. John Smith and Smithson, John too; Mrs Smith-Jones.", s, {}, {})
+    got = re.fullmatch(r"Mr\. (\w+n) (\w+er) saw Dr (\w+)\. (\w+)'s hat! Dr\. (\w+) (\w+) and Smithson, (\w+) too; Mrs (\w+er)\.", new)
+    first, last, *rest, other = got.groups()
+    assert rest == [last, last, first, last, first] and other != last
+
+
+def test_types_are_kept():
+    s = pii.Surrogates(KEY)
+    for text in ("+44 20 7946 0958", "+1 212 555 0100", "+351 21 123 4567", "10.0.0.1", "192.168.7.9", "8.8.8.8", "GB82WEST12345698765432", "fe80::1", "2001:0db8:0000:0000:0000:ff00:0042:8329"):
+        new = pii.replace(f"x {text} y", s, {}, {})[2:-2]
+        (kind, _, _, _), = pii.entities(f"x {text} y")
+        (again, _, _, _), = pii.entities(f"x {new} y")
+        assert kind == again and new != text
+        if text[0] == "+":
+            assert new.split()[0] == text.split()[0] and [c.isdigit() for c in new] == [c.isdigit() for c in text]
+        if kind == "ip":
+            address = pii.ipaddress.IPv4Address
+            assert pii._network(address(new)) == pii._network(address(text))
+        if kind == "iban":
+            assert new[:2] == "GB" and pii.iban_check(new) == new[2:4] and len(new) == len(text)
+        if kind == "ip6":
+            assert new[:4] == text[:4]
+    assert pii.iban_check("GB00WEST12345698765432") == "82"
+    assert [t for t in ("at 12:30:45", "a::b::c", "std::map", "1:2:3") if pii.entities(t)] == []
+    with pytest.raises(ValueError):
+        pii.pseudonymise(None, b"")
+
+
 # --- toxicity
 
 
