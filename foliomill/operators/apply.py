@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.names import output_url
 
@@ -26,36 +27,34 @@ def apply_pages(
 
     ``make_function`` runs once in each task and gives the function that is called
     with a dict of ``input_columns`` for each row.  An exception makes its row
-    ``failed`` with the exception's text, never the task.  ``concurrency`` sets the
-    number of tasks.  The function may be slow and paid for: write the result once and
+    ``failed`` with the exception's text, never the task.  All other columns go through
+    as they are.  ``concurrency`` sets the number of tasks, for which the rows, with all
+    their columns, are dealt anew.  The function may be slow and paid for: write the result once and
     go on from there; a second action would call it again.
     """
     if concurrency:
         df = df.repartition(concurrency)
-    columns = df.columns
+    added = [output, "status", "error"]
+    kept = [i for i, f in enumerate(df.schema) if f.name not in added]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make_function()
         for batch in batches:
             bodies, errors = [], []
-            for row in batch[input_columns].to_dict("records"):
+            for row in batch.select(input_columns).to_pylist():
                 try:
-                    bodies.append(function(row))
+                    body = function(row)
+                    bodies.append(None if body is None else str(body))
                     errors.append(None)
                 except Exception as e:
                     bodies.append(None)
                     errors.append(str(e) or type(e).__name__)
-            out = batch[columns].copy()
-            out[output] = pd.Series(bodies, out.index, dtype=object)
-            out["status"] = ["success" if e is None else "failed" for e in errors]
-            out["error"] = pd.Series(errors, out.index, dtype=object)
-            yield out
-
-    added = f"{output} string, status string, error string"
-    names = {x.split()[0] for x in added.split(", ")}
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in names)
-    columns = [c for c in columns if c not in names]
-    return df.select(*columns).mapInPandas(run, f"{kept}, {added}")
+            status = ["success" if e is None else "failed" for e in errors]
+            new = [pa.array(x, pa.string()) for x in (bodies, status, errors)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *new], [*(batch.schema.names[i] for i in kept), *added])
+
+    schema = StructType([*(df.schema.fields[i] for i in kept), *(StructField(name, StringType()) for name in added)])
+    return df.mapInArrow(run, schema)
 
 
 def parse_responses(df: DataFrame, body: str = "body") -> DataFrame:

@@ -16,18 +16,26 @@ ARROW = "→"
 REQUEST_MIME = "image/jpeg"
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def lookup_file_prompt(manifest: DataFrame, file_prompts: DataFrame, key: str = "config_id") -> DataFrame:
     """``manifest`` with file_prompt: that of the base name, else that of its stem, else ''.
 
     Two left joins on (key, file key); the keys are unique in ``file_prompts``.
     """
-    exact = file_prompts.select(key, F.col("file_key").alias("__exact"), F.col("prompt").alias("__of_name"))
-    by_stem = file_prompts.select(key, F.col("file_key").alias("__stem"), F.col("prompt").alias("__of_stem"))
+    exact_key, stem_key, of_name, of_stem = (_free(manifest, x) for x in ("prompt_exact", "prompt_stem", "prompt_of_name", "prompt_of_stem"))
+    exact = file_prompts.select(key, F.col("file_key").alias(exact_key), F.col("prompt").alias(of_name))
+    by_stem = file_prompts.select(key, F.col("file_key").alias(stem_key), F.col("prompt").alias(of_stem))
     name = base_name(F.col("file_name"))
-    rows = manifest.withColumns({"__exact": name, "__stem": stem(name)})
-    rows = rows.join(exact, [key, "__exact"], "left").join(by_stem, [key, "__stem"], "left")
-    found = F.coalesce("__of_name", "__of_stem", F.lit(""))
-    return rows.withColumn("file_prompt", found).select(*manifest.columns, "file_prompt")
+    rows = manifest.drop("file_prompt").withColumns({exact_key: name, stem_key: stem(name)})
+    rows = rows.join(exact, [key, exact_key], "left").join(by_stem, [key, stem_key], "left")
+    found = F.coalesce(of_name, of_stem, F.lit(""))
+    return rows.withColumn("file_prompt", found).select(*[c for c in manifest.columns if c != "file_prompt"], "file_prompt")
 
 
 def compose_instructions(global_prompt: Column, file_prompt: Column, call_prompt: Column) -> Column:

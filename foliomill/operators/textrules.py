@@ -18,7 +18,9 @@ def glossary_column(text: Column, glossary: dict[str, str]) -> Column:
     terms = {k: v for k, v in glossary.items() if k}
     if not terms:
         return text
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)({_pattern(list(terms))}|.)"), F.lit(1))
+    # What cannot begin a term goes by in one piece.
+    heads = "".join(rf"\x{{{ord(c):x}}}" for c in sorted({k[0] for k in terms}))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)({_pattern(list(terms))}|[^{heads}]+|.)"), F.lit(1))
     table = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(table[p], p)), "")
 

@@ -1,16 +1,21 @@
 """Planning a batch and settling its outcomes.
 
-The order of pages in a project is binary file-name order.
+The order of pages in a project is binary file-name order.  An output is known by its
+project and its name, as each project has a folder of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+OUTPUT = ("project", "output_name")
+
 
-def skip_existing(plan: DataFrame, outputs: DataFrame, keys: tuple[str, ...] = ("output_name",), mark: bool = False) -> DataFrame:
+def skip_existing(plan: DataFrame, outputs: DataFrame, keys: tuple[str, ...] = OUTPUT, mark: bool = False) -> DataFrame:
     """Pages whose output does not exist yet (anti join), or with ``mark`` all pages with action run or skip."""
     if not mark:
         return plan.join(outputs.select(*keys), list(keys), "left_anti")
@@ -19,22 +24,36 @@ def skip_existing(plan: DataFrame, outputs: DataFrame, keys: tuple[str, ...] = (
     return plan.join(there, list(keys), "left").withColumn("action", action).drop("__there")
 
 
-def plan_wave(plan: DataFrame, keys: tuple[str, ...] = ("project", "output_name"), order: str = "file_name") -> DataFrame:
+def plan_wave(plan: DataFrame, keys: tuple[str, ...] = OUTPUT, order: str = "file_name") -> DataFrame:
     """The first page of each output: what can run at once without two pages writing one file.
 
     Pages left out run in a later wave, if the first failed.  The first is found by a
     pre-aggregated minimum, so an output with very many pages costs a row for each task.
+    A null ``order`` comes last.
     """
     whole = F.struct(order, *[c for c in plan.columns if c != order])
-    first = plan.groupBy(*keys).agg(F.min_by(whole, order).alias("first"))
+    first = plan.groupBy(*keys).agg(F.min_by(whole, F.struct(F.col(order).isNull(), F.col(order))).alias("first"))
     return first.select("first.*").select(*plan.columns)
 
 
-def settle_collisions(results: DataFrame, keys: tuple[str, ...] = ("project", "output_name"), order: str = "seq") -> DataFrame:
-    """``results`` (ok) with status: failed up to the first success of an output, then skip."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    done = F.coalesce(F.max("ok").over(before), F.lit(False))
-    return results.withColumn("status", F.when(done, "skip").when(F.col("ok"), "success").otherwise("failed"))
+def _same(left: DataFrame, right: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) -> Column:
+    return reduce(Column.__and__, [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names, strict=True)])
+
+
+def settle_collisions(results: DataFrame, keys: tuple[str, ...] = OUTPUT, order: str = "seq") -> DataFrame:
+    """``results`` (ok) with status: failed up to the first success of an output, then skip.
+
+    The first success is a pre-aggregated minimum that the rows are joined with, so an
+    output with very many rows is no task's alone.  A null ``order`` comes first; of
+    rows in the same place none skips for another.
+    """
+    names = tuple(f"__settled_{i}" for i in range(len(keys)))
+    rank = F.struct(F.col(order).isNotNull(), F.col(order))
+    good = results.filter("ok").groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.min(rank).alias("__settled"))
+    both = results.join(good, _same(results, good, keys, names), "left")
+    done = F.coalesce(F.col("__settled") < rank, F.lit(False))
+    status = F.when(done, "skip").when(F.col("ok"), "success").otherwise("failed")
+    return both.withColumn("status", status).select(*[c for c in results.columns if c != "status"], "status")
 
 
 def with_progress(df: DataFrame, project: str = "project", order: str = "file_name") -> DataFrame:
@@ -53,7 +72,9 @@ def tally(results: DataFrame, project: str = "project") -> DataFrame:
     )
 
 
-def latest_per_output(df: DataFrame, key: str = "output_name", order: str = "ts") -> DataFrame:
-    """The last write of each output: the row with the largest ``order``."""
-    last = df.groupBy(key).agg(F.max_by(F.struct(*df.columns), order).alias("last"))
+def latest_per_output(df: DataFrame, keys: str | tuple[str, ...] = OUTPUT, order: str = "ts") -> DataFrame:
+    """The last write of each output: the row with the largest ``order``, one without only if there is no other."""
+    keys = (keys,) if isinstance(keys, str) else keys
+    rank = F.struct(F.col(order).isNotNull(), F.col(order))
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), rank).alias("last"))
     return last.select("last.*")

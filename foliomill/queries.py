@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import admission, names
 from .operators import apply, config, prompts, settings, textrules
 from .plans import batch
-from .sources import scan
+from .sources import payloads, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,6 +94,11 @@ def b5_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).filter(admission.size_ok(F.col("length"))).select("file_name", "length")
 
 
+@query(f"WITH {_M} SELECT file_name, length FROM m WHERE length <= 16777216")
+def b5_form_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(spark, sf_dir).filter(admission.size_ok(F.col("length"), admission.MAX_BODY)).select("file_name", "length")
+
+
 def _admitted(policy: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = manifest(spark, sf_dir).withColumns({"configured": F.col("doc_id") % 11 != 0, "has_file": F.col("doc_id") % 13 != 0})
@@ -250,20 +257,55 @@ def c9_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _role_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings files with the real section names: a header by role, then key=value lines from the turn."""
+    """Settings files with the real section names: a header by role, then a key=value line and more from the turn."""
     name = F.create_map(*[F.lit(x) for pair in zip(("user", "assistant", "system"), config.NOTES, strict=True) for x in pair])
-    line = F.concat(F.lit("["), name[F.col("role")], F.lit("]\nk"), F.col("turn").cast("string"), F.lit("="), F.substring_index("text", "\n", 1))
+    line = F.concat(F.lit("["), name[F.col("role")], F.lit("]\nk"), F.col("turn").cast("string"), F.lit("="), F.col("text"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("x"))))
     talks = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("config_id"))
     return talks.agg(F.array_join(F.transform(ordered, lambda t: t["x"]), "\n").alias("content"))
 
 
-@query()
+def _c10_sql() -> str:
+    g, p, f = (f"[{x}]" for x in config.NOTES)
+    names = " ".join(f"WHEN '{r}' THEN '{x}'" for r, x in zip(("user", "assistant", "system"), config.NOTES, strict=True))
+    rendered = " || chr(10) || ".join(
+        part for x, notes in config.NOTES.items()
+        for part in [f"'[{x}]'", *[f"'{n}'" for n in notes], f"coalesce(max(body) FILTER (section = '{x}'), '')", "''"]
+    )
+    return f"""files AS (SELECT conv_id AS config_id, string_agg('[' || CASE role {names} END || ']' || chr(10) || 'k' || turn || '=' || text, chr(10) ORDER BY turn) AS content
+                 FROM conversations GROUP BY 1),
+    l AS (SELECT config_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS ln FROM files),
+    h AS (SELECT *, trim(line, {_WS}) LIKE '[%]' AS is_header FROM l),
+    s AS (SELECT *, max(CASE WHEN is_header THEN ln END) OVER (PARTITION BY config_id ORDER BY ln) AS start FROM h),
+    b AS (SELECT config_id, start, max(CASE WHEN is_header THEN trim(line, {_WS})[2:-2] END) AS section,
+                 trim(coalesce(string_agg(CASE WHEN NOT is_header AND NOT starts_with(trim(line, {_WS}), '# 說明：') AND NOT starts_with(trim(line, {_WS}), '# 格式：')
+                          THEN line END, chr(10) ORDER BY ln), ''), {_WS}) AS body
+          FROM s WHERE start IS NOT NULL GROUP BY 1, 2),
+    o AS (SELECT config_id, section, arg_max(body, start) AS body FROM b WHERE section <> '' GROUP BY 1, 2),
+    saved AS (SELECT config_id, {rendered} AS content FROM o GROUP BY 1),
+    both_ AS (SELECT 'lost' AS change, * FROM files UNION ALL SELECT 'added', * FROM saved),
+    a AS (SELECT *, string_split(content, '{p}') AS q FROM both_),
+    c AS (SELECT *, len(q) > 1 AS has, string_split(q[1], '{f}') AS x, string_split(q[2], '{f}') AS r FROM a WHERE contains(content, '{g}')),
+    t AS (SELECT change, config_id, 'glossary' AS part, replace(CASE WHEN NOT has AND len(x) > 1 THEN x[1] ELSE q[1] END, '{g}', '') AS text FROM c
+          UNION ALL SELECT change, config_id, 'prompt', r[1] FROM c WHERE has
+          UNION ALL SELECT change, config_id, 'files', CASE WHEN has THEN r[2] WHEN len(x) > 1 THEN x[2] END FROM c),
+    n AS (SELECT change, config_id, part, trim(unnest(string_split(text, chr(10))), {_WS}) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM t),
+    k AS (SELECT *, trim(left(line, strpos(line, '=') - 1), {_WS}) AS k, trim(substr(line, strpos(line, '=') + 1), {_WS}) AS v FROM n WHERE line <> '' AND NOT starts_with(line, '#')),
+    parsed AS (SELECT change, config_id, part, k, arg_max(v, ln) AS v FROM k WHERE part = 'glossary' AND contains(line, '=') AND k <> '' AND v <> '' GROUP BY ALL
+          UNION ALL SELECT change, config_id, part, '', string_agg(line, '、' ORDER BY ln) FROM k WHERE part = 'prompt' GROUP BY ALL
+          UNION ALL SELECT change, config_id, part, k, string_agg(v, '、' ORDER BY ln) FROM k WHERE part = 'files' AND contains(line, '=') AND k <> '' AND v <> '' GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_c10_sql()}, lost AS (SELECT config_id, part, k, v FROM parsed WHERE change = 'lost'), added AS (SELECT config_id, part, k, v FROM parsed WHERE change = 'added')
+    SELECT 'lost' AS change, * FROM (SELECT * FROM lost EXCEPT ALL SELECT * FROM added)
+    UNION ALL SELECT 'added', * FROM (SELECT * FROM added EXCEPT ALL SELECT * FROM lost)"""
+)
 def c10_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.roundtrip_config(_role_files(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_c10_sql()} SELECT config_id, content FROM saved")
 def a5_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return config.render_config(config.split_sections_line(_role_files(spark, sf_dir)))
 
@@ -364,31 +406,42 @@ def d4_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select(F.concat(F.lit("page"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("output_name"))
+    """Outputs of the labelled documents; those of every third lie in another project."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id")
+    there = docs.join(labels, "doc_id", "left_semi")
+    project = F.when(F.col("doc_id") % 3 == 0, "elsewhere").otherwise(F.col("source"))
+    return there.select(project.alias("project"), F.concat(F.lit("page"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("output_name"))
+
+
+_FINISHED = """f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'elsewhere' ELSE source END AS project, 'page' || doc_id || '.jpg' AS output_name
+                     FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).withColumn("output_name", names.output_name(F.col("file_name"), "batch"))
 
 
-@query(f"WITH {_M} SELECT file_name FROM m WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE 'page' || l.doc_id || '.jpg' = {_BATCH_STEM.format('file_name')} || '.jpg')")
+@query(f"WITH {_M}, {_FINISHED} SELECT file_name FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.project = m.project AND f.output_name = {_BATCH_STEM.format('file_name')} || '.jpg')")
 def e1_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.skip_existing(planned(spark, sf_dir), finished(spark, sf_dir)).select("file_name")
 
 
 @query(
-    """WITH r AS (SELECT page_id, regexp_extract(url, '[^/]*$') AS name, page_id % 3 > 0 AS ok FROM pages),
+    """WITH r AS (SELECT page_id, CASE WHEN page_id % 7 > 0 THEN regexp_extract(url, '[^/]*$') END AS name, page_id % 3 > 0 AS ok FROM pages),
     w AS (SELECT *, coalesce(max(ok::INT) OVER (PARTITION BY name ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM r)
     SELECT page_id, CASE WHEN done = 1 THEN 'skip' WHEN ok THEN 'success' ELSE 'failed' END AS status FROM w"""
 )
 def e2_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", names.base_name(F.col("url")).alias("output_name"), (F.col("page_id") % 3 > 0).alias("ok"))
+    name = F.when(F.col("page_id") % 7 > 0, names.base_name(F.col("url")))
+    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("output_name"), (F.col("page_id") % 3 > 0).alias("ok"))
     return batch.settle_collisions(rows, ("output_name",), "page_id").select("page_id", "status")
 
 
-@query("SELECT regexp_extract(url, '[^/]*$') AS output_name, min(page_id) AS page_id FROM pages GROUP BY 1")
+@query("SELECT regexp_extract(url, '[^/]*$') AS output_name, min(CASE WHEN page_id % 2 = 0 THEN page_id END) AS page_id FROM pages GROUP BY 1")
 def e2_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", names.base_name(F.col("url")).alias("output_name"))
+    """Every second page has no place in the order; outputs of such pages alone are in the wave too."""
+    place = F.when(F.col("page_id") % 2 == 0, F.col("page_id")).alias("page_id")
+    rows = table(spark, sf_dir, "pages").select(place, names.base_name(F.col("url")).alias("output_name"))
     return batch.plan_wave(rows, ("output_name",), "page_id")
 
 
@@ -421,11 +474,12 @@ def _shout() -> Callable[[dict], str]:
 
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang || ':' || n_chars END AS body, CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'success' END AS status,
-              CASE WHEN doc_id % 7 = 0 THEN 'page ' || doc_id END AS error FROM documents"""
+              CASE WHEN doc_id % 7 = 0 THEN 'page ' || doc_id END AS error, CASE WHEN doc_id % 2 = 0 THEN 1152921504606846976 + doc_id END AS ticket FROM documents"""
 )
 def e5_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return apply.apply_pages(docs, _shout, ["doc_id", "lang", "n_chars"]).select("doc_id", "body", "status", "error")
+    ticket = F.when(F.col("doc_id") % 2 == 0, F.lit(1 << 60) + F.col("doc_id")).alias("ticket")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", ticket)
+    return apply.apply_pages(docs, _shout, ["doc_id", "lang", "n_chars"]).drop("lang", "n_chars")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,9 +509,18 @@ def e7_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.to_results(responses(spark, sf_dir)).select("conv_id", "turn", "success", "output_url", "error", "code")
 
 
-@query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")
+@query(
+    """SELECT user_id AS project, event_type AS output_name, arg_max(event_id, CASE WHEN event_id % 3 = 0 THEN ts END) AS event_id FROM events GROUP BY 1, 2
+       HAVING max(CASE WHEN event_id % 3 = 0 THEN ts END) IS NOT NULL
+       UNION ALL SELECT user_id, event_type, NULL FROM events GROUP BY 1, 2 HAVING max(CASE WHEN event_id % 3 = 0 THEN ts END) IS NULL"""
+)
 def e8_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.latest_per_output(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), "user_id").drop("ts")
+    """Two of three writes have no time; an output of such writes alone has one of them as its last (which is left open)."""
+    timed = F.col("event_id") % 3 == 0
+    writes = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("project"), F.col("event_type").alias("output_name"), F.when(timed, F.col("event_id")).alias("event_id"), F.when(timed, F.col("ts")).alias("ts")
+    )
+    return batch.latest_per_output(writes).drop("ts")
 
 
 TERMS = {"the": "<T>", "then": "<TN>", "er": "<ER>", "de la": "<DL>", "und": "<U>", "no such term": "<N>"}
@@ -519,15 +582,46 @@ def f5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textrules.glossary_coverage(table(spark, sf_dir, "documents"), "text", terms(spark))
 
 
-@query()
+@query(f"WITH {_M} SELECT project, file_name, length FROM m WHERE regexp_matches(lower(file_name), '\\.(png|jpg|jpeg|webp)$')")
+def a1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page files in a listing of every project's folder."""
+    m = manifest(spark, sf_dir)
+    listing = m.select(F.concat_ws("/", F.lit("file:/pages"), "project", "file_name").alias("path"), "project", "length")
+    return scan.scan_pages_listing(listing).select("project", "file_name", "length")
+
+
+@query("SELECT regexp_extract(url, '[^/]*$') AS output_name FROM pages")
 def a2_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan_outputs(spark, sf_dir)
+    return scan.outputs_listing(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS config_id, md5(CASE WHEN doc_id % 10 = 0 THEN '' ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END) AS content_md5,
+              CASE WHEN doc_id % 10 = 0 THEN 'not UTF-8' END AS error FROM documents"""
+)
+def a3_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as settings files, every second with other line ends and every tenth with a byte that is no UTF-8."""
+    ended = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text")).cast("binary")
+    content = F.when(F.col("doc_id") % 10 == 0, F.concat(ended, F.unhex(F.lit("FF")))).otherwise(ended)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    return scan.decode_configs(files).select("config_id", F.md5("content").alias("content_md5"), "error")
+
+
+@query("SELECT page_id || '.html' AS output_name, md5(coalesce(html, '')) AS payload_md5 FROM pages")
+def a4_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a file of its own and read again."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # unset in tests alone
+    folder = f"{base.removeprefix('file:')}/payloads-{uuid.uuid4().hex}"
+    html = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("output_name"), F.col("html").cast("binary").alias("payload"))
+    payloads.write_payloads(html, folder)
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(names.base_name(F.col("path")).alias("output_name"), F.md5("content").alias("payload_md5"))
 
 
 @query(
-    f"""WITH {_LOOKUP} SELECT file_name, {_BATCH_STEM.format("file_name")} || '.jpg' AS output_name, {_COMPOSED} AS instructions FROM d
+    f"""WITH {_LOOKUP}, {_FINISHED} SELECT file_name, {_BATCH_STEM.format("file_name")} || '.jpg' AS output_name, {_COMPOSED} AS instructions FROM d
     WHERE doc_id % 11 <> 0 AND {_EXT_OK} AND length <= 10485760
-      AND NOT EXISTS (SELECT 1 FROM labels l WHERE 'page' || l.doc_id || '.jpg' = {_BATCH_STEM.format("file_name")} || '.jpg')"""
+      AND NOT EXISTS (SELECT 1 FROM f WHERE f.project = d.project AND f.output_name = {_BATCH_STEM.format("file_name")} || '.jpg')"""
 )
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from manifest to plan: admission, naming, finished work, per-file prompts, instructions."""

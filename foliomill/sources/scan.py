@@ -49,7 +49,11 @@ def scan_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the files in ``folder`` (output_name); no file is opened.  A missing folder is empty."""
     if not _exists(spark, folder):
         return spark.createDataFrame([], "output_name string")
-    files = spark.read.format("binaryFile").load(folder)
+    return outputs_listing(spark.read.format("binaryFile").load(folder))
+
+
+def outputs_listing(files: DataFrame) -> DataFrame:
+    """Names of the files (output_name) of a listing with the column ``path``, whatever made it."""
     return files.select(base_name(F.col("path")).alias("output_name"))
 
 

@@ -43,13 +43,26 @@ def test_collisions_progress_and_tally(spark):
 def test_wave_skip_and_latest(spark):
     plan = spark.createDataFrame([("p", "a.png", "a.jpg"), ("p", "a.jpg", "a.jpg"), ("p", "b.png", "b.jpg")], "project string, file_name string, output_name string")
     assert {r["file_name"] for r in batch.plan_wave(plan).collect()} == {"a.jpg", "b.png"}
-    done = spark.createDataFrame([("b.jpg",), ("b.jpg",)], "output_name string")
+    done = spark.createDataFrame([("p", "b.jpg"), ("p", "b.jpg"), ("q", "a.jpg")], "project string, output_name string")
     left = batch.skip_existing(plan, done)
     assert {r["file_name"] for r in left.collect()} == {"a.png", "a.jpg"}
     assert "LeftAnti" in left._jdf.queryExecution().toString()
     assert {(r["file_name"], r["action"]) for r in batch.skip_existing(plan, done, mark=True).collect()} == {("a.png", "run"), ("a.jpg", "run"), ("b.png", "skip")}
-    writes = spark.createDataFrame([("o", 1, "x"), ("o", 2, "y")], "output_name string, ts int, v string")
-    assert batch.latest_per_output(writes).first()["v"] == "y"
+    rows = [("p", "o", 1, "x"), ("p", "o", 2, "y"), ("p", "o", None, "z"), ("q", "o", 0, "q"), ("q", None, None, "only"), (None, "o", 5, "n")]
+    writes = spark.createDataFrame(rows, "project string, output_name string, ts int, v string")
+    assert sorted(r["v"] for r in batch.latest_per_output(writes).collect()) == ["n", "only", "q", "y"]
+    assert sorted(r["v"] for r in batch.latest_per_output(writes, "project").collect()) == ["n", "q", "y"]
+    first = batch.plan_wave(writes, order="ts").collect()
+    assert sorted(r["v"] for r in first) == ["n", "only", "q", "x"]
+
+
+def test_collisions_of_null_names_and_places(spark):
+    rows = [("p", None, 1, True, "x"), ("p", None, 2, True, "x"), ("p", "a", None, False, "x"), ("p", "a", 1, True, "x"), ("p", "a", 2, False, "x"), (None, "a", 1, False, "x")]
+    found = batch.settle_collisions(spark.createDataFrame(rows, "project string, output_name string, seq int, ok boolean, status string"))
+    assert found.columns == ["project", "output_name", "seq", "ok", "status"]
+    assert sorted(map(str, [(r[0], r[1], r[2], r["status"]) for r in found.collect()])) == sorted(
+        map(str, [("p", None, 1, "success"), ("p", None, 2, "skip"), ("p", "a", None, "failed"), ("p", "a", 1, "success"), ("p", "a", 2, "skip"), (None, "a", 1, "failed")])
+    )
 
 
 def test_apply_captures_failures(spark):
@@ -65,6 +78,16 @@ def test_apply_captures_failures(spark):
     assert [tuple(r) for r in out.orderBy("i").collect()] == [(0, "r0", "success", None), (1, None, "failed", "no"), (2, "r2", "success", None)]
 
 
+def test_apply_leaves_other_columns_as_they_are(spark):
+    seen = lambda: lambda row: repr((row["k"], row["x"]))
+    rows = [(2**60 + 1, None, [1, None], "a"), (None, 5, None, "b")]
+    df = spark.createDataFrame(rows, "n long, k long, x array<int>, error string")
+    out = apply.apply_pages(df, seen, ["k", "x"]).orderBy("k").collect()
+    assert [tuple(r) for r in out] == [(2**60 + 1, None, [1, None], "(None, [1, None])", "success", None), (None, 5, None, "(5, None)", "success", None)]
+    none = apply.apply_pages(df, lambda: lambda row: None, ["k"], output="body").filter("body is null and status = 'success'")
+    assert none.count() == 2 and apply.apply_pages(df.limit(0), seen, ["k", "x"]).count() == 0
+
+
 @pytest.mark.parametrize(
     ("body", "expected"),
     [
