@@ -4,14 +4,14 @@ The words of a batch that were not met before lie end to end in one flat array o
 symbols.  In each round every word merges its leftmost pair of lowest rank: pairs are
 single integers, looked up by binary search in the sorted array of all mergeable
 pairs, and only the pairs beside a merge are looked up again.  Words longer than
-``LONG`` symbols go through the same rule with a heap, one by one, as their number of
-rounds would hold up the batch.
+``LONG`` symbols have arrays of their own, and in each round merge all places of their
+pair of lowest rank, from left to right; no pair that this makes comes before it in rank.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -147,31 +147,36 @@ class BpeModel:
             rank[pair], into[pair] = self.rank_of(ids[at[pair]], ids[right[pair]])
         return rank, into
 
+    @functools.cached_property
+    def in_order(self) -> bool:
+        """Whether every merge that takes a token ranks behind all that make it, as in any trained vocabulary."""
+        made = np.full(len(self.tokens), -1)
+        np.maximum.at(made, self.merged, self.ranks)
+        return bool((self.ranks > np.maximum(made[self.keys >> 32], made[self.keys & 0xFFFFFFFF])).all())
+
     def _encode_long(self, word: bytes) -> list[int]:
         data = np.frombuffer(word, np.uint8)
-        ids = self.first[data].tolist()
-        ids[-1] = int(self.last[data[-1]])
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks, into = self.rank_of(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(r), i, ids[i], ids[i + 1], int(m)) for i, (r, m) in enumerate(zip(ranks, into, strict=True)) if r < NO_RANK]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = m, -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0:
-                    key = (ids[left] << 32) | ids[right]
-                    at = int(np.searchsorted(self.keys, key))
-                    if at < len(self.keys) and self.keys[at] == key:
-                        heapq.heappush(heap, (int(self.ranks[at]), left, ids[left], ids[right], int(self.merged[at])))
-        return [x for x in ids if x >= 0]
+        ids = self.first[data]
+        ids[-1] = self.last[data[-1]]
+        one = np.zeros(len(ids), np.int64)  # all of one word
+        rank, into = self._pairs(ids, one)
+        while len(ids) > 1 and (least := rank.min()) < NO_RANK:
+            at = np.flatnonzero(rank == least)
+            if self.in_order:
+                # Places of one pair overlap only in runs of one symbol, where every other one merges.
+                n = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) != 1], n, 0))
+                at = at[(n - run) % 2 == 0]
+            else:
+                at = at[:1]
+            ids[at] = into[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            place = (np.cumsum(keep) - 1)[at]
+            ids, rank, into = ids[keep], rank[keep], into[keep]
+            near = np.unique(np.concatenate([place, place[place > 0] - 1]))
+            rank[near], into[near] = self._pairs(ids, one[: len(ids)], near)
+        return ids.tolist()
 
 
 def byte_symbols() -> list[str]:
