@@ -6,11 +6,11 @@ seen.  The models lie in one array of sorted n-gram hashes for each order, with
 column of log probabilities (and one of back-off weights) for each language, so that
 one look-up serves all languages; an n-gram that no language has seen backs off.  The
 language with the lowest cross-entropy per character is chosen; it is accepted if that
-cross-entropy is below the language's threshold, a quantile of what its own training
-texts have.
+cross-entropy is below the language's threshold, a quantile of what texts of the
+language have that were held back from the counts.
 
-Training takes about ``TRAIN_DOCS`` whole texts of each language, chosen by a hash of
-their id; every whole text is scored.
+Training takes about ``TRAIN_DOCS`` whole texts of each language, and ``HELD_DOCS`` for the
+thresholds, chosen by a hash of their id; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from .shared import SortedIndex, materialise
 
 ORDER = 4
-TRAIN_DOCS = 1_000
+TRAIN_DOCS, HELD_DOCS = 1_000, 250
 #: Languages that a model holds at most.
 MAX_LANGUAGES = 200
 DISCOUNT = 0.75
-#: Share of a language's training texts whose cross-entropy is accepted.
+#: Share of a language's texts whose cross-entropy is accepted.
 ACCEPTED = 0.995
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -226,17 +226,20 @@ def _fill(levels: list[Level], counts: dict, unseen: np.ndarray, k: int) -> None
             level.logp[rows, lang] = weight + np.where(suffix >= 0, below.logp[np.maximum(suffix, 0), lang], unseen[lang])
 
 
-def sample(docs: DataFrame, where: Column, per_language: int = TRAIN_DOCS) -> DataFrame:
-    """(lang, text) of about ``per_language`` rows of each language (all, if fewer), chosen by a hash of their id."""
+def sample(docs: DataFrame, where: Column, per_language: int = TRAIN_DOCS, held: int = HELD_DOCS) -> DataFrame:
+    """(lang, text, held) of about ``per_language`` rows of each language and ``held`` held back, chosen by a hash of their id.
+
+    Of a language with fewer rows all are taken, and held back in the same proportion.
+    """
     rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.lit(0.0)
     for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], per_language / r["n"]).otherwise(share)
+        share = F.when(F.col("lang") == r["lang"], min(1.0, (per_language + held) / r["n"])).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / (1 << 30)
-    return rows.filter(draw < share).select("lang", "text")
+    return rows.filter(draw < share).select("lang", "text", (draw >= share * (per_language / (per_language + held))).alias("held"))
 
 
 def fit(docs: DataFrame, where: Column) -> LanguageModel:
@@ -265,7 +268,7 @@ def fit(docs: DataFrame, where: Column) -> LanguageModel:
                         names,
                     )
 
-    counted = rows.mapInArrow(grams, "l int, o int, h long, context long, suffix long, n long")
+    counted = rows.filter(~F.col("held")).select("lang", "text").mapInArrow(grams, "l int, o int, h long, context long, suffix long, n long")
     # Bounded by the sample: the n-grams of TRAIN_DOCS texts of each language.
     got = counted.groupBy("l", "o", "h").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("n").alias("n")).toArrow()
     counts = {}
@@ -285,7 +288,11 @@ def fit(docs: DataFrame, where: Column) -> LanguageModel:
 
 
 def _limits(rows: DataFrame, model: LanguageModel, number: dict[str, int]) -> np.ndarray:
-    """For each language the quantile ``ACCEPTED`` of its texts' own cross-entropy, and a tenth more."""
+    """For each language the quantile ``ACCEPTED`` of the cross-entropy of the texts held back.
+
+    Without such a text nothing is known of other texts, and the limit is that of the
+    training texts and a tenth more.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +301,13 @@ def _limits(rows: DataFrame, model: LanguageModel, number: dict[str, int]) -> np
             lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
             h, letters = shared.value.cross_entropy(texts)
             ok = letters > 0
-            yield pa.RecordBatch.from_arrays([pa.array(lang[ok].astype(np.int32)), pa.array(h[np.arange(len(lang)), lang][ok])], ["l", "h"])
+            own_h = h[np.arange(len(lang)), lang]
+            yield pa.RecordBatch.from_arrays([pa.array(lang[ok].astype(np.int32)), pa.array(own_h[ok]), batch.column(2).filter(pa.array(ok))], ["l", "h", "held"])
 
-    found = rows.mapInArrow(own, "l int, h double").groupBy("l").agg(F.percentile("h", ACCEPTED).alias("q")).collect()
+    found = rows.select("lang", "text", "held").mapInArrow(own, "l int, h double, held boolean").groupBy("l", "held").agg(F.percentile("h", ACCEPTED).alias("q")).collect()
     limit = np.full(len(model.languages), np.inf)
-    for r in found:
-        limit[r["l"]] = 1.1 * r["q"]
+    for r in sorted(found, key=lambda r: r["held"]):  # what is held back counts last
+        limit[r["l"]] = r["q"] if r["held"] else 1.1 * r["q"]
     return limit
 
 
