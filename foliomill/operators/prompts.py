@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import free_name
 from ..functions.names import base_name, stem
 from .config import JOINER
 
@@ -16,19 +17,12 @@ ARROW = "→"
 REQUEST_MIME = "image/jpeg"
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores before it, so that no column of ``df`` has it."""
-    while name in df.columns:
-        name = "_" + name
-    return name
-
-
 def lookup_file_prompt(manifest: DataFrame, file_prompts: DataFrame, key: str = "config_id") -> DataFrame:
     """``manifest`` with file_prompt: that of the base name, else that of its stem, else ''.
 
     Two left joins on (key, file key); the keys are unique in ``file_prompts``.
     """
-    exact_key, stem_key, of_name, of_stem = (_free(manifest, x) for x in ("prompt_exact", "prompt_stem", "prompt_of_name", "prompt_of_stem"))
+    exact_key, stem_key, of_name, of_stem = (free_name(manifest, x) for x in ("prompt_exact", "prompt_stem", "prompt_of_name", "prompt_of_stem"))
     exact = file_prompts.select(key, F.col("file_key").alias(exact_key), F.col("prompt").alias(of_name))
     by_stem = file_prompts.select(key, F.col("file_key").alias(stem_key), F.col("prompt").alias(of_stem))
     name = base_name(F.col("file_name"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 SETTINGS = "apiKey string, nameMapping map<string,string>, globalPrompt string"
 
@@ -39,20 +38,21 @@ def fold_settings(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     ops: setApiKey, setGlobalPrompt (value), add (key, value), remove (key), replace
     (mapping), clear.  Returns pairs (user, key, value, pos: place of first addition
     since the last reset) and scalars (user, global_prompt, has_key).
+
+    The last reset of a user and the last removal of a key are pre-aggregated and joined
+    back, so the log of a user, or of a key, is never gathered.
     """
-    resets = F.max(F.when(F.col("op").isin("clear", "replace"), F.col("seq")))
-    since = log.withColumn("reset", resets.over(Window.partitionBy("user")))
+    resets = log.filter(F.col("op").isin("clear", "replace")).groupBy(F.col("user").alias("reset_user")).agg(F.max("seq").alias("reset"))
+    since = log.join(resets, F.col("user").eqNullSafe(F.col("reset_user")), "left")
     live = since.filter(F.col("reset").isNull() | (F.col("seq") >= F.col("reset")))
     single = live.filter(F.col("op").isin("add", "remove")).select("user", "seq", F.lit(0).alias("i"), "op", "key", "value")
     many = live.filter("op = 'replace'").select("user", "seq", F.posexplode("mapping").alias("i", "key", "value"))
     acts = single.unionByName(many.withColumn("op", F.lit("add")))
-    last = acts.groupBy("user", "key").agg(
-        F.max_by(F.struct("op", "value"), F.struct("seq", "i")).alias("last"),
-        F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("removed"),
-        F.array_sort(F.collect_set(F.when(F.col("op") == "add", F.struct("seq", "i")))).alias("adds"),
-    )
-    first = F.get(F.filter("adds", lambda a: F.col("removed").isNull() | (a["seq"] > F.col("removed"))), 0)
-    pairs = last.filter("last.op = 'add'").select("user", "key", F.col("last.value").alias("value"), first.alias("pos"))
+    gone = acts.filter("op = 'remove'").groupBy(F.col("user").alias("gone_user"), F.col("key").alias("gone_key")).agg(F.max("seq").alias("removed"))
+    same = F.col("user").eqNullSafe(F.col("gone_user")) & F.col("key").eqNullSafe(F.col("gone_key"))
+    adds = acts.filter("op = 'add'").join(gone, same, "left").filter(F.col("removed").isNull() | (F.col("seq") > F.col("removed")))
+    place = F.struct("seq", "i")
+    pairs = adds.groupBy("user", "key").agg(F.max_by("value", place).alias("value"), F.min(place).alias("pos"))
     scalars = log.groupBy("user").agg(
         F.coalesce(F.max_by("value", F.when(F.col("op") == "setGlobalPrompt", F.col("seq"))), F.lit("")).alias("global_prompt"),
         (F.coalesce(F.max_by("value", F.when(F.col("op") == "setApiKey", F.col("seq"))), F.lit("")) != "").alias("has_key"),

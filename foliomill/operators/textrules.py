@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import free_name
+
 KANA = "\\u3040-\\u30ff"
 
 
+#: The characters with a meaning of their own in patterns.
+SPECIAL = r"([\\^$.|?*+()\[\]{}])"
+
+
 def _pattern(terms: list[str]) -> str:
     # Longest first: the first alternative that fits is the one taken.
-    return "|".join(rf"\Q{t}\E" for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    return "|".join(re.sub(SPECIAL, r"\\\1", t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
 
 
 def glossary_column(text: Column, glossary: dict[str, str]) -> Column:
@@ -30,20 +38,54 @@ def apply_glossary(df: DataFrame, text: str, glossary: dict[str, str], output: s
     return df.withColumn(output, glossary_column(F.col(text), glossary))
 
 
-def glossary_violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
+def _terms_of(glossary: DataFrame, key: str) -> DataFrame:
+    """(key, terms): the non-empty terms of each setting in one array, longest first; one row for each setting that has any."""
+    entry = F.struct((-F.char_length("original")).alias("size"), "original", "translation")
+    usable = glossary.filter("original <> '' and translation is not null")
+    return usable.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("terms"))
+
+
+def apply_glossaries(df: DataFrame, text: str, glossary: DataFrame, key: str = "config_id", output: str = "replaced") -> DataFrame:
+    """``df`` with the glossary of each row's own setting (``key``) substituted in ``text``, by the rule of ``apply_glossary``.
+
+    ``glossary`` (key, original, translation) may hold any number of settings; a setting's
+    terms, unique by original, travel as one array and meet its rows by an equi join.
+    Empty terms and null translations are passed over; a row whose setting is null or
+    has no terms keeps its text.
+    """
+    setting, terms = free_name(df, "glossary_setting"), free_name(df, "glossary_terms")
+    rows = df.join(_terms_of(glossary, key).select(F.col(key).alias(setting), F.col("terms").alias(terms)), F.col(key) == F.col(setting), "left")
+    quoted = F.transform(terms, lambda t: F.regexp_replace(t["original"], SPECIAL, r"\\$1"))
+    heads = F.array_join(F.transform(terms, lambda t: F.regexp_replace(F.substring(t["original"], 1, 1), r"([\\\[\]^&-])", r"\\$1")), "")
+    pattern = F.concat(F.lit("(?s)("), F.array_join(quoted, "|"), F.lit("|[^"), heads, F.lit("]+|.)"))
+    table = F.map_from_entries(F.transform(terms, lambda t: F.struct(t["original"], t["translation"])))
+    pieces = F.regexp_extract_all(F.col(text), pattern, F.lit(1))
+    changed = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")
+    whole = F.when(F.col(terms).isNull(), F.col(text)).otherwise(changed)
+    return rows.withColumn(output, whole).select(*[c for c in df.columns if c != output], output)
+
+
+def glossary_violations(pairs: DataFrame, glossary: DataFrame, key: str | None = None) -> DataFrame:
     """(id, original, translation, missing, kept) for each term in a source: is its translation absent, is the term still there?
 
-    Only terms that violate are returned.  The glossary (original, translation) becomes
-    a constant of the plan, of at most ``MAX_TERMS`` rows, so each pair is looked at
-    where it lies and nothing is shuffled.
+    Only terms that violate are returned.  Without ``key`` the glossary (original,
+    translation) is for all pairs and becomes a constant of the plan, of at most
+    ``MAX_TERMS`` rows, so each pair is looked at where it lies and nothing is shuffled.
+    With ``key``, a column of both, each pair is held against the terms of its own
+    setting, of which there may be any number.
     """
-    rows = glossary.select("original", "translation").filter("original <> ''").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms: split the glossary")
-    kind = "array<struct<original:string,translation:string>>"
-    terms = F.array(*[F.struct(F.lit(r[0]).alias("original"), F.lit(r[1]).alias("translation")) for r in rows]).cast(kind)
-    present = F.filter(terms, lambda t: F.contains(F.col("source"), t["original"]))
-    hits = pairs.withColumn("term", F.explode(present))
+    if key:
+        setting, terms = free_name(pairs, "glossary_setting"), free_name(pairs, "glossary_terms")
+        own = _terms_of(glossary, key).select(F.col(key).alias(setting), F.col("terms").alias(terms))
+        pairs, listed = pairs.join(own, F.col(key) == F.col(setting)), F.col(terms)
+    else:
+        rows = glossary.select("original", "translation").filter("original <> ''").limit(MAX_TERMS + 1).collect()
+        if len(rows) > MAX_TERMS:
+            raise ValueError(f"more than {MAX_TERMS} terms: split the glossary")
+        kind = "array<struct<original:string,translation:string>>"
+        listed = F.array(*[F.struct(F.lit(r[0]).alias("original"), F.lit(r[1]).alias("translation")) for r in rows]).cast(kind)
+    present = F.filter(listed, lambda t: F.contains(F.col("source"), t["original"]))
+    hits = pairs.select("id", "source", "target", F.explode(present).alias("term"))
     original, translation = F.col("term.original"), F.col("term.translation")
     checked = hits.select(
         "id", original.alias("original"), translation.alias("translation"),

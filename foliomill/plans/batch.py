@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import free_name
+from ..sources.scratch import stored
+
 OUTPUT = ("project", "output_name")
 
 
@@ -57,10 +60,27 @@ def settle_collisions(results: DataFrame, keys: tuple[str, ...] = OUTPUT, order:
 
 
 def with_progress(df: DataFrame, project: str = "project", order: str = "file_name") -> DataFrame:
-    """``df`` with seq (from 1), total and percent of its project; percent is i / total * 100 in double precision, cut off."""
-    in_project = Window.partitionBy(project)
-    i, n = F.row_number().over(in_project.orderBy(order)), F.count(F.lit(1)).over(in_project)
-    return df.withColumns({"seq": i, "total": n}).withColumn("percent", (F.col("seq") / F.col("total") * 100).cast("int"))
+    """``df`` with seq (from 1), total and percent of its project; percent is i / total * 100 in double precision, cut off.
+
+    The rows are sorted by ranges and stored once; a row's number is its place in that
+    order less the place of its project's first row, so a project may fill many tasks.
+    A null ``order`` comes first, a null project is a project of its own, and columns
+    seq, total and percent of the input are replaced.
+    """
+    columns = [c for c in df.columns if c not in ("seq", "total", "percent")]
+    file, row, start, at, first, owner, n = (free_name(df, f"progress_{x}") for x in ("file", "row", "start", "at", "first", "owner", "n"))
+    rows = stored(df.select(*columns).orderBy(project, order), "progress")
+    part, piece = (F.coalesce(F.regexp_extract("_metadata.file_name", p, 1).try_cast("long"), F.lit(0)) for p in (r"part-(\d+)", r"-c(\d+)"))
+    placed = rows.withColumns({file: F.struct(part.alias("part"), piece.alias("piece")), row: F.col("_metadata.row_index")})
+    # A row for each file written, of which there are as many as shuffle partitions.
+    files = placed.groupBy(file).agg(F.count(F.lit(1)).alias(n))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(file, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    placed = placed.join(F.broadcast(starts), file).withColumn(at, F.col(start) + F.col(row))
+    whole = placed.groupBy(F.col(project).alias(owner)).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("total"))
+    both = placed.join(whole, F.col(project).eqNullSafe(F.col(owner)))
+    seq = F.col(at) - F.col(first) + 1
+    return both.select(*columns, seq.alias("seq"), "total", (seq / F.col("total") * 100).cast("int").alias("percent"))
 
 
 def tally(results: DataFrame, project: str = "project") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,7 @@ from .functions import admission, names
 from .operators import apply, config, prompts, settings, textrules
 from .plans import batch
 from .sources import payloads, scan
+from .sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -553,6 +552,45 @@ def f2_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textrules.glossary_violations(pairs, terms(spark))
 
 
+#: Two settings by language: that of de and en has every term, that of fr and es has other translations of three; others have none.
+_SETTING = {"de": "one", "en": "one", "fr": "two", "es": "two"}
+_OF_SETTING = {"one": TERMS, "two": {"de la": "<2DL>", "de": "<2D>", "(e": "<2E>"}}
+
+
+def setting_terms(spark: SparkSession) -> DataFrame:
+    rows = [(s, o, t) for s, found in _OF_SETTING.items() for o, t in found.items()]
+    return spark.createDataFrame(rows, "config_id string, original string, translation string")
+
+
+def replaced_by_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setting = F.create_map(*[F.lit(x) for pair in _SETTING.items() for x in pair])[F.col("lang")]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", setting.alias("config_id"))
+    return textrules.apply_glossaries(docs, "text", setting_terms(spark))
+
+
+_MAP_2 = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _OF_SETTING["two"].items()) + "}"
+_REPLACED_2 = rf"array_to_string(list_transform(regexp_extract_all(text, '(?s)(de la|de|\(e|.)', 1), lambda x: coalesce({_MAP_2}[x], x)), '')"
+_BY_SETTING = f"CASE WHEN lang IN ('de', 'en') THEN {_REPLACED} WHEN lang IN ('fr', 'es') THEN {_REPLACED_2} ELSE text END"
+
+
+@query(f"SELECT doc_id, md5({_BY_SETTING}) AS replaced_md5 FROM documents")
+def f1_glossaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replaced_by_setting(spark, sf_dir).select("doc_id", F.md5("replaced").alias("replaced_md5"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id AS id, CASE WHEN lang IN ('de', 'en') THEN {_MAP} WHEN lang IN ('fr', 'es') THEN {_MAP_2} END AS terms, text AS source,
+                          CASE WHEN doc_id % 2 = 0 THEN {_BY_SETTING} ELSE text END AS target FROM documents),
+    t AS (SELECT id, source, target, unnest(map_entries(terms)) AS e FROM p),
+    c AS (SELECT id, e.key AS original, e.value AS translation, NOT contains(target, e.value) AS missing, contains(target, e.key) AS kept FROM t WHERE contains(source, e.key))
+    SELECT * FROM c WHERE missing OR kept"""
+)
+def f2_violations_by_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = F.when(F.col("doc_id") % 2 == 0, F.col("replaced")).otherwise(F.col("text"))
+    pairs = replaced_by_setting(spark, sf_dir).select(F.col("doc_id").alias("id"), "config_id", F.col("text").alias("source"), target.alias("target"))
+    return textrules.glossary_violations(pairs, setting_terms(spark), "config_id")
+
+
 @query(
     """SELECT doc_id AS id, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS source_numbers,
               array_to_string(regexp_extract_all(replace(text, '1', '11'), '[0-9]+'), ',') AS target_numbers
@@ -610,8 +648,7 @@ def a3_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id || '.html' AS output_name, md5(coalesce(html, '')) AS payload_md5 FROM pages")
 def a4_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a file of its own and read again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # unset in tests alone
-    folder = f"{base.removeprefix('file:')}/payloads-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "payloads").removeprefix("file:")
     html = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("output_name"), F.col("html").cast("binary").alias("payload"))
     payloads.write_payloads(html, folder)
     files = spark.read.format("binaryFile").load(folder)

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,17 @@ def test_collisions_progress_and_tally(spark):
     assert percent == [int(i / 100 * 100) for i in range(1, 101)] and percent[28] == 28
 
 
+def test_progress_over_many_files(spark):
+    rows = [("hot", f"{i:04d}", i) for i in range(900)] + [(f"p{i}", "x", -1) for i in range(50)] + [(None, "b", 0), (None, None, 1)]
+    pages = spark.createDataFrame(rows, "project string, file_name string, progress_row int").repartition(7)
+    found = batch.with_progress(pages.withColumn("seq", F.lit(-5))).collect()
+    assert [(r["file_name"], r["progress_row"]) for r in sorted((r for r in found if r["project"] == "hot"), key=lambda r: r["seq"])] == [(f"{i:04d}", i) for i in range(900)]
+    assert sorted(r["seq"] for r in found if r["project"] == "hot") == list(range(1, 901)) and {r["total"] for r in found if r["project"] == "hot"} == {900}
+    assert {(r["seq"], r["total"], r["percent"]) for r in found if str(r["project"]).startswith("p")} == {(1, 1, 100)}
+    assert {(r["file_name"], r["seq"], r["total"], r["percent"]) for r in found if r["project"] is None} == {(None, 1, 2, 50), ("b", 2, 2, 100)}
+    assert batch.with_progress(pages.limit(0)).collect() == []
+
+
 def test_wave_skip_and_latest(spark):
     plan = spark.createDataFrame([("p", "a.png", "a.jpg"), ("p", "a.jpg", "a.jpg"), ("p", "b.png", "b.jpg")], "project string, file_name string, output_name string")
     assert {r["file_name"] for r in batch.plan_wave(plan).collect()} == {"a.jpg", "b.png"}
@@ -120,6 +132,43 @@ def test_settings_defaults_and_fold(spark):
     assert {tuple(r) for r in scalars.collect()} == {("u", "", True), ("v", "", False)}
 
 
+def test_fold_agrees_with_a_replay(spark):
+    rng, log = random.Random(3), []
+    for user in ("hot", "hot", "hot", "u", None):
+        for _ in range(60):
+            op, key = rng.choice(["add"] * 5 + ["remove"] * 3 + ["replace", "clear"]), rng.choice(["a", "b", "c", None])
+            log.append((user, len(log), op, key, str(len(log)), {"b": "y", "c": "x"} if op == "replace" else None))
+    state: dict = {}
+    for user, _, op, key, value, mapping in log:
+        mine = state.setdefault(user, {})
+        if op == "add":
+            mine[key] = value
+        elif op == "remove":
+            mine.pop(key, None)
+        else:
+            mine.clear()
+            mine.update(mapping or {})
+    pairs, _ = settings.fold_settings(spark.createDataFrame(log, "user string, seq int, op string, key string, value string, mapping map<string,string>"))
+    found: dict = {}
+    for r in sorted(pairs.collect(), key=lambda r: r["pos"]):
+        found.setdefault(r["user"], []).append((r["key"], r["value"]))
+    assert found == {u: list(m.items()) for u, m in state.items() if m}
+
+
+def test_glossaries_of_settings(spark):
+    rows = [("one", "a.b [x] a-b \\E ab"), ("two", "a.b [x] a-b"), ("none", "a.b"), (None, "a.b"), ("one", None), ("one", ""), ("two", "^a 😀a")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, config_id string, text string").withColumn("glossary_terms", F.lit(1))
+    terms = [("one", "a.b", "1"), ("one", "[x]", "2"), ("one", "\\E", "3"), ("one", "a", "b"), ("one", "", "no"), ("one", "x", None), ("two", "a-b", "$1"), ("two", "-", "m"), ("two", "^", "c"), ("two", "😀", "face")]
+    glossary = spark.createDataFrame(terms, "config_id string, original string, translation string")
+    found = {r["id"]: (r["replaced"], r["glossary_terms"]) for r in textrules.apply_glossaries(df, "text", glossary).collect()}
+    assert found == {i: (t, 1) for i, t in enumerate(["1 2 b-b 3 bb", "a.b [x] $1", "a.b", "a.b", None, "", "ca facea"])}
+    same = textrules.apply_glossary(df, "text", {"a.b": "1", "[x]": "2", "\\E": "3", "a": "b"}).filter("id = 0").first()["replaced"]
+    assert same == found[0][0]
+    pairs = df.select("id", "config_id", F.col("text").alias("source"), F.lit("1 a $1").alias("target"))
+    bad = {(r["id"], r["original"], r["missing"], r["kept"]) for r in textrules.glossary_violations(pairs, glossary, "config_id").collect()}
+    assert bad == {(0, "a", True, True), (0, "[x]", True, False), (0, "\\E", True, False), (1, "-", True, False), (6, "^", True, False), (6, "😀", True, False)}
+
+
 def test_text_rules(spark):
     rows = spark.createDataFrame([(1, "abc ab. a", "1 x 001")], "id int, source string, target string")
     out = textrules.apply_glossary(rows, "source", {"a": "b", "ab": "a", "abc": "X.Y", "": "never"}).first()
