@@ -17,7 +17,7 @@ pairs of parts.
 
 ``similar_rows`` is the form for looser likeness: wider fingerprints, of which many
 sampled pieces are the words that serve as anchors (a code of covering radius zero,
-threshold zero within a piece).  The perfect code would need over a thousand replicas
+threshold zero within a piece).  Its large anchors are dealt out in the same way.  The perfect code would need over a thousand replicas
 of a fingerprint for the same share of pairs found at a similarity of 0.8.
 """
 
@@ -232,7 +232,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _cells(rows: list[np.ndarray]) -> np.ndarray:
-    """A number for each run of equal (key, x, y)."""
+    """A number for each run of equal (key, x, y), the first three of ``rows``."""
     key, x, y = rows[:3]
     change = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     return np.cumsum(np.r_[0, change]) if len(key) else np.zeros(0, np.int64)
@@ -276,6 +276,10 @@ WIDE, WIDE_DISTANCE = 4, 46
 PIECES, PIECE_BITS = 128, 24
 #: Members of an anchor that are compared one with another at once.
 FEW = 64
+#: Members of a part of a large anchor, and pairs of fingerprints that are compared at once.
+WIDE_MEMBERS, AT_ONCE = 8_192, 1 << 20
+#: One class in this many is looked at to see which anchors are large; it decides how rows are dealt, not which meet.
+GLANCE = 16
 
 
 def wide_fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
@@ -318,8 +322,9 @@ def anchor_edges(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarr
         star, rest = rest[near], rest[~near]
         out_a.append(ids[star[1:]])
         out_b.append(np.full(len(star) - 1, ids[star[0]]))
-        for at in range(0, len(rest), 256):
-            some = rest[at : at + 256]
+        step = max(1, AT_ONCE // len(star))
+        for at in range(0, len(rest), step):
+            some = rest[at : at + step]
             i, first = np.unique(np.nonzero(_apart(fps[some][:, None], fps[star][None]) <= WIDE_DISTANCE)[0], return_index=True)
             out_a.append(ids[some[i]])
             out_b.append(np.full(len(i), ids[star[0]]))
@@ -376,6 +381,12 @@ def similar_rows(docs: DataFrame, row_key: list[str], shingle: int = 5, id_col:
     classes = rows.groupBy(*names).agg(F.min(rank).alias("rank")).withColumn("node", F.monotonically_increasing_id())
     classes = materialise(classes, "wide-classes")
 
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                fps = np.stack([batch.column(i).slice(at, 2_000).to_numpy() for i in range(WIDE)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pieces_of(fps).ravel())], ["key"])
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
@@ -388,24 +399,37 @@ def similar_rows(docs: DataFrame, row_key: list[str], shingle: int = 5, id_col:
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []  # the last anchor, which may go on in the next batch
+        kept: list[np.ndarray] = []  # the last cell, which may go on in the next batch
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
             columns = [np.concatenate(c) for c in zip(kept, columns, strict=True)] if kept else columns
-            to = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            cell = _cells(columns[:3])
+            to = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
             if to:
-                yield reported([c[:to] for c in columns])
+                yield reported(cell[:to], [c[:to] for c in columns])
             kept = [c[to:] for c in columns]
         if kept and len(kept[0]):
-            yield reported(kept)
+            yield reported(_cells(kept[:3]), kept)
 
-    def reported(columns: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = near_edges(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64))
+    def reported(cell: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = near_edges(cell, columns[3], np.stack(columns[4:], axis=1).view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     words = ", ".join(f"{n} long" for n in names)
     placed = classes.select("node", *names).mapInArrow(place, f"key long, node long, {words}")
-    edges = placed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
-    roots = connected(edges, "node")
+    seen = classes.filter(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(GLANCE)) == 0).select(*names).mapInArrow(anchors, "key long")
+    parts = F.ceil(F.col("count") * GLANCE / WIDE_MEMBERS).cast("int")
+    large = materialise(seen.groupBy("key").count().filter(F.col("count") * GLANCE > WIDE_MEMBERS).select("key", parts.alias("parts")), "large-anchors")
+    whole = ["key", F.lit(-1).alias("x"), F.lit(-1).alias("y"), "node", *names]
+    if large.isEmpty():
+        cells = placed.select(*whole)
+    else:
+        # Of a large anchor every two parts meet in a cell, and the members of a part with them.
+        marked = placed.join(large, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        split = marked.filter("parts is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("mine <> other")
+        split = split.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", *names)
+        cells = marked.filter("parts is null").select(*whole).union(split)
+    dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    roots = connected(dealt.mapInArrow(compare, "a long, b long"), "node")
     grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("rank").alias("rank"))
     return grouped.select(*[F.col("rank")[c].alias(c) for c in row_key])

@@ -195,7 +195,10 @@ def five(text):
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 
-def test_similar_rows_by_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("members", [simhash.WIDE_MEMBERS, 3])
+def test_similar_rows_by_brute_force(spark, tmp_path, monkeypatch, members):
+    monkeypatch.setattr(simhash, "WIDE_MEMBERS", members)
+    monkeypatch.setattr(simhash, "GLANCE", 1 if members < simhash.FEW else simhash.GLANCE)
     rng = random.Random(12)
     words = [f"{a}{b}" for a in ("mor", "tel", "gra", "win", "sol", "ker") for b in ("an", "ei", "ou", "ist", "ul")]
     rows = []
@@ -221,6 +224,25 @@ def test_similar_rows_by_brute_force(spark, tmp_path):
     assert sorted(i for i in left if i and i >= 90_000) == [90_000, 90_002] and len(left) == len(set(left))
 
 
+def test_large_anchors_are_dealt_out_whole(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for group in range(3):  # near copies that share most anchors
+        body = [f"{group}w{rng.randrange(500)}" for _ in range(300)]
+        for i in range(60):
+            other = list(body)
+            other[rng.randrange(300)] = f"new{i}"
+            rows.append((1000 * group + i, " ".join(other)))
+    table(spark, rows).write.parquet(str(tmp_path / "t"))
+    docs, key = shared.with_row_key(spark.read.parquet(str(tmp_path / "t")))
+    for members, glance in ((7, 1), (20, 2), (8_192, 16)):
+        monkeypatch.setattr(simhash, "WIDE_MEMBERS", members)
+        monkeypatch.setattr(simhash, "GLANCE", glance)
+        monkeypatch.setattr(simhash, "AT_ONCE", 50)
+        left = docs.join(simhash.similar_rows(docs, key), key, "left_semi").collect()
+        assert sorted(r["doc_id"] for r in left) == [0, 1000, 2000]
+
+
 def test_dense_anchor_finds_every_component():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
