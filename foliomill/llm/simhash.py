@@ -426,9 +426,9 @@ def similar_rows(docs: DataFrame, row_key: list[str], shingle: int = 5, id_col:
     else:
         # Of a large anchor every two parts meet in a cell, and the members of a part with them.
         marked = placed.join(large, "key", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        split = marked.filter("parts is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("mine <> other")
-        split = split.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", *names)
-        cells = marked.filter("parts is null").select(*whole).union(split)
+        others = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        met = marked.withColumn("other", F.explode(others)).filter("parts is null or mine <> other")
+        cells = met.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", *names)
     dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     roots = connected(dealt.mapInArrow(compare, "a long, b long"), "node")
     grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("rank").alias("rank"))
