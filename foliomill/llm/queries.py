@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, ctw, exact_dedup, langid, mixing, pii, quality, simhash, toxicity
+from . import ann, bpe, ctw, exact_dedup, langid, merkle, mixing, pii, quality, simhash, toxicity
 from .shared import fold
 
 
@@ -80,6 +80,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    # Tampering adds a character to the count of every seventh row.
+    more = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, 1).otherwise(0)
+    tampered = merkle.leaf_digest(*[F.col(c) + more if c == "n_chars" else F.col(c) for c in fields])
+    found = merkle.manifest(docs, fields, "lang", ["doc_id"], tampered)
+    out = found.withColumn("folded_root", merkle.folded(F.col("other_leaf"), F.col("steps")))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -91,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle": op12_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +118,47 @@ ORACLE_SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
+    # The digests climb from level to level, then each leaf's siblings fold along its way.
+    "op12_merkle": r"""
+        WITH RECURSIVE polynomial AS (
+          SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+                   CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc),
+        d AS (
+          SELECT *, doc_id IS NOT NULL AND xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b:
+                   xor(c >> 8, crc[(xor(c, b) & 255)::INT + 1]), 4294967295), 4294967295) % 7 = 0 AS hit
+          FROM documents, polynomial),
+        f AS (
+          SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+                 coalesce(strlen(text) || ':' || text, '-') AS tail, n_chars + hit::INT AS m FROM d),
+        l AS (
+          SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                 sha256(head || coalesce(strlen(m::VARCHAR) || ':' || m, '-') || tail) AS other FROM f),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+        low AS (
+          SELECT lang, 0 AS level, i, n, leaf AS h FROM placed
+          UNION ALL
+          SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lang, level, i // 2, n),
+        sub AS (
+          SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM low WHERE n = 1),
+        high AS (
+          SELECT 0 AS level, j, m, subroot AS h FROM sub
+          UNION ALL
+          SELECT level + 1, j // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY j)) FROM high WHERE m > 1 GROUP BY level, j // 2, m),
+        way AS (
+          SELECT p.doc_id, p.leaf, p.other, p.lang, p.i, p.n, s.subroot, s.j, s.m, 0 AS level, p.other AS fold, '' AS proof
+          FROM placed p JOIN sub s ON p.lang IS NOT DISTINCT FROM s.lang
+          UNION ALL
+          SELECT w.doc_id, w.leaf, w.other, w.lang, w.i // 2, (w.n + 1) // 2, w.subroot, w.j, w.m, w.level + 1,
+                 sha256(CASE WHEN w.i % 2 = 1 THEN x.h ELSE '' END || w.fold || CASE WHEN w.i % 2 = 0 THEN coalesce(x.h, '') ELSE '' END), w.proof || coalesce(x.h, '')
+          FROM way w LEFT JOIN (SELECT * FROM low) x ON x.lang IS NOT DISTINCT FROM w.lang AND x.level = w.level AND x.i = xor(w.i, 1) WHERE w.n > 1),
+        top AS (
+          SELECT doc_id, leaf, subroot, j, m, 0 AS level, fold, proof FROM way WHERE n = 1
+          UNION ALL
+          SELECT t.doc_id, t.leaf, t.subroot, t.j // 2, (t.m + 1) // 2, t.level + 1,
+                 sha256(CASE WHEN t.j % 2 = 1 THEN x.h ELSE '' END || t.fold || CASE WHEN t.j % 2 = 0 THEN coalesce(x.h, '') ELSE '' END), t.proof || coalesce(x.h, '')
+          FROM top t LEFT JOIN (SELECT * FROM high) x ON x.level = t.level AND x.j = xor(t.j, 1) WHERE t.m > 1)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+        FROM top, (SELECT h AS root FROM high WHERE m = 1) WHERE top.m = 1
+    """,
 }

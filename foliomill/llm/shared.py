@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _own_dirs: dict[str, str] = {}
@@ -67,6 +68,26 @@ def with_row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
         return materialise(df, "rows").withColumns(place), names
 
 
+def in_order(df: DataFrame, by: list[str | Column], at: str) -> DataFrame:
+    """``df`` stored in the order of ``by``, each row with its place in that order (column ``at``, from 0).
+
+    Sorted by ranges in many tasks and written once, so a place is the number of rows in
+    the files before and in front of it in its own; Spark numbers the files of one write
+    by task, so by range.  Rows with equal ``by`` fall to one task: give a last column
+    that tells them apart.
+    """
+    file, row, n, start = (free_name(df, x) for x in ("order_file", "order_row", "order_n", "order_start"))
+    rows = materialise(df.orderBy(*by), "ordered")
+    part, piece = (F.coalesce(F.regexp_extract("_metadata.file_name", p, 1).try_cast("long"), F.lit(0)) for p in (r"part-(\d+)", r"-c(\d+)"))
+    placed = rows.withColumns({file: F.shiftleft(part, 24) + piece, row: F.col("_metadata.row_index")})
+    # A row for each file written, of which there are as many as shuffle partitions.
+    files = placed.groupBy(file).agg(F.count(F.lit(1)).alias(n))
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(file, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    placed = placed.join(F.broadcast(starts), file).withColumn(at, F.col(start) + F.col(row))
+    return placed.drop(file, row, start)
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of every row with its class, in which no class, however large, is read by one task.
 
