@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, ctw, exact_dedup, langid, merkle, mixing, pii, quality, simhash, toxicity
+from . import ann, bpe, ctw, exact_dedup, langid, merkle, mixing, pii, quality, repair, simhash, toxicity
 from .shared import fold
 
 
@@ -94,6 +94,28 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role and text of the rows after damage by crc32 of ``conv_id:turn`` (nulls: one space)."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    harm = F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20
+    changed = F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.when(harm == 0, F.array().cast("array<int>")).when(harm == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = conversations.select("conv_id", "turn", F.when(harm == 4, "user").otherwise(role).alias("role"), changed.alias("text"), F.explode(copies).alias("copy"))
+    return rows.drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations")
+    found = repair.Repair(damaged(talks))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    known = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts]
+    known += [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")]
+    out = talks.select("conv_id").distinct()
+    for part in (found.summary().withColumnRenamed("conv", "conv_a"), found.digests().withColumnRenamed("conv", "conv_b")):
+        out = out.join(part, F.col("conv_id").eqNullSafe(F.col(part.columns[0])), "left")
+    return out.select("conv_id", *known)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -106,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
     "op12_merkle": op12_merkle,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {

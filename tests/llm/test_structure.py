@@ -2,12 +2,12 @@
 
 import hashlib
 import random
-import zlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.llm import merkle
+from foliomill.llm import merkle, repair
 
 
 def sha(*parts):
@@ -70,3 +70,119 @@ def test_manifest_of_nothing_and_of_clashing_names(spark):
     assert one["steps"] == [] and one["root"] == one["subroot"] == one["node"]
     with pytest.raises(ValueError, match="children"):
         merkle.build(rows, "node", "node_group", ["node_at"], arity=1)
+
+
+COSTS = {"K": 0, "R": 3, "D": 4, "I": 3}
+
+
+def brute_repair(rows):
+    """(cost, audit, repaired) over every way to edit: rows of (role, text, must_go, truncated); the initials are a regular expression's."""
+    best = (4 * len(rows), "D" * len(rows), [])
+
+    def go(i, cost, audit, out, run):
+        nonlocal best
+        if cost > best[0] or not re.fullmatch("s?(ua)*u?", "".join(r[:1] for r, _ in out)):
+            return
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", "".join(r[:1] for r, _ in out)):
+            best = min(best, (cost, audit, out))
+        if run < 2:
+            for role in ("user", "assistant"):
+                go(i, cost + 3, audit + "I", [*out, (role, "")], run + 1)
+        if i < len(rows):
+            role, text, must_go, truncated = rows[i]
+            go(i + 1, cost + 4, audit + "D", out, 0)
+            if not must_go:
+                more = 3 * truncated
+                if role[:1] and role[:1] in "sua":
+                    go(i + 1, cost + more, audit + "K", [*out, (role, text)], 0)
+                for new in ("user", "assistant"):
+                    go(i + 1, cost + 3 + more, audit + "R", [*out, (new, text)], 0)
+
+    go(0, 0, "", [], 0)
+    return best
+
+
+def expected_repair(rows):
+    """The contract's row of a conversation from its rows (turn, role, text) in order."""
+    seen, marked, faults = set(), [], []
+    for _, role, text in rows:
+        body = text.strip(repair.SPACE)
+        fault = "blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else ""
+        seen.add((role, text))
+        faults.append(fault)
+        marked.append((role, text, fault in ("blank", "duplicate"), fault == "truncated"))
+    turns = [t for t, _, _ in rows if t is not None]
+    roles = [r[:1] for _, r, _ in rows]
+    cost, audit, out = brute_repair(marked)
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:]))
+    return (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest())
+
+
+def talks(rng, n, longest=5):
+    rows = []
+    for conv in [*range(n), None]:
+        for turn in sorted(rng.sample(range(12), rng.randint(1, longest))):
+            text = rng.choice(["Yes.", "No!", "é?", "open", " ", "", "\n\t", "Yes. ", "x" * 3000 + ".", None, "...", "!"])
+            rows.append((conv, turn if rng.random() < 0.95 else None, rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None]), text))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [1024, 3])
+def test_repair_by_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(repair, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(repair, "PIECE_BYTES", 1)
+    rows = [r for r in talks(random.Random(chunk), 60) if r[1] is not None]
+    rows += [(1000, None, "user", "a."), (1000, None, "user", "a."), (1001, None, "assistant", None)]
+    found = repair.Repair(spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, at int, chunk string"))
+    got = {r["conv"]: tuple(r)[1:] for r in found.summary().collect()}
+    sha256 = {r["conv"]: r["repaired_sha256"] for r in found.digests().collect()}
+    by_conv: dict = {}
+    for conv, turn, role, text in rows:
+        by_conv.setdefault(conv, []).append((turn, " " if role is None else role, " " if text is None else text))
+    assert set(got) == set(by_conv)
+    lines: dict = {}
+    for r in sorted(found.turns().collect(), key=lambda r: (r["chunk"], r["place"])):
+        lines.setdefault(r["conv"], []).append(f"{r['role']}:{r['text']}")
+    for conv, mine in by_conv.items():
+        mine = sorted(mine, key=lambda r: r[0] is not None and r[0])
+        assert (*got[conv], sha256.get(conv, hashlib.sha256(b"").hexdigest())) == expected_repair(mine), (conv, mine)
+        assert hashlib.sha256("\n".join(lines.get(conv, [])).encode()).hexdigest() == expected_repair(mine)[-1]
+
+
+def test_ties_take_the_least_audit():
+    rng = random.Random(5)
+    for _ in range(400):
+        rows = [(rng.choice(["user", "assistant", "system", "tool"]), "t", rng.random() < 0.2, rng.random() < 0.3) for _ in range(rng.randint(0, 5))]
+        moves = [(r[:1], go, cut) for r, _, go, cut in rows]
+        segments = [repair._segment("c", k, True, [(k, k, *m[:1], m[1], False, m[2] and not m[1]) for m in [moves[k]]]) for k in range(len(rows))]
+        plan = list(repair._plan(segments)) if segments else []
+        cost, audit, _ = brute_repair(rows)
+        assert not plan or (plan[-1][12], plan[-1][13], "".join(p[4] for p in plan)) == (cost, audit, audit)
+
+
+def test_trails_with_colliding_hashes(monkeypatch):
+    monkeypatch.setattr(repair, "_PRIME", 2)
+    rng, trails, texts = random.Random(2), repair.Trails(), [""]
+    for _ in range(300):
+        parent = rng.randrange(max(0, len(texts) - 20), len(texts))
+        text = "".join(rng.choice("DIKR") for _ in range(rng.randint(1, 4)))
+        assert trails.add(parent, text) == len(texts)
+        texts.append(texts[parent] + text)
+    for _ in range(2000):
+        a, b = rng.randrange(len(texts)), rng.randrange(len(texts))
+        assert trails.string(a) == texts[a] and trails.less(a, b) == (texts[a] < texts[b])
+
+
+def test_repair_of_a_hot_conversation_and_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(repair, "CHUNK_ROWS", 64)
+    rows = [(1, i, rng_role, f"t{i // 3}.") for i, rng_role in enumerate(random.Random(1).choices(["user", "assistant", "system"], k=1500))]
+    found = repair.Repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = repair.solve([(r[2][:1], (r[2], r[3]) in {(x[2], x[3]) for x in rows[max(0, i - 3) : i]}, False) for i, r in enumerate(rows)], 0)
+    got = found.summary().first()
+    assert got["cost"] <= min(x[0] for x in (whole[0], whole[3]) if x) + 6 and len(got["audit"].replace("I", "")) == 1500
+    lines = [f"{r['role']}:{r['text']}" for r in sorted(found.turns().collect(), key=lambda r: (r["chunk"], r["place"]))]
+    assert found.digests().first()["repaired_sha256"] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert re.fullmatch("(s?(ua)+)?", "".join(x[0] for x in lines))
+    none = repair.Repair(spark.createDataFrame([], "conv_id string, turn int, role string, text string"))
+    assert none.summary().count() == none.digests().count() == none.turns().count() == 0
