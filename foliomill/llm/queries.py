@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, ctw, exact_dedup, langid, merkle, mixing, pii, quality, repair, simhash, toxicity
+from . import ann, bpe, ctw, exact_dedup, langid, merkle, mixing, packing, pii, quality, repair, simhash, toxicity
 from .shared import fold
 
 
@@ -80,6 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_packing": op11_packing,
     "op12_merkle": op12_merkle,
     "op13_repair": op13_repair,
 }

@@ -1,13 +1,18 @@
 """Merkle manifests, repair of conversations and packing against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from foliomill.llm import merkle, repair
+from foliomill.llm import merkle, packing, repair
+from foliomill.llm.queries import vocabulary
 
 
 def sha(*parts):
@@ -186,3 +191,83 @@ def test_repair_of_a_hot_conversation_and_of_nothing(spark, monkeypatch):
     assert re.fullmatch("(s?(ua)+)?", "".join(x[0] for x in lines))
     none = repair.Repair(spark.createDataFrame([], "conv_id string, turn int, role string, text string"))
     assert none.summary().count() == none.digests().count() == none.turns().count() == 0
+
+
+BYTES = vocabulary("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(BYTES)
+
+
+def check_packing(docs, library, pieces, capacity):
+    """Every id in one piece, CRCs as the library's ids give them, sequences gapless and full but for powers of two; returns ids by sequence."""
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [1] for i, t in docs}
+    by_doc, by_sequence = {i: [] for i in ids}, {}
+    for r in pieces:
+        mine = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["length"] == len(mine) > 0 and r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(np.array(mine, "<u4").tobytes())
+        by_doc[r["doc_id"]].append((r["start"], r["length"]))
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], mine))
+    for i, parts in by_doc.items():
+        parts.sort()
+        assert [s for s, _ in parts] == [0, *itertools.accumulate(n for _, n in parts)][:-1] and sum(n for _, n in parts) == len(ids[i])
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    out = {}
+    for s, parts in by_sequence.items():
+        parts.sort(key=lambda p: p[0])
+        assert [o for o, _ in parts] == [0, *itertools.accumulate(len(x) for _, x in parts)][:-1]
+        out[s] = [x for _, p in parts for x in p]
+        assert len(out[s]) == capacity or (len(out[s]) < capacity and len(out[s]).bit_count() == 1)
+    assert sum(len(x) < capacity for x in out.values()) <= capacity.bit_length()
+    return out
+
+
+@pytest.mark.parametrize(("seed", "longest", "grain"), [(1, 300, 4), (2, 40, 4), (3, 63, 16), (4, 700, 1)])
+def test_packing_by_brute_force(spark, monkeypatch, library, seed, longest, grain):
+    monkeypatch.setattr(packing, "ROWS_PER_SPLIT", 8)
+    monkeypatch.setattr(packing, "LINE_BLOCK", 100)
+    rng = random.Random(seed)
+    words = ["a", " the", "é", "\u4e2d", "  ", "\n", "<|endoftext|>", "\U0001f600", " x1", "'ll", "\x00"]
+    docs = [(i, "".join(rng.choices(words, k=rng.randint(0, longest)))) for i in range(150)] + [(900, None), (901, "")]
+    if seed == 1:
+        docs.append((902, " \n" * 20_000 + "y" * 3_000))
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"start": F.lit(1), "key_0": F.lit("x"), "row_at": F.lit(2)}).repartition(3)
+    pieces = packing.pack(df, BYTES, capacity=64, grain=grain)
+    check_packing(docs, library, pieces.collect(), 64)
+
+
+def test_packed_sequences_hold_the_tokens(spark, tmp_path, library):
+    docs = [(i, "some words " * (i % 90) + str(i)) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    pieces = packing.pack(df, BYTES, capacity=128, grain=4)
+    expected = check_packing(docs, library, pieces.collect(), 128)
+    assert {r["sequence_id"]: r["ids"] for r in packing.sequences(df, pieces, BYTES).collect()} == expected
+
+
+def test_packing_of_equal_ids_and_of_nothing(spark):
+    same = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x")], "doc_id long, text string")
+    got = packing.pack(same, BYTES, capacity=8, grain=2).collect()
+    assert sum(r["length"] for r in got) == 6 and {r["doc_tokens"] for r in got} == {2} and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
+    assert packing.pack(same.limit(0), BYTES).count() == 0
+    with pytest.raises(ValueError, match="power"):
+        packing.pack(same, BYTES, capacity=100)
+
+
+def test_patterns_cover_all_items_with_few_copies():
+    rng = np.random.default_rng(3)
+    for units, classes, most in ((16, 16, 1000), (64, 40, 20), (128, 128, 100_000), (8, 1, 5), (128, 128, 2)):
+        counts = np.zeros(units + 1, np.int64)
+        counts[rng.choice(np.arange(1, units + 1), classes, replace=False)] = rng.integers(0, most, classes)
+        found = packing.patterns(counts, units)
+        width = np.arange(units + 1)
+        assert all(c @ width <= units and n > 0 for c, n in found)
+        assert (sum(c * n for c, n in found) == counts).all() if found else not counts.any()
+        # No packing has fewer sequences than the items fill, or than there are items over half a sequence.
+        least = max(-(-int(counts @ width) // units), int(counts[units // 2 + 1 :].sum()))
+        assert sum(n for _, n in found) <= least * 1.02 + classes
+    best = packing.patterns(np.array([0, 0, 0, 300, 300, 0, 0, 300, *[0] * 7]), 14)  # 3 + 4 + 7 fill a sequence
+    assert sum(n for _, n in best) == 300
