@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import free_name
+from . import terms
 
+#: Terms of a glossary that an expression of the plan tries one by one.
+FEW_TERMS = 64
 KANA = "\\u3040-\\u30ff"
 
 
@@ -23,19 +26,27 @@ def _pattern(terms: list[str]) -> str:
 
 def glossary_column(text: Column, glossary: dict[str, str]) -> Column:
     """One pass over the text, longest terms first; what was put in is not looked at again."""
-    terms = {k: v for k, v in glossary.items() if k}
-    if not terms:
+    usable = {k: v for k, v in glossary.items() if k}
+    if not usable:
         return text
     # What cannot begin a term goes by in one piece.
-    heads = "".join(rf"\x{{{ord(c):x}}}" for c in sorted({k[0] for k in terms}))
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)({_pattern(list(terms))}|[^{heads}]+|.)"), F.lit(1))
-    table = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+    heads = "".join(rf"\x{{{ord(c):x}}}" for c in sorted({k[0] for k in usable}))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)({_pattern(list(usable))}|[^{heads}]+|.)"), F.lit(1))
+    table = F.create_map(*[F.lit(x) for pair in usable.items() for x in pair])
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(table[p], p)), "")
 
 
-def apply_glossary(df: DataFrame, text: str, glossary: dict[str, str], output: str = "replaced") -> DataFrame:
-    """``df`` with the glossary substituted in ``text``; the glossary is a plan constant, so of modest size."""
-    return df.withColumn(output, glossary_column(F.col(text), glossary))
+def apply_glossary(df: DataFrame, text: str, glossary: dict[str, str] | DataFrame, output: str = "replaced") -> DataFrame:
+    """``df`` with the glossary substituted in ``text``: one pass, longest terms first.
+
+    A mapping of up to ``FEW_TERMS`` terms becomes an expression of the plan.  More, or a
+    table (original, translation), go through an automaton, whatever their number.
+    """
+    if isinstance(glossary, dict):
+        if len(glossary) <= FEW_TERMS:
+            return df.withColumn(output, glossary_column(F.col(text), glossary))
+        glossary = df.sparkSession.createDataFrame(list(glossary.items()), "original string, translation string")
+    return terms.substituted(df, text, glossary, output)
 
 
 def _terms_of(glossary: DataFrame, key: str) -> DataFrame:
@@ -69,22 +80,16 @@ def glossary_violations(pairs: DataFrame, glossary: DataFrame, key: str | None =
     """(id, original, translation, missing, kept) for each term in a source: is its translation absent, is the term still there?
 
     Only terms that violate are returned.  Without ``key`` the glossary (original,
-    translation) is for all pairs and becomes a constant of the plan, of at most
-    ``MAX_TERMS`` rows, so each pair is looked at where it lies and nothing is shuffled.
-    With ``key``, a column of both, each pair is held against the terms of its own
-    setting, of which there may be any number.
+    translation) is for all pairs, has any number of terms and is walked as an automaton,
+    so each pair is looked at where it lies and nothing is shuffled.  With ``key``, a
+    column of both, each pair is held against the terms of its own setting.
     """
-    if key:
-        setting, terms = free_name(pairs, "glossary_setting"), free_name(pairs, "glossary_terms")
-        own = _terms_of(glossary, key).select(F.col(key).alias(setting), F.col("terms").alias(terms))
-        pairs, listed = pairs.join(own, F.col(key) == F.col(setting)), F.col(terms)
-    else:
-        rows = glossary.select("original", "translation").filter("original <> ''").limit(MAX_TERMS + 1).collect()
-        if len(rows) > MAX_TERMS:
-            raise ValueError(f"more than {MAX_TERMS} terms: split the glossary")
-        kind = "array<struct<original:string,translation:string>>"
-        listed = F.array(*[F.struct(F.lit(r[0]).alias("original"), F.lit(r[1]).alias("translation")) for r in rows]).cast(kind)
-    present = F.filter(listed, lambda t: F.contains(F.col("source"), t["original"]))
+    if not key:
+        return terms.violations(pairs, glossary)
+    setting, listed = free_name(pairs, "glossary_setting"), free_name(pairs, "glossary_terms")
+    own = _terms_of(glossary, key).select(F.col(key).alias(setting), F.col("terms").alias(listed))
+    pairs = pairs.join(own, F.col(key) == F.col(setting))
+    present = F.filter(F.col(listed), lambda t: F.contains(F.col("source"), t["original"]))
     hits = pairs.select("id", "source", "target", F.explode(present).alias("term"))
     original, translation = F.col("term.original"), F.col("term.translation")
     checked = hits.select(
@@ -115,22 +120,10 @@ def glossary_coverage(df: DataFrame, text: str, glossary: DataFrame) -> DataFram
     """(original, rows, occurrences) for every term of the glossary, terms that never occur included.
 
     Occurrences are those of the one-pass rule, so a term inside a longer one that was
-    taken does not count.  The glossary's terms are read to the driver to form the
-    pattern (at most ``MAX_TERMS``).
+    taken does not count.  The glossary has any number of terms; what a task finds is
+    added up there before it is shuffled.
     """
-    terms = [r[0] for r in glossary.select("original").filter("original <> ''").distinct().limit(MAX_TERMS + 1).collect()]
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms: split the glossary")
     listed = glossary.select("original").filter("original <> ''").distinct()
-    if not terms:
-        return listed.select("original", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("occurrences"))
-    found = df.select(F.regexp_extract_all(F.col(text), F.lit(f"({_pattern(terms)})"), F.lit(1)).alias("t"))
-    # A row counts a term once and all its occurrences, before anything is shuffled.
-    per_row = found.select(F.explode(F.array_distinct("t")).alias("original"), F.col("t"))
-    per_row = per_row.select("original", F.size(F.filter("t", lambda x: x == F.col("original"))).alias("n"))
-    sums = per_row.groupBy("original").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("occurrences"))
+    sums = terms.counted(df, text, glossary.select("original"))
     zero = F.lit(0).cast("long")
     return listed.join(sums, "original", "left").select("original", F.coalesce("rows", zero).alias("rows"), F.coalesce("occurrences", zero).alias("occurrences"))
-
-
-MAX_TERMS = 5_000

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import admission, names
-from .operators import apply, config, prompts, settings, textrules
+from .operators import apply, config, journal, prompts, settings, textrules
 from .plans import batch
 from .sources import payloads, scan
 from .sources.scratch import scratch_path
@@ -328,6 +328,21 @@ def c11_fold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settings.fold_settings(change_log(spark, sf_dir))[0].drop("pos")
 
 
+def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The change log in three stretches, each folded into a snapshot of those before."""
+    log, folder = change_log(spark, sf_dir), scratch_path(spark, "settings")
+    most = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    for i in range(3):
+        stretch = log.filter((F.col("seq") > most * i // 3 - (i == 0)) & (F.col("seq") <= most * (i + 1) // 3))
+        state = settings.advance_snapshot(stretch, f"{folder}/{i - 1}" if i else None, f"{folder}/{i}")
+    return settings.settings_of(state)
+
+
+@query(ORACLE_SQL["c11_fold_pairs"])
+def c11_snapshot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(spark, sf_dir)[0].drop("pos")
+
+
 @query(
     """SELECT user_id AS "user", coalesce(max(CASE WHEN event_type = 'view' THEN event_id END)::VARCHAR, '') AS global_prompt, false AS has_key
        FROM events GROUP BY 1"""
@@ -336,6 +351,11 @@ def c11_fold_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settings.fold_settings(change_log(spark, sf_dir))[1]
 
 
+@query(ORACLE_SQL["c11_fold_scalars"])
+def c11_snapshot_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(spark, sf_dir)[1]
+
+
 @query(
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 3 THEN NULL ELSE '' END AS global_prompt,
               CASE WHEN event_id % 4 = 1 THEN event_type END AS mapped, event_id % 4 = 0 AS has_key FROM events"""
@@ -444,6 +464,15 @@ def e2_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.plan_wave(rows, ("output_name",), "page_id")
 
 
+@query(ORACLE_SQL["e2_collisions"])
+def e2_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of an output tried one after the other, in waves; every third call fails."""
+    name = F.when(F.col("page_id") % 7 > 0, names.base_name(F.col("url")))
+    rows = table(spark, sf_dir, "pages").select("page_id", name.alias("output_name"))
+    ok = F.when(F.col("page_id") % 3 > 0, "success").otherwise("failed")
+    return batch.run_in_waves(rows, lambda wave: wave.withColumn("status", ok), ("output_name",), "page_id").select("page_id", "status")
+
+
 @query(
     """SELECT o_orderkey, row_number() OVER w AS seq, count(*) OVER (PARTITION BY o_custkey) AS total,
               trunc(row_number() OVER w::DOUBLE / count(*) OVER (PARTITION BY o_custkey) * 100)::INT AS percent
@@ -462,6 +491,17 @@ def e4_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.tally(table(spark, sf_dir, "events").withColumn("status", status), "user_id")
 
 
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (event_type IN ('purchase', 'click')) AS success, count(*) FILTER (event_type = 'view') AS skip,
+              count(*) FILTER (event_type NOT IN ('purchase', 'click', 'view')) AS failed FROM events"""
+)
+def e4_run_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tally of a run, taken while its results are written."""
+    status = F.when(F.col("event_type").isin("purchase", "click"), "success").when(F.col("event_type") == "view", "skip").otherwise("failed")
+    counts = batch.store_with_tally(table(spark, sf_dir, "events").withColumn("status", status), scratch_path(spark, "results"))
+    return spark.createDataFrame([counts], "total long, success long, skip long, failed long")
+
+
 def _shout() -> Callable[[dict], str]:
     def call(row: dict) -> str:
         if row["doc_id"] % 7 == 0:
@@ -481,6 +521,25 @@ def e5_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.apply_pages(docs, _shout, ["doc_id", "lang", "n_chars"]).drop("lang", "n_chars")
 
 
+def _unpaid() -> Callable[[dict], str]:
+    def call(row: dict) -> str:
+        raise RuntimeError("paid twice" if row["doc_id"] % 7 else f"page {row['doc_id']}")
+
+    return call
+
+
+@query("SELECT * EXCLUDE (ticket) FROM (" + ORACLE_SQL["e5_apply"] + ")")
+def e5_apply_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over half of the documents, and one over all of them that finds the first one's results in the journal."""
+    folder = scratch_path(spark, "journal").removeprefix("file:")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    inputs = ["doc_id", "lang", "n_chars"]
+    journal.apply_pages_once(docs.filter("doc_id % 2 = 0"), _shout, inputs, folder).write.format("noop").mode("overwrite").save()
+    again = journal.apply_pages_once(docs.filter("doc_id % 2 = 0"), _unpaid, inputs, folder)
+    rest = journal.apply_pages_once(docs.filter("doc_id % 2 <> 0"), _shout, inputs, folder)
+    return again.unionByName(rest).drop("lang", "n_chars")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A response for each turn: user text alone, assistant text then image, system no candidate."""
     data = F.base64(F.encode(F.col("role"), "UTF-8"))
@@ -591,6 +650,33 @@ def f2_violations_by_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textrules.glossary_violations(pairs, setting_terms(spark), "config_id")
 
 
+def word_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary as large as the data: the part names and the long words of documents, each to be written in angle brackets."""
+    word = F.explode(F.regexp_extract_all("text", F.lit("[a-zà-ÿ]{9,}"), F.lit(0)))
+    words = table(spark, sf_dir, "documents").select(word.alias("original"))
+    known = words.union(table(spark, sf_dir, "part").select("p_name")).distinct()
+    return known.select("original", F.concat(F.lit("<"), "original", F.lit(">")).alias("translation"))
+
+
+#: A word of nine letters or more is a term, and inside a longer run only whole runs are taken: the longest first.
+_WORDS = "regexp_replace(text, '([a-zà-ÿ]{9,})', '<\\1>', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_WORDS}) AS replaced_md5 FROM documents")
+def f1_large_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = textrules.apply_glossary(table(spark, sf_dir, "documents"), "text", word_glossary(spark, sf_dir))
+    return found.select("doc_id", F.md5("replaced").alias("replaced_md5"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zà-ÿ]{9,}')) AS t FROM documents), c AS (SELECT t, count(DISTINCT doc_id) AS n, count(*) AS k FROM w GROUP BY 1),
+    g AS (SELECT t FROM c UNION SELECT p_name FROM part)
+    SELECT g.t AS original, coalesce(n, 0) AS "rows", coalesce(k, 0) AS occurrences FROM g LEFT JOIN c ON g.t = c.t"""
+)
+def f5_large_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return textrules.glossary_coverage(table(spark, sf_dir, "documents"), "text", word_glossary(spark, sf_dir))
+
+
 @query(
     """SELECT doc_id AS id, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS source_numbers,
               array_to_string(regexp_extract_all(replace(text, '1', '11'), '[0-9]+'), ',') AS target_numbers
