@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import strip
 
@@ -56,31 +55,31 @@ def lines_of(df: DataFrame, text: Column, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("ln", "line"))
 
 
+#: Where a line begins that, trimmed, stands in square brackets; only LF ends a line.
+_HEADER_AT = r"(?dmU)^(?=[\s\x1c-\x1f&&[^\n]]*\[[^\n]*\][\s\x1c-\x1f&&[^\n]]*$)"
+
+
 def split_sections_line(df: DataFrame, key: str = "config_id") -> DataFrame:
     """(key, section, body): sections opened by lines that, trimmed, stand in square brackets.
 
     Lines before the first header and the body of a nameless one are dropped; the last
     of several sections of a name replaces the others; note lines are left out; the
-    body is trimmed as a whole.
+    body is trimmed as a whole.  A file is cut where it lies: nothing is shuffled.
     """
-    lines = lines_of(df, F.coalesce(F.col("content"), F.lit("")), key)
-    trimmed = strip(F.col("line"))
-    header = trimmed.startswith("[") & trimmed.endswith("]")
-    so_far = Window.partitionBy(key).orderBy("ln")
-    placed = lines.withColumns(
-        {
-            "is_header": header,
-            "start": F.max(F.when(header, F.col("ln"))).over(so_far),
-            "name": F.when(header, F.substring(trimmed, F.lit(2), F.char_length(trimmed) - 2)),
-        }
-    ).filter("start is not null")
-    note = strip(F.col("line")).startswith(NOTE_MARKS[0]) | strip(F.col("line")).startswith(NOTE_MARKS[1])
-    bodies = placed.groupBy(key, "start").agg(
-        F.max("name").alias("section"),
-        F.array_sort(F.collect_list(F.when(~F.col("is_header") & ~note, F.struct("ln", "line")))).alias("body"),
-    )
-    last = bodies.filter("section <> ''").groupBy(key, "section").agg(F.max_by("body", "start").alias("body"))
-    return last.select(key, "section", strip(F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("body"))
+    parts = F.split(F.coalesce(F.col("content"), F.lit("")), _HEADER_AT, -1)
+
+    def section(part: Column) -> Column:
+        head = strip(F.substring_index(part, "\n", 1))
+        named = head.startswith("[") & head.endswith("]") & (F.char_length(head) > 2)
+        return F.when(named, F.struct(F.substring(head, F.lit(2), F.char_length(head) - 2).alias("section"), part.alias("part")))
+
+    found = df.select(key, F.filter(F.transform(parts, section), lambda s: s.isNotNull()).alias("sections"))
+    backwards = F.reverse(F.transform("sections", lambda s: s["section"]))
+    # The last of a name is the first from behind.
+    last = F.filter("sections", lambda s, i: i == F.size("sections") - F.array_position(backwards, s["section"]))
+    rows = found.select(key, F.explode(last).alias("s")).select(key, "s.section", F.split("s.part", "\n", -1).alias("lines"))
+    kept = F.filter(F.slice("lines", 2, F.size("lines")), lambda x: ~strip(x).startswith(NOTE_MARKS[0]) & ~strip(x).startswith(NOTE_MARKS[1]))
+    return rows.select(key, "section", strip(F.array_join(kept, "\n")).alias("body"))
 
 
 def clean_lines(df: DataFrame, text: str, *keys: str) -> DataFrame:

@@ -9,8 +9,10 @@ one place of a text are in one part, so what the parts find at a place is never
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -60,19 +62,27 @@ def one_pass(found: dict[int, tuple[int, object]]) -> Iterator[tuple[int, int, o
             yield at, free, what
 
 
-_built: dict[int, Terms] = {}
+@dataclass
+class Part:
+    """Terms on their way to the tasks, under a name by which a worker knows that it has them."""
 
+    name: str
+    sent: Broadcast
 
-def _terms(sent: Broadcast) -> Terms:
-    if sent.id not in _built:
+
+_built: dict[str, Terms] = {}
+
+
+def _terms(part: Part) -> Terms:
+    if part.name not in _built:
         if len(_built) > 3:
             _built.clear()
-        _built[sent.id] = Terms(sent.value)
-    return _built[sent.id]
+        _built[part.name] = Terms(part.sent.value)
+    return _built[part.name]
 
 
-def parts_of(glossary: DataFrame) -> list[Broadcast]:
-    """The terms (original, translation) in parts of bounded size, as broadcasts.
+def parts_of(glossary: DataFrame) -> list[Part]:
+    """The terms (original, translation) in parts of bounded size.
 
     Empty and null terms are left out; of a term given twice the largest translation counts.
     """
@@ -82,13 +92,17 @@ def parts_of(glossary: DataFrame) -> list[Broadcast]:
     size = terms.agg(F.coalesce(F.sum(F.octet_length("original")), F.lit(0))).first()[0]
     n = max(1, -(-size // PART_BYTES))
     part = F.pmod(F.xxhash64(F.left("original", F.lit(1))), F.lit(n))
-    return [spark.sparkContext.broadcast([(r[0], r[1]) for r in (terms.filter(part == i) if n > 1 else terms).toLocalIterator()]) for i in range(n)]
+    found = []
+    for i in range(n):
+        pairs = [(r[0], r[1]) for r in (terms.filter(part == i) if n > 1 else terms).toLocalIterator()]
+        found.append(Part(uuid.uuid4().hex, spark.sparkContext.broadcast(pairs)))
+    return found
 
 
 FOUND = "array<struct<at:int,length:int,original:string,translation:string>>"
 
 
-def _with_found(df: DataFrame, text: str, sent: Broadcast, column: str) -> DataFrame:
+def _with_found(df: DataFrame, text: str, sent: Part, column: str) -> DataFrame:
     """``df`` with what the part finds (longest at each place) added to ``column``."""
     kept = [i for i, c in enumerate(df.columns) if c != column]
     names = [df.columns[i] for i in kept] + [column]
@@ -112,18 +126,17 @@ def _with_found(df: DataFrame, text: str, sent: Broadcast, column: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def _walk(df: DataFrame, text: str, parts: list[Broadcast], make: Callable[[Iterator[tuple[list, str | None, list]]], Iterator[list]], schema: str, kept: list[str]) -> DataFrame:
+def _walk(df: DataFrame, text: str, parts: list[Part], make: Callable[[Iterator[tuple[list, str | None, list]]], Iterator[list]], schema: dict[str, str], kept: list[str]) -> DataFrame:
     """mapInArrow over rows (kept values, text, what is taken in one pass: from, to, pair)."""
     column = free_name(df, "found")
     for sent in parts[:-1]:
         df = _with_found(df, text, sent, column)
     at, before = df.columns.index(text), df.columns.index(column) if len(parts) > 1 else None
     places = [df.columns.index(c) for c in kept]
-    last = parts[-1]
+    last, made = parts[-1], list(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _terms(last)
-        kind = None
 
         def rows(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list]]:
             earlier = batch.column(before) if before is not None else None
@@ -135,17 +148,10 @@ def _walk(df: DataFrame, text: str, parts: list[Broadcast], make: Callable[[Iter
                 yield body, list(one_pass(here))
 
         for columns, arrays in make(([batch.column(i) for i in places], rows(batch)) for batch in batches):
-            kind = kind or [f.name for f in _fields(schema)]
-            yield pa.RecordBatch.from_arrays([*columns, *arrays], [*kept, *kind])
+            yield pa.RecordBatch.from_arrays([*columns, *arrays], [*kept, *made])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), schema]))
-
-
-def _fields(schema: str):
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(schema)
+    return df.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*((c, kinds[c]) for c in kept), *schema.items()]))
 
 
 def substituted(df: DataFrame, text: str, glossary: DataFrame, output: str) -> DataFrame:
@@ -170,7 +176,7 @@ def substituted(df: DataFrame, text: str, glossary: DataFrame, output: str) -> D
             yield columns, [pa.array(out, pa.string())]
 
     kept = [c for c in df.columns if c != output]
-    return _walk(df, text, parts_of(glossary), make, f"`{output}` string", kept)
+    return _walk(df, text, parts_of(glossary), make, {output: "string"}, kept)
 
 
 def counted(df: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
@@ -186,7 +192,7 @@ def counted(df: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
         names = list(times)
         yield [], [pa.array(names, pa.string()), pa.array([rows_with[x] for x in names], pa.int64()), pa.array([times[x] for x in names], pa.int64())]
 
-    sums = _walk(df.select(text), text, parts_of(glossary), make, "original string, n_rows long, n_times long", [])
+    sums = _walk(df.select(text), text, parts_of(glossary), make, {"original": "string", "n_rows": "long", "n_times": "long"}, [])
     return sums.groupBy("original").agg(F.sum("n_rows").alias("rows"), F.sum("n_times").alias("occurrences"))
 
 
@@ -199,7 +205,7 @@ def violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     kind = pairs.schema["id"].dataType.simpleString()
     rows = pairs.select("id", "source", "target")
 
-    def judged(sent: Broadcast) -> DataFrame:
+    def judged(sent: Part) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms = _terms(sent)
             wanted = sorted({t for _, t in terms.pairs if t})

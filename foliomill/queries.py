@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import admission, names
 from .operators import apply, config, journal, prompts, settings, textrules
 from .plans import batch
-from .sources import payloads, scan
+from .sources import folders, payloads, scan
 from .sources.scratch import scratch_path
+from .streaming import waves
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -491,6 +492,20 @@ def e4_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.tally(table(spark, sf_dir, "events").withColumn("status", status), "user_id")
 
 
+@query(
+    """WITH r AS (SELECT page_id, regexp_extract(url, '[^/]*$') AS name, page_id % 3 > 0 AS ok FROM pages),
+    w AS (SELECT *, coalesce(max(ok::INT) OVER (PARTITION BY name ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM r)
+    SELECT lpad(page_id::VARCHAR, 12, '0') AS file_name, CASE WHEN done = 1 THEN 'skip' WHEN ok THEN 'success' ELSE 'failed' END AS status FROM w"""
+)
+def e2_stream_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of an output tried one after the other by a stream that holds the waiting ones; every third call fails."""
+    rows = table(spark, sf_dir, "pages").select(
+        F.lit("p").alias("project"), names.base_name(F.col("url")).alias("output_name"), F.lpad(F.col("page_id").cast("string"), 12, "0").alias("file_name")
+    )
+    ok = F.when(F.col("file_name").cast("long") % 3 > 0, "success").otherwise("failed")
+    return waves.run_waves(rows, lambda wave: wave.withColumn("status", ok), scratch_path(spark, "waves")).select("file_name", "status")
+
+
 @query(
     """SELECT count(*) AS total, count(*) FILTER (event_type IN ('purchase', 'click')) AS success, count(*) FILTER (event_type = 'view') AS skip,
               count(*) FILTER (event_type NOT IN ('purchase', 'click', 'view')) AS failed FROM events"""
@@ -714,6 +729,43 @@ def a1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.scan_pages_listing(listing).select("project", "file_name", "length")
 
 
+def page_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A folder for each source with a file for each document, as large as the document has characters (every third name begins with a dot)."""
+    root = scratch_path(spark, "tree").removeprefix("file:")
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, ".").otherwise(""), "file_name")
+    files = manifest(spark, sf_dir).select("project", name.alias("output_name"), F.repeat(F.lit("x"), (F.col("length") / 1024).cast("int")).cast("binary").alias("payload"))
+    payloads.write_payloads(files, root)
+    return root
+
+
+_TREE = f"""{_M}, t AS (SELECT project, CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END || file_name AS file_name, length // 1024 AS length FROM m)"""
+
+
+@query(f"WITH {_TREE} SELECT project, file_name, length FROM t WHERE regexp_matches(lower(file_name), '\\.(png|jpg|jpeg|webp)$') AND length <= 2000")
+def a1_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page files of up to 2,000 bytes in all projects' folders, which are listed in tasks."""
+    return folders.scan_folders(spark, page_tree(spark, sf_dir)).filter("length <= 2000").select("project", "file_name", "length")
+
+
+@query(f"WITH {_TREE} SELECT project, file_name AS output_name FROM t")
+def a2_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is finished in all projects' folders."""
+    return folders.scan_project_outputs(spark, page_tree(spark, sf_dir))
+
+
+@query(
+    """SELECT doc_id || '.cfg' AS name, md5(CASE WHEN doc_id % 10 = 0 THEN '' ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END) AS content_md5,
+              CASE WHEN doc_id % 10 = 0 THEN 'not UTF-8' END AS error FROM documents"""
+)
+def a3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as settings files, every tenth with a byte that is no UTF-8, and read again."""
+    root = scratch_path(spark, "configs").removeprefix("file:")
+    ended = F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary")
+    content = F.when(F.col("doc_id") % 10 == 0, F.concat(ended, F.unhex(F.lit("FF")))).otherwise(ended)
+    payloads.write_payloads(table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".cfg")).alias("output_name"), content.alias("payload")), root)
+    return scan.scan_configs(spark, f"{root}/*.cfg").select(names.base_name(F.col("config_id")).alias("name"), F.md5("content").alias("content_md5"), "error")
+
+
 @query("SELECT regexp_extract(url, '[^/]*$') AS output_name FROM pages")
 def a2_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.outputs_listing(table(spark, sf_dir, "pages").select(F.col("url").alias("path")))

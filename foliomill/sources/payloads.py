@@ -1,61 +1,63 @@
-"""A sink that writes one file for each row, as a Python data source.
-
-Tasks write to temporary names; the job's commit renames, its abort removes them, so
-neither a retry nor a failure leaves part of a file under a final name.  The folder
-must be one that driver and executors share.
+"""A sink that writes one file for each row, in two phases, as a Python data source.
+
+Tasks write parts and a manifest of what each part will be called; the job's commit
+writes down which manifests count, one name for each task.  Then the renames run as
+tasks too.  A run that died before its commit leaves parts under names of their own and
+one that died after it is finished by ``recover_payloads``, so neither a retry nor a
+failure leaves part of a file, or a gap, under final names.  The folder must be one
+that driver and executors share.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+RUN = ".parts-"
+COMMITTED = "committed"
+
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    manifest: str
 
 
 class PayloadWriter(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, run: str):
+        self.folder, self.run = folder, os.path.join(folder, RUN + run)
 
     def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
-        files: list[tuple[str, str]] = []
-        try:
-            for row in rows:
-                name = os.path.basename(row["output_name"])
+        os.makedirs(self.run, exist_ok=True)
+        manifest = uuid.uuid4().hex
+        with open(os.path.join(self.run, f"{manifest}.manifest"), "w", encoding="utf-8") as listed:
+            for n, row in enumerate(rows):
+                name = os.path.basename(row["output_name"] or "")
                 if not name:
                     raise ValueError("an output name is empty")
-                temporary = os.path.join(self.folder, f".{uuid.uuid4().hex}.part")
-                files.append((temporary, os.path.join(self.folder, name)))
-                with open(temporary, "wb") as f:
+                project = os.path.basename(row["project"] or "")
+                part = f"{manifest}-{n}.part"
+                listed.write(json.dumps([part, os.path.join(project, name)]) + "\n")
+                with open(os.path.join(self.run, part), "wb") as f:
                     f.write(row["payload"] or b"")
-        except BaseException:
-            _remove(files)
-            raise
-        return Written(files)
+        return Written(manifest)
 
     def commit(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            for temporary, final in message.files if message else []:
-                os.replace(temporary, final)
+        os.makedirs(self.run, exist_ok=True)
+        path = os.path.join(self.run, COMMITTED)
+        with open(path + ".new", "w", encoding="utf-8") as f:
+            f.write("\n".join(m.manifest for m in messages if m))
+        os.replace(path + ".new", path)
 
     def abort(self, messages: list[Written | None]) -> None:
-        for message in messages:
-            _remove(message.files if message else [])
-
-
-def _remove(files: list[tuple[str, str]]) -> None:
-    for temporary, _ in files:
-        if os.path.exists(temporary):
-            os.remove(temporary)
+        shutil.rmtree(self.run, ignore_errors=True)
 
 
 class PayloadSource(DataSource):
@@ -64,18 +66,63 @@ class PayloadSource(DataSource):
         return "payload_files"
 
     def schema(self) -> str:
-        return "output_name string, payload binary"
+        return "project string, output_name string, payload binary"
 
     def writer(self, schema: object, overwrite: bool) -> PayloadWriter:
-        return PayloadWriter(self.options["path"])
+        return PayloadWriter(self.options["path"], self.options["run"])
+
+
+def _settle(spark: SparkSession, run: str) -> None:
+    """Gives the parts of a committed run their names, a task for each manifest; what a task before has done stays done."""
+    with open(os.path.join(run, COMMITTED), encoding="utf-8") as f:
+        manifests = f.read().split()
+    folder = os.path.dirname(run)
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for manifest in batch.column(0).to_pylist():
+                n = 0
+                with open(os.path.join(run, f"{manifest}.manifest"), encoding="utf-8") as listed:
+                    for part, name in map(json.loads, listed):
+                        if os.path.exists(at := os.path.join(run, part)):
+                            os.makedirs(os.path.dirname(final := os.path.join(folder, name)), exist_ok=True)
+                            os.replace(at, final)
+                        n += 1
+                done.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["n"])
+
+    if manifests:
+        rows = spark.createDataFrame([(m,) for m in manifests], "manifest string")
+        rows.repartition(min(len(manifests), 10_000)).mapInArrow(rename, "n long").agg({"n": "sum"}).collect()
+    shutil.rmtree(run)
 
 
 def write_payloads(df: DataFrame, folder: str) -> None:
-    """One file for each row of (output_name, payload); an existing file is replaced.
+    """One file for each row of (output_name, payload), in a folder of its own for each ``project`` if there is that column.
 
-    Only base names are used, so no row can leave the folder.  Of rows that share a
-    name, one wins; settle them before (``latest_per_output``).
+    An existing file is replaced.  Only base names are used, so no row can leave the
+    folder.  Of rows that share a name, one wins; settle them before (``latest_per_output``).
     """
     spark: SparkSession = df.sparkSession
     spark.dataSource.register(PayloadSource)
-    df.select("output_name", "payload").write.format("payload_files").mode("append").save(folder)
+    run = uuid.uuid4().hex
+    project = "project" if "project" in df.columns else "cast(null as string) project"
+    rows = df.selectExpr(project, "output_name", "payload")
+    rows.write.format("payload_files").mode("append").option("run", run).save(folder)
+    _settle(spark, os.path.join(folder, RUN + run))
+
+
+def recover_payloads(spark: SparkSession, folder: str) -> None:
+    """Finishes the runs that died after their commit and removes the parts of those that died before; none may be going on."""
+    for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+        if entry.is_dir() and entry.name.startswith(RUN):
+            if os.path.exists(os.path.join(entry.path, COMMITTED)):
+                _settle(spark, entry.path)
+            else:
+                shutil.rmtree(entry.path)
+
+
+def write_payload_table(df: DataFrame, path: str) -> None:
+    """The table form: rows of (project, output_name, payload) as Parquet, a folder for each project."""
+    df.write.mode("append").partitionBy("project").parquet(path)

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.operators import apply, prompts, settings, textrules
 from foliomill.plans import batch
-from foliomill.sources import payloads, scan
+from foliomill.sources import folders, payloads, scan
 from foliomill.streaming.incremental import plan_stream
 
 
@@ -214,6 +215,49 @@ def test_payload_sink(spark, tmp_path):
     assert set(os.listdir(folder)) == {"a.jpg", "b.jpg", "c.jpg"}
 
 
+def test_payload_runs_that_died(spark, tmp_path, monkeypatch):
+    folder, settle = str(tmp_path / "out"), payloads._settle
+    rows = spark.range(500).selectExpr("concat('p', id % 3) project", "concat(id, '.jpg') output_name", "cast(cast(id as string) as binary) payload")
+    monkeypatch.setattr(payloads, "_settle", lambda *_: None)  # dies right after its commit
+    payloads.write_payloads(rows, folder)
+    run = next(os.scandir(folder)).path
+    assert len(os.listdir(folder)) == 1
+    manifest = sorted(n for n in os.listdir(run) if n.endswith(".manifest"))[0]
+    with open(os.path.join(run, manifest)) as f:  # and a renaming task was killed halfway
+        for part, name in [json.loads(x) for x in f][:20]:
+            os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
+            os.replace(os.path.join(run, part), os.path.join(folder, name))
+    dead = os.path.join(folder, payloads.RUN + "dead")
+    os.makedirs(dead)
+    open(os.path.join(dead, "x-0.part"), "w").close()
+    monkeypatch.setattr(payloads, "_settle", settle)
+    payloads.recover_payloads(spark, folder)
+    assert sorted(os.listdir(folder)) == ["p0", "p1", "p2"]
+    found = {(r["project"], r["file_name"]) for r in folders.scan_folders(spark, folder, None).collect()}
+    assert found == {(f"p{i % 3}", f"{i}.jpg") for i in range(500)}
+    assert (tmp_path / "out" / "p1" / "301.jpg").read_bytes() == b"301"
+    payloads.write_payload_table(rows, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).filter("project = 'p1'").count() == 167
+
+
+def test_folders_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    for name in ("p/a.PNG", "p/.png", "p/b.txt", "q/c.jpg", "d.webp"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "q" / "sub.png").mkdir()
+    found = folders.scan_folders(spark, str(tmp_path))
+    assert {(r["project"], r["file_name"], r["length"], r["error"]) for r in found.collect()} == {("p", "a.PNG", 7, None), ("p", ".png", 6, None), ("q", "c.jpg", 7, None), (None, "d.webp", 6, None)}
+    assert {r["file_name"] for r in found.filter("length > 6 and project = 'p'").collect()} == {"a.PNG"}
+    reader = folders.FolderReader(str(tmp_path), None)
+    at_most = folders.ds.LessThanOrEqual(("length",), 6)
+    assert list(reader.pushFilters([at_most, folders.ds.EqualTo(("project",), "p")])) == [folders.ds.EqualTo(("project",), "p")]
+    assert sorted(x[1] for x in reader.read(folders.Folders(["p"]))) == [".png"]
+    assert list(folders.FolderReader(str(tmp_path), None).read(folders.Folders(["none"]))) == [("none", None, str(tmp_path / "none"), None, "FileNotFoundError")]
+    monkeypatch.setattr(folders, "FOLDERS_PER_TASK", 1)
+    assert [p.names for p in folders.FolderReader(str(tmp_path), None).partitions()] == [["", "p"], ["q"]]
+    assert {tuple(r) for r in folders.scan_project_outputs(spark, str(tmp_path)).collect()} == {("p", "a.PNG"), ("p", ".png"), ("p", "b.txt"), ("q", "c.jpg"), (None, "d.webp")}
+
+
 def test_plan_stream(spark, tmp_path):
     source, planned = str(tmp_path / "in"), []
     schema = "project string, file_name string, output_name string"

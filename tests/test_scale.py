@@ -102,8 +102,10 @@ def test_a_call_is_paid_once(spark, tmp_path):
 def test_a_killed_task_goes_on_where_it_was(spark, tmp_path):
     log, marks = str(tmp_path / "journal"), str(tmp_path)
 
+    marked = caller(marks)
+
     def make():
-        call = caller(marks)()
+        call = marked()
 
         def once(row):
             if row["k"] == 5 and not os.path.exists(os.path.join(marks, "died")):
@@ -117,8 +119,8 @@ def test_a_killed_task_goes_on_where_it_was(spark, tmp_path):
     out = journal.apply_pages_once(df, make, ["k"], log, tasks=1)
     try:
         got = out.collect()
-    except Exception:  # a local session does not run a task again: the next action does
-        got = out.collect()
+    except Exception:  # a local session does not run a task again: the next run does
+        got = journal.apply_pages_once(df, make, ["k"], log, tasks=1).collect()
     assert {r["body"] for r in got} == {f"r{k}" for k in range(12)}
     assert calls(marks) == dict.fromkeys(range(12), 1)
 
@@ -181,3 +183,26 @@ def test_any_stretches_of_the_log_come_to_the_same(spark, tmp_path):
         before = str(tmp_path / str(i))
     same(state)
     assert "LocalTableScan" not in state[1]._jdf.queryExecution().toString()  # what is left to read is the snapshot
+
+
+def test_a_stream_holds_waiting_pages(spark, tmp_path):
+    from foliomill.streaming import waves
+
+    rows = [("p", "a", "1.png"), ("p", "a", "2.png"), ("p", "a", "3.png"), ("p", "b", "1.jpg"), (None, "a", "x"), ("p", "c", "1"), ("p", "c", "2")]
+    pages = spark.createDataFrame(rows, "project string, output_name string, file_name string")
+    ok = F.when(F.concat("output_name", "file_name").isin("a1.png", "c1", "c2"), "failed").otherwise("success")
+    died: list = []
+
+    def apply_(wave):
+        if not died and wave.filter("file_name = '2.png'").count():
+            died.append(1)
+            raise RuntimeError("driver lost")
+        return wave.withColumn("status", ok)
+
+    folder = str(tmp_path / "w")
+    with pytest.raises(Exception, match="driver lost"):
+        waves.run_waves(pages, apply_, folder)
+    found = waves.run_waves(pages, apply_, folder)
+    assert sorted(map(str, (tuple(r) for r in found.select("project", "output_name", "file_name", "status").collect()))) == sorted(
+        map(str, [("p", "a", "1.png", "failed"), ("p", "a", "2.png", "success"), ("p", "a", "3.png", "skip"), ("p", "b", "1.jpg", "success"), (None, "a", "x", "success"), ("p", "c", "1", "failed"), ("p", "c", "2", "failed")])
+    )
