@@ -274,12 +274,13 @@ def words_of(decoded: str, suffix: str = "</w>") -> str:
     return " ".join(out)
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole text with the tokenizer file at ``path`` (read on the driver).
 
     Returns doc_id, n_tokens and either ids (array of int) and decoded (string), or
     with ``digests`` their SHA-256: ids_sha256 (of the decimal ids joined by one space)
-    and decoded_sha256 (of the decoded text), both lowercase hex.
+    and decoded_sha256 (of the decoded text), both lowercase hex.  Columns named in
+    ``carried`` come along.
 
     Defined cases: a null text is the empty text (no ids, decoded ''); null or repeated
     doc_ids give a row each; special token strings in a text become their ids; other
@@ -309,10 +310,13 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False, id_col:
                         left.append([int(x) for x in a.split(" ")] if a else [])
                         right.append(b)
                 kinds = [pa.string()] * 2 if digests else [pa.list_(pa.int32()), pa.string()]
-                columns = [ids.slice(at, len(some)), pa.array(counts, pa.int64()), pa.array(left, kinds[0]), pa.array(right, kinds[1])]
+                rest = [c.slice(at, len(some)) for c in batch.columns[2:]]
+                columns = [ids.slice(at, len(some)), pa.array(counts, pa.int64()), pa.array(left, kinds[0]), pa.array(right, kinds[1]), *rest]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(some)
 
-    names = ["doc_id", "n_tokens", *(x.split()[0] for x in tail.split(", "))]
-    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {tail}")
+    carried = carried or []
+    names = ["doc_id", "n_tokens", *(x.split()[0] for x in tail.split(", ")), *carried]
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text", *[f"`{c}`" for c in carried])
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {tail}{kinds}")

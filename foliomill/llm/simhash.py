@@ -17,8 +17,9 @@ pairs of parts.
 
 ``similar_rows`` is the form for looser likeness: wider fingerprints, of which many
 sampled pieces are the words that serve as anchors (a code of covering radius zero,
-threshold zero within a piece).  Its large anchors are dealt out in the same way.  The perfect code would need over a thousand replicas
-of a fingerprint for the same share of pairs found at a similarity of 0.8.
+threshold zero within a piece).  Its large anchors are dealt out in the same way, and what
+it finds is checked by the exact sets of shingles.  The perfect code would need over a
+thousand replicas of a fingerprint for the same share of pairs found at a similarity of 0.8.
 """
 
 from __future__ import annotations
@@ -274,7 +275,9 @@ WIDE, WIDE_DISTANCE = 4, 46
 #: texts meet by chance (one in 2^24), the pieces how many like ones do at all: at 0.8 90 of
 #: 100, at 0.85 and over 99.  Beyond some 10^8 texts take longer pieces, and more of them.
 PIECES, PIECE_BITS = 128, 24
-#: Members of an anchor that are compared one with another at once.
+#: The least similarity of shingle sets at which a row goes, as a fraction.
+SIMILAR = (4, 5)
+#: Members of an anchor that are compared one with another at once, and rows of a group that one task settles.
 FEW = 64
 #: Members of a part of a large anchor, and pairs of fingerprints that are compared at once.
 WIDE_MEMBERS, AT_ONCE = 8_192, 1 << 20
@@ -353,12 +356,14 @@ def near_edges(key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> tuple[np.nd
 
 
 def similar_rows(docs: DataFrame, row_key: list[str], shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key) of one row of each group of near-duplicates, that with the smallest id (a null one last).
+    """(row_key) of the rows that stay: no row goes unless one that stays has a similarity of ``SIMILAR`` or more with it.
 
-    Rows are linked whose texts' wide fingerprints, of shingles of ``shingle`` words
+    Candidates are rows whose texts' wide fingerprints, of shingles of ``shingle`` words
     (lower-cased A-Z; fewer words are one shingle), differ in at most ``WIDE_DISTANCE``
     bits and agree in one piece at least, which holds for nine in ten of those with a
-    similarity of 0.8 and for nearly all from 0.85.  A group is what links reach.
+    similarity of 0.8 and for nearly all from 0.85.  In what links of candidates reach,
+    rows are taken by their ids (a null one last), and a row stays if none that stays so
+    far is as similar, by the exact sets of their shingles (as 64-bit hashes).
 
     Defined cases: texts without a word (null ones too) form one group; equal rows are
     told apart by ``row_key``; other columns are ignored; an empty table gives an empty result.
@@ -375,10 +380,10 @@ def similar_rows(docs: DataFrame, row_key: list[str], shingle: int = 5, id_col:
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(fps[:, i].copy()) for i in range(WIDE))], [*carried, *names])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), *(f"{n} long" for n in names)])
-    rows = docs.select(text_col, *carried).mapInArrow(mark, schema)
+    rows = materialise(docs.select(text_col, *carried).mapInArrow(mark, schema), "wide-rows")
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), *row_key)
     # A number for each unlike fingerprint; it is written down with it, so it stays.
-    classes = rows.groupBy(*names).agg(F.min(rank).alias("rank")).withColumn("node", F.monotonically_increasing_id())
+    classes = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n_class")).withColumn("node", F.monotonically_increasing_id())
     classes = materialise(classes, "wide-classes")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,5 +436,81 @@ def similar_rows(docs: DataFrame, row_key: list[str], shingle: int = 5, id_col:
         cells = met.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node", *names)
     dealt = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     roots = connected(dealt.mapInArrow(compare, "a long, b long"), "node")
-    grouped = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("rank").alias("rank"))
-    return grouped.select(*[F.col("rank")[c].alias(c) for c in row_key])
+    of_class = classes.join(roots, "node", "left").select(*names, "n_class", F.coalesce("root", "node").alias("group"))
+    sizes = of_class.groupBy("group").agg(F.sum("n_class").alias("n_group"))
+    of_class = materialise(of_class.join(sizes, "group"), "wide-groups")
+    total = sizes.agg(F.coalesce(F.sum("n_group"), F.lit(0))).first()[0]
+    placed_rows = join_classes(rows.select(*carried, *names), of_class, names, "n_class", total)
+    placed_rows = materialise(placed_rows.select(*row_key, rank.alias("rank"), "group", "n_group"), "wide-placed")
+    alone = placed_rows.filter("n_group = 1").select(*row_key)
+    members = docs.select(*row_key, F.col(text_col).alias("text")).join(placed_rows.filter("n_group > 1").drop("n_group"), row_key)
+    return alone.unionByName(_apart_rows(members, row_key, shingle))
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted hashes) have the similarity ``SIMILAR``; sets without members have."""
+    part, whole = SIMILAR
+    if min(len(a), len(b)) * whole < max(len(a), len(b)) * part:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * whole >= (len(a) + len(b) - both) * part
+
+
+def _apart_rows(members: DataFrame, row_key: list[str], shingle: int) -> DataFrame:
+    """(row_key) of the rows of each group that stay, by exact comparison; ``members``: row_key, text, rank, group.
+
+    Groups of up to ``FEW`` rows are settled by a task each.  Of a larger one the first row
+    stays, every other is held against it where it lies, and the rest goes on to the next
+    round, so a group takes as many rounds as it has rows that stay, less ``FEW``.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            for first, to, data, offsets in text_slices(batch.column(at), 1 << 20):
+                hashes, _, count = shingles_of(data, offsets, shingle)
+                ends = np.cumsum(count)
+                found = [np.unique(hashes[e - n : e]).tobytes() for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
+                rest = [c.slice(first, to - first) for i, c in enumerate(batch.columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.binary())], [*(x for x in batch.schema.names if x != "text"), "shingles"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    carried = [c for c in members.columns if c != "text"]
+    rest = materialise(members.mapInArrow(sets, ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "shingles binary"])), "shingle-sets")
+    key_kinds = ", ".join(f"`{c}` {kinds[c]}" for c in row_key)
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stay = None, []
+        for batch in batches:
+            take = []
+            for i, (g, raw) in enumerate(zip(batch.column("group").to_pylist(), batch.column("shingles"), strict=True)):
+                if g != group:
+                    group, stay = g, []
+                mine = np.frombuffer(raw.as_py(), np.uint64)
+                if not any(_alike(mine, other) for other in stay):
+                    stay.append(mine)
+                    take.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(take, pa.int64())) for c in row_key], row_key)
+
+    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("shingles"), batch.column("first_shingles"), strict=True)
+            keep = [not _alike(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in pairs]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+    found = None
+    while True:
+        groups = materialise(rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")), "group-sizes")
+        few = rest.join(groups.filter(F.col("n") <= FEW).select("group"), "group")
+        done = few.repartition("group").sortWithinPartitions("group", "rank").select("group", "shingles", *row_key).mapInArrow(settled, key_kinds)
+        large = groups.filter(F.col("n") > FEW)
+        firsts = rest.join(large.select(F.col("group").alias("of"), "first", "n"), (F.col("group") == F.col("of")) & (F.col("rank") == F.col("first")))
+        firsts = materialise(firsts.select("group", "n", F.col("shingles").alias("first_shingles"), "first", *row_key), "group-firsts")
+        now = done.unionByName(firsts.select(*row_key))
+        found = now if found is None else found.unionByName(now)
+        if firsts.isEmpty():
+            return found
+        total = groups.agg(F.sum("n")).first()[0]
+        met = join_classes(rest, firsts.select("group", "n", "first", "first_shingles"), "group", "n", total).filter("rank <> first")
+        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "shingles binary"])
+        rest = materialise(met.select(*carried, "shingles", "first_shingles").mapInArrow(unlike, schema), "shingle-sets")

@@ -68,6 +68,18 @@ def test_mixed_order_reaches_the_last_stage(spark, tmp_path):
     assert positions == sorted(set(positions))
 
 
+def test_tokens_of_files_that_share_a_name(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, ids in (("a", range(0, 6)), ("b", range(10, 16)), ("a", range(20, 26))):
+        spark.createDataFrame([(i, "w " * (i + 1), "en", "s", 1) for i in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    docs = spark.read.parquet(str(tmp_path / "a")).union(spark.read.parquet(str(tmp_path / "b")))
+    out = corpus_pipeline.tokens_stage(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in out) == [(i, i + 1) for i in (*range(6), *range(10, 16), *range(20, 26))]
+    assert [r["position"] for r in out] == list(range(18))
+    twice = docs.union(docs)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.tokens_stage(spark, twice, "").collect()) == Counter({r["doc_id"]: 2 for r in out})
+
+
 def test_repeated_and_null_ids(spark, corpus, tmp_path):
     folder, rows, kinds, prose = corpus
     by_text = {r[0]: r[1] for r in prose[:6]}
