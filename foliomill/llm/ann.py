@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import with_row_key
+
 QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 8_192
 TILE = 256, 4_096
 #: Lists that one merge takes at most.
@@ -126,8 +128,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     and none of them is its candidate; other repeated rows are a candidate each; other
     columns are ignored; an empty table or query set gives an empty result.
     """
+    vectors, key = with_row_key(vectors)
     base = vectors.filter(is_query.isNotNull() & F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    base = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"))
+    # Candidates are dealt by their place in the files: rows that share an id, or all they hold, go to many blocks.
+    place = F.xxhash64(*key, F.lit(7)).alias("place")
+    base = base.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), is_query.alias("q"), place)
     queries = base.filter("q").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     candidates = base.withColumn("dim", F.size("v"))
     n = candidates.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m"))
@@ -139,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         "dim", F.pmod(F.xxhash64("id"), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "id", "v"
     )
     c_side = candidates.join(F.broadcast(grid), "dim").select(
-        "dim", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), "cols").cast("int").alias("j"), "id", "v"
+        "dim", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod("place", "cols").cast("int").alias("j"), "id", "v"
     )
 
     def cell(key: tuple, table: pa.Table) -> pa.Table:

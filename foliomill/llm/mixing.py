@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .shared import free_name, with_row_key
 
 #: More sources than this are refused, since a row for each is held on the driver.
-MAX_SOURCES = 2_000
+MAX_SOURCES = 5_000
 #: Blocks that are scheduled at most (and one for each source).
 MAX_BLOCKS = 1 << 20
 #: Parts of the whole that weights are counted in.

@@ -277,8 +277,12 @@ WIDE, WIDE_DISTANCE = 4, 46
 PIECES, PIECE_BITS = 128, 24
 #: The least similarity of shingle sets at which a row goes, as a fraction.
 SIMILAR = (4, 5)
-#: Members of an anchor that are compared one with another at once, and rows of a group that one task settles.
+#: Members of an anchor that are compared one with another at once.
 FEW = 64
+#: Rows of a group that one task settles, and rows that a larger group is held against at once.
+SETTLED = 256
+#: Bits that fingerprints of candidates within a group differ in at most: more than any of a similarity of 0.8 do.
+LOOSE = 64
 #: Members of a part of a large anchor, and pairs of fingerprints that are compared at once.
 WIDE_MEMBERS, AT_ONCE = 8_192, 1 << 20
 #: One class in this many is looked at to see which anchors are large; it decides how rows are dealt, not which meet.
@@ -441,7 +445,7 @@ def similar_rows(docs: DataFrame, row_key: list[str], shingle: int = 5, id_col:
     of_class = materialise(of_class.join(sizes, "group"), "wide-groups")
     total = sizes.agg(F.coalesce(F.sum("n_group"), F.lit(0))).first()[0]
     placed_rows = join_classes(rows.select(*carried, *names), of_class, names, "n_class", total)
-    placed_rows = materialise(placed_rows.select(*row_key, rank.alias("rank"), "group", "n_group"), "wide-placed")
+    placed_rows = materialise(placed_rows.select(*row_key, rank.alias("rank"), "group", "n_group", *names), "wide-placed")
     alone = placed_rows.filter("n_group = 1").select(*row_key)
     members = docs.select(*row_key, F.col(text_col).alias("text")).join(placed_rows.filter("n_group > 1").drop("n_group"), row_key)
     return alone.unionByName(_apart_rows(members, row_key, shingle))
@@ -456,13 +460,37 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * whole >= (len(a) + len(b) - both) * part
 
 
+def _first_alike(sets: list[np.ndarray], fps: np.ndarray, mine: np.ndarray, fp: np.ndarray) -> bool:
+    """Whether one of ``sets`` is similar to ``mine``, the nearest by fingerprint looked at first."""
+    far = _apart(fps, fp[None])
+    return any(_alike(mine, sets[i]) for i in np.argsort(far, kind="stable")[: np.count_nonzero(far <= LOOSE)].tolist())
+
+
+class _Kept:
+    """Rows of a group that stay, with their fingerprints."""
+
+    def __init__(self):
+        self.sets, self.fps = [], np.zeros((16, WIDE), np.uint64)
+
+    def has(self, mine: np.ndarray, fp: np.ndarray) -> bool:
+        return bool(self.sets) and _first_alike(self.sets, self.fps[: len(self.sets)], mine, fp)
+
+    def add(self, mine: np.ndarray, fp: np.ndarray) -> None:
+        if len(self.sets) == len(self.fps):
+            self.fps = np.concatenate([self.fps, np.zeros_like(self.fps)])
+        self.fps[len(self.sets)] = fp
+        self.sets.append(mine)
+
+
 def _apart_rows(members: DataFrame, row_key: list[str], shingle: int) -> DataFrame:
-    """(row_key) of the rows of each group that stay, by exact comparison; ``members``: row_key, text, rank, group.
+    """(row_key) of the rows of each group that stay, by exact comparison; ``members``: row_key, text, rank, group, fingerprint.
 
-    Groups of up to ``FEW`` rows are settled by a task each.  Of a larger one the first row
-    stays, every other is held against it where it lies, and the rest goes on to the next
-    round, so a group takes as many rounds as it has rows that stay, less ``FEW``.
+    Groups of up to ``SETTLED`` rows are settled by a task each.  In a larger one the first
+    rows of ``SETTLED`` parts are settled so, and those that stay go to all of the many
+    cells that the group is dealt to, where each of its rows is held against them; rows
+    that are like none of them go on to the next round.
     """
+    names = [f"w{i}" for i in range(WIDE)]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -474,43 +502,62 @@ def _apart_rows(members: DataFrame, row_key: list[str], shingle: int) -> DataFra
                 rest = [c.slice(first, to - first) for i, c in enumerate(batch.columns) if i != at]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(found, pa.binary())], [*(x for x in batch.schema.names if x != "text"), "shingles"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
-    carried = [c for c in members.columns if c != "text"]
-    rest = materialise(members.mapInArrow(sets, ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "shingles binary"])), "shingle-sets")
-    key_kinds = ", ".join(f"`{c}` {kinds[c]}" for c in row_key)
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema} | {"shingles": "binary"}
+    carried = [*(c for c in members.columns if c != "text"), "shingles"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
+    rest = materialise(members.mapInArrow(sets, schema), "shingle-sets")
+
+    def in_turn(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fps = np.stack([batch.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+        for raw, fp in zip(batch.column("shingles"), fps, strict=True):
+            yield np.frombuffer(raw.as_py(), np.uint64), fp
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, stay = None, []
+        group, kept = None, _Kept()
         for batch in batches:
             take = []
-            for i, (g, raw) in enumerate(zip(batch.column("group").to_pylist(), batch.column("shingles"), strict=True)):
+            for i, (g, (mine, fp)) in enumerate(zip(batch.column("group").to_pylist(), in_turn(batch), strict=True)):
                 if g != group:
-                    group, stay = g, []
-                mine = np.frombuffer(raw.as_py(), np.uint64)
-                if not any(_alike(mine, other) for other in stay):
-                    stay.append(mine)
+                    group, kept = g, _Kept()
+                if not kept.has(mine, fp):
+                    kept.add(mine, fp)
                     take.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(take, pa.int64())) for c in row_key], row_key)
+            yield batch.take(pa.array(take, pa.int64()))
 
     def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, kept = None, _Kept()
         for batch in batches:
-            pairs = zip(batch.column("shingles"), batch.column("first_shingles"), strict=True)
-            keep = [not _alike(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in pairs]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:-1]], batch.schema.names[:-1])
+            take = []
+            cells = zip(batch.column("group").to_pylist(), batch.column("cell").to_pylist(), batch.column("stays").to_pylist(), in_turn(batch), strict=True)
+            for i, (g, c, stays, (mine, fp)) in enumerate(cells):
+                if (g, c) != cell:
+                    cell, kept = (g, c), _Kept()
+                if stays:
+                    kept.add(mine, fp)
+                elif not kept.has(mine, fp):
+                    take.append(i)
+            yield batch.select(carried).take(pa.array(take, pa.int64()))
+
+    def settle(rows: DataFrame) -> DataFrame:
+        return rows.repartition("group").sortWithinPartitions("group", "rank").mapInArrow(settled, schema)
 
     found = None
     while True:
-        groups = materialise(rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first")), "group-sizes")
-        few = rest.join(groups.filter(F.col("n") <= FEW).select("group"), "group")
-        done = few.repartition("group").sortWithinPartitions("group", "rank").select("group", "shingles", *row_key).mapInArrow(settled, key_kinds)
-        large = groups.filter(F.col("n") > FEW)
-        firsts = rest.join(large.select(F.col("group").alias("of"), "first", "n"), (F.col("group") == F.col("of")) & (F.col("rank") == F.col("first")))
-        firsts = materialise(firsts.select("group", "n", F.col("shingles").alias("first_shingles"), "first", *row_key), "group-firsts")
-        now = done.unionByName(firsts.select(*row_key))
+        groups = materialise(rest.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+        few = rest.join(groups.filter(F.col("n") <= SETTLED).select("group"), "group").select(*carried)
+        now = settle(few).select(*row_key)
         found = now if found is None else found.unionByName(now)
-        if firsts.isEmpty():
+        large = groups.filter(F.col("n") > SETTLED).select("group", F.ceil(F.col("n") / SETTLED).cast("int").alias("cells"))
+        if large.isEmpty():
             return found
         total = groups.agg(F.sum("n")).first()[0]
-        met = join_classes(rest, firsts.select("group", "n", "first", "first_shingles"), "group", "n", total).filter("rank <> first")
-        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carried), "shingles binary"])
-        rest = materialise(met.select(*carried, "shingles", "first_shingles").mapInArrow(unlike, schema), "shingle-sets")
+        sized = join_classes(rest, groups.filter(F.col("n") > SETTLED), "group", "n", total).select(*carried, F.ceil(F.col("n") / SETTLED).cast("int").alias("cells"))
+        part = F.pmod(F.xxhash64(*row_key, F.lit(3)), F.lit(SETTLED))
+        firsts = sized.groupBy("group", part.alias("part")).agg(F.min("rank").alias("rank")).select(*[F.col("rank")[c].alias(c) for c in row_key])
+        stay = materialise(settle(rest.join(firsts, row_key).select(*carried)), "group-firsts")
+        found = found.unionByName(stay.select(*row_key))
+        # A row that stays is met in every cell of its group, and by itself, so it goes no further.
+        everywhere = stay.join(large, "group").select(*carried, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("stays"))
+        dealt = sized.select(*carried, F.pmod(F.xxhash64(*row_key, F.lit(5)), "cells").cast("int").alias("cell"), F.lit(False).alias("stays"))
+        both = everywhere.unionByName(dealt).repartition("group", "cell").sortWithinPartitions("group", "cell", F.desc("stays"))
+        rest = materialise(both.mapInArrow(unlike, schema), "shingle-sets")

@@ -245,6 +245,7 @@ def test_large_anchors_are_dealt_out_whole(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(simhash, "GLANCE", glance)
         monkeypatch.setattr(simhash, "AT_ONCE", 50)
         monkeypatch.setattr(simhash, "FEW", 4)
+        monkeypatch.setattr(simhash, "SETTLED", 5)
         left = docs.join(simhash.similar_rows(docs, key), key, "left_semi").collect()
         assert sorted(r["doc_id"] for r in left) == [0, 1000, 2000]
 

@@ -38,6 +38,26 @@ def test_nearest_agrees_with_brute_force(spark, monkeypatch, block):
         assert np.allclose([s for _, s in got], scores[order], rtol=0, atol=1e-9)
 
 
+def test_one_id_on_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 20)
+    sizes, search = spark.sparkContext.accumulator(0), ann.search_cell
+    rng = np.random.default_rng(4)
+    rows = [(7 if i % 3 else i, [float(v) for v in rng.normal(size=4)]) for i in range(240)] + [(9, [1.0, 0.0, 0.0, 0.0])] * 60
+    vectors_ = vectors(spark, rows)
+
+    def watched(query_ids, q, ids, c, k):
+        if len(ids) > 60:  # blocks of 20 on average
+            sizes.add(1)
+        return search(query_ids, q, ids, c, k)
+
+    monkeypatch.setattr(ann, "search_cell", watched)
+    out = ann.nearest(vectors_, F.col("vec_id") == 0, k=9).orderBy("rank").collect()
+    q = np.array(rows[0][1])
+    best = sorted(((float((np.array(v) * q).sum()), -i) for n, (i, v) in enumerate(rows) if i != 0), reverse=True)[:9]
+    assert [r["vec_id"] for r in out] == [-i for _, i in best] and np.allclose([r["score"] for r in out], [s for s, _ in best])
+    assert sizes.value == 0
+
+
 def test_few_candidates_and_none(spark):
     out = ann.nearest(vectors(spark, [(0, [1.0]), (1, [2.0]), (1, [2.0]), (0, [3.0])]), F.col("vec_id") == 0, k=20).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(0, 1, 1, 2.0), (0, 2, 1, 2.0)]
