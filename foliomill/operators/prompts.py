@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import free_name
 from ..functions.names import base_name, stem
+from ..sources.scratch import stored
 from .config import JOINER
 
 # The headings around the glossary and the instructions, and the last line.
@@ -70,3 +72,34 @@ def build_requests(df: DataFrame, model: str, options: str = "{}") -> DataFrame:
     text = F.struct(none.cast("string").alias("mime_type"), none.cast("binary").alias("data"), F.col("prompt").alias("text"))
     request = F.struct(F.lit(model).alias("model"), F.array(image, text).alias("parts"), F.lit(options).alias("options"))
     return df.withColumn("request", request).drop("content")
+
+
+def batch_files(requests: DataFrame, size: Column, limit: int, order: list[str], output: str = "file") -> DataFrame:
+    """``requests`` with the number (from 0) of the offline batch file of each: in ``order``, at most ``limit`` bytes a file.
+
+    ``size``: bytes of a request with its line end, none over ``limit``.  A request goes by
+    the bytes before it, in steps of the limit less the longest request, so no file is
+    looked at as a whole: the rows are sorted by ranges and stored once, and added up in
+    blocks of ``ROWS_PER_BLOCK``.  A file has less than the limit by about the longest
+    request; equal places in the order are told apart as they fall.
+    """
+    part, row, block, bytes_, start = (free_name(requests, f"batch_{x}") for x in ("part", "row", "block", "bytes", "start"))
+    columns = [c for c in requests.columns if c != output]
+    rows = stored(requests.withColumn(bytes_, size.cast("long")).orderBy(*order), "requests")
+    longest = rows.agg(F.max(bytes_)).first()[0] or 0
+    if longest > limit:
+        raise ValueError(f"a request has {longest} bytes")
+    number = [F.coalesce(F.regexp_extract("_metadata.file_name", p, 1).try_cast("long"), F.lit(0)) for p in (r"part-(\d+)", r"-c(\d+)")]
+    rows = rows.withColumns({part: F.shiftleft(number[0], 24) + number[1], row: F.col("_metadata.row_index")})
+    rows = rows.withColumn(block, F.floor(F.col(row) / ROWS_PER_BLOCK))
+    sums = rows.groupBy(part, block).agg(F.sum(bytes_).alias("n"))
+    # A row for each block.
+    before = Window.orderBy(part, block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(part, block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(part, block).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn(row, F.coalesce(F.sum(bytes_).over(within), F.lit(0))).join(starts, [part, block])
+    return placed.select(*columns, F.floor((F.col(start) + F.col(row)) / (limit - longest + 1)).cast("long").alias(output))
+
+
+#: Rows whose bytes are added up together.
+ROWS_PER_BLOCK = 4_096

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import admission, names
 from .operators import apply, config, journal, prompts, settings, textrules
 from .plans import batch
+from .plans.finished import FinishedIndex
 from .sources import folders, payloads, scan
 from .sources.scratch import scratch_path
 from .streaming import waves
@@ -329,9 +331,30 @@ def c11_fold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settings.fold_settings(change_log(spark, sf_dir))[0].drop("pos")
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def whole_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a change log with every kind of change; keys that are set to nothing too."""
+    i, kind, key = F.col("event_id"), F.col("event_type"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("none"))
+    op = (
+        F.when(kind.isin("purchase", "click"), "add").when(kind == "error", "remove").when(kind == "signup", F.when(i % 2 == 0, "clear").otherwise("replace"))
+        .otherwise(F.when(i % 3 == 0, "setApiKey").otherwise("setGlobalPrompt"))
+    )
+    text = i.cast("string")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("user"), i.alias("seq"), op.alias("op"), key.alias("key"),
+        F.when((op == "setApiKey") & (i % 2 == 0), "").otherwise(text).alias("value"),
+        F.when(op == "replace", F.create_map(key, F.concat(F.lit("r"), text))).alias("mapping"),
+    )
+
+
+_LOG = """e AS (SELECT user_id, event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k,
+                CASE WHEN event_type IN ('purchase', 'click') THEN 'add' WHEN event_type = 'error' THEN 'remove'
+                     WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'clear' ELSE 'replace' END
+                     WHEN event_id % 3 = 0 THEN 'setApiKey' ELSE 'setGlobalPrompt' END AS op FROM events)"""
+
+
+def snapshot(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The change log in three stretches, each folded into a snapshot of those before."""
-    log, folder = change_log(spark, sf_dir), scratch_path(spark, "settings")
+    folder = scratch_path(log.sparkSession, "settings")
     most = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     for i in range(3):
         stretch = log.filter((F.col("seq") > most * i // 3 - (i == 0)) & (F.col("seq") <= most * (i + 1) // 3))
@@ -339,9 +362,21 @@ def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return settings.settings_of(state)
 
 
-@query(ORACLE_SQL["c11_fold_pairs"])
+@query(
+    f"""WITH {_LOG}, r AS (SELECT *, max(CASE WHEN op IN ('clear', 'replace') THEN event_id END) OVER (PARTITION BY user_id) AS reset FROM e),
+    a AS (SELECT user_id, k, arg_max(op, event_id) AS last, max(event_id) AS id FROM r WHERE op IN ('add', 'remove', 'replace') AND (reset IS NULL OR event_id >= reset) GROUP BY 1, 2)
+    SELECT user_id AS "user", k AS key, CASE WHEN last = 'replace' THEN 'r' ELSE '' END || id AS value FROM a WHERE last <> 'remove'"""
+)
 def c11_snapshot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot(spark, sf_dir)[0].drop("pos")
+    return snapshot(whole_log(spark, sf_dir))[0].drop("pos")
+
+
+@query(
+    f"""WITH {_LOG} SELECT user_id AS "user", coalesce(max(CASE WHEN op = 'setGlobalPrompt' THEN event_id END)::VARCHAR, '') AS global_prompt,
+              coalesce(max(CASE WHEN op = 'setApiKey' THEN event_id END) % 2 = 1, false) AS has_key FROM e GROUP BY 1"""
+)
+def c11_snapshot_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(whole_log(spark, sf_dir))[1]
 
 
 @query(
@@ -352,11 +387,6 @@ def c11_fold_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settings.fold_settings(change_log(spark, sf_dir))[1]
 
 
-@query(ORACLE_SQL["c11_fold_scalars"])
-def c11_snapshot_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot(spark, sf_dir)[1]
-
-
 @query(
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 3 THEN NULL ELSE '' END AS global_prompt,
               CASE WHEN event_id % 4 = 1 THEN event_type END AS mapped, event_id % 4 = 0 AS has_key FROM events"""
@@ -437,6 +467,21 @@ _FINISHED = """f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'elsewhere' ELSE sourc
                      FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 
+@query(
+    """WITH r AS (SELECT doc_id, strlen('{"model":"m","parts":[{"mime_type":"image/jpeg","data":"' || base64(encode(text)) || '"},{"text":"' || lang || '"}],"options":"{}"}') + 1 AS n FROM documents),
+    s AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, max(n) OVER () AS longest FROM r),
+    f AS (SELECT *, (before // (1048576 - longest + 1))::BIGINT AS file FROM s)
+    SELECT doc_id, file, sum(n) OVER (PARTITION BY file)::BIGINT AS file_bytes, sum(n) OVER (PARTITION BY file) <= 1048576 AS fits FROM f"""
+)
+def d4_batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests dealt to offline batch files of a megabyte at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"), F.col("lang").alias("prompt"))
+    lines = prompts.build_requests(docs, "m").select("doc_id", F.to_json("request").alias("line"))
+    filed = prompts.batch_files(lines, F.octet_length("line") + 1, 1 << 20, ["doc_id"]).withColumn("n", F.octet_length("line") + 1)
+    sums = filed.groupBy("file").agg(F.sum("n").alias("file_bytes"))
+    return filed.join(sums, "file").select("doc_id", "file", "file_bytes", (F.col("file_bytes") <= 1 << 20).alias("fits"))
+
+
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).withColumn("output_name", names.output_name(F.col("file_name"), "batch"))
 
@@ -446,6 +491,16 @@ def e1_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.skip_existing(planned(spark, sf_dir), finished(spark, sf_dir)).select("file_name")
 
 
+@query(ORACLE_SQL["e1_skip_existing"])
+def e1_finished_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of what is finished, to which outputs were added twice."""
+    index = FinishedIndex(spark, f"finished_{uuid.uuid4().hex}", buckets=8)
+    done = finished(spark, sf_dir)
+    index.add(done.filter(F.crc32(F.col("output_name").cast("binary")) % 2 == 0))
+    index.add(done)
+    return index.skip_existing(planned(spark, sf_dir)).select("file_name")
+
+
 @query(
     """WITH r AS (SELECT page_id, CASE WHEN page_id % 7 > 0 THEN regexp_extract(url, '[^/]*$') END AS name, page_id % 3 > 0 AS ok FROM pages),
     w AS (SELECT *, coalesce(max(ok::INT) OVER (PARTITION BY name ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM r)

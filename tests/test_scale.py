@@ -206,3 +206,40 @@ def test_a_stream_holds_waiting_pages(spark, tmp_path):
     assert sorted(map(str, (tuple(r) for r in found.select("project", "output_name", "file_name", "status").collect()))) == sorted(
         map(str, [("p", "a", "1.png", "failed"), ("p", "a", "2.png", "success"), ("p", "a", "3.png", "skip"), ("p", "b", "1.jpg", "success"), (None, "a", "x", "success"), ("p", "c", "1", "failed"), ("p", "c", "2", "failed")])
     )
+
+
+def test_finished_index_is_joined_where_it_lies(spark):
+    from foliomill.plans.finished import FinishedIndex
+
+    index = FinishedIndex(spark, "finished_test", buckets=4)
+    schema = "project string, output_name string"
+    index.add(spark.createDataFrame([(None, "1"), ("p", "1"), ("p", "1")], schema))
+    index.add(spark.createDataFrame([("p", "1"), ("", "1"), ("q", None)], schema))
+    assert spark.table("finished_test").count() == 4
+    plan = spark.createDataFrame([(None, "1", 0), ("p", "1", 1), ("p", "2", 2), ("", "1", 3), ("q", None, 4), ("q", "", 5), (None, None, 6)], schema + ", name_key int")
+    for _ in range(2):
+        left = index.skip_existing(plan)
+        assert left.columns == plan.columns and sorted(r["name_key"] for r in left.collect()) == [2, 5, 6]
+        text = left._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and text.count("Exchange") == 1, text
+        index.compact()
+    spark.sql("DROP TABLE finished_test")
+
+
+def test_batch_files_are_never_over_the_limit(spark, monkeypatch):
+    from foliomill.operators import prompts
+
+    monkeypatch.setattr(prompts, "ROWS_PER_BLOCK", 7)
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randint(0, 50), "old") for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, line string, file string").repartition(5)
+    found = prompts.batch_files(df, F.octet_length("line"), 300, ["id"]).orderBy("id").collect()
+    assert [r["id"] for r in found] == list(range(600))
+    sizes: dict = {}
+    for r in found:
+        sizes[r["file"]] = sizes.get(r["file"], 0) + len(r["line"])
+    assert list(sizes) == sorted(sizes) and max(sizes.values()) <= 300
+    assert len(sizes) <= sum(sizes.values()) / 251 + 1
+    with pytest.raises(ValueError, match="bytes"):
+        prompts.batch_files(df, F.octet_length("line"), 20, ["id"])
+    assert prompts.batch_files(df.limit(0), F.octet_length("line"), 20, ["id"]).count() == 0
