@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import free_name
 
@@ -99,7 +100,9 @@ def parts_of(glossary: DataFrame) -> list[Part]:
     return found
 
 
-FOUND = "array<struct<at:int,length:int,original:string,translation:string>>"
+FOUND = T.ArrayType(
+    T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("at", "length")), *(T.StructField(c, T.StringType()) for c in ("original", "translation"))])
+)
 
 
 def _with_found(df: DataFrame, text: str, sent: Part, column: str) -> DataFrame:
@@ -122,11 +125,10 @@ def _with_found(df: DataFrame, text: str, sent: Part, column: str) -> DataFrame:
                 found = [a + b for a, b in zip(batch.column(before).to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, kind)], names)
 
-    schema = ", ".join([*(f"`{df.columns[i]}` {df.schema[i].dataType.simpleString()}" for i in kept), f"`{column}` {FOUND}"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(column, FOUND)]))
 
 
-def _walk(df: DataFrame, text: str, parts: list[Part], make: Callable[[Iterator[tuple[list, str | None, list]]], Iterator[list]], schema: dict[str, str], kept: list[str]) -> DataFrame:
+def _walk(df: DataFrame, text: str, parts: list[Part], make: Callable[[Iterator[tuple[list, str | None, list]]], Iterator[list]], schema: dict[str, T.DataType], kept: list[str]) -> DataFrame:
     """mapInArrow over rows (kept values, text, what is taken in one pass: from, to, pair)."""
     column = free_name(df, "found")
     for sent in parts[:-1]:
@@ -150,8 +152,7 @@ def _walk(df: DataFrame, text: str, parts: list[Part], make: Callable[[Iterator[
         for columns, arrays in make(([batch.column(i) for i in places], rows(batch)) for batch in batches):
             yield pa.RecordBatch.from_arrays([*columns, *arrays], [*kept, *made])
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in [*((c, kinds[c]) for c in kept), *schema.items()]))
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in places), *(T.StructField(c, kind) for c, kind in schema.items())]))
 
 
 def substituted(df: DataFrame, text: str, glossary: DataFrame, output: str) -> DataFrame:
@@ -176,7 +177,7 @@ def substituted(df: DataFrame, text: str, glossary: DataFrame, output: str) -> D
             yield columns, [pa.array(out, pa.string())]
 
     kept = [c for c in df.columns if c != output]
-    return _walk(df, text, parts_of(glossary), make, {output: "string"}, kept)
+    return _walk(df, text, parts_of(glossary), make, {output: T.StringType()}, kept)
 
 
 def counted(df: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def counted(df: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
         names = list(times)
         yield [], [pa.array(names, pa.string()), pa.array([rows_with[x] for x in names], pa.int64()), pa.array([times[x] for x in names], pa.int64())]
 
-    sums = _walk(df.select(text), text, parts_of(glossary), make, {"original": "string", "n_rows": "long", "n_times": "long"}, [])
+    sums = _walk(df.select(text), text, parts_of(glossary), make, {"original": T.StringType(), "n_rows": T.LongType(), "n_times": T.LongType()}, [])
     return sums.groupBy("original").agg(F.sum("n_rows").alias("rows"), F.sum("n_times").alias("occurrences"))
 
 
