@@ -25,7 +25,7 @@ def walk(text, glossary):
     return "".join(out), taken
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 20, 3])
+@pytest.mark.parametrize("part_bytes", [1 << 20, 80])
 def test_terms_by_brute_force(spark, monkeypatch, part_bytes):
     monkeypatch.setattr(terms, "PART_BYTES", part_bytes)
     rng = random.Random(part_bytes)
