@@ -1,10 +1,11 @@
-"""Glossaries of any size: all terms found in one walk over a text, by an automaton.
-
-The terms form a trie with failure links, so the time for a text grows with the text and
-with what is found, not with the number of terms.  A task builds the automaton from the
-broadcast terms, once.  Terms of more than ``PART_BYTES`` are dealt into parts by a hash
-of their first character, each with an automaton of its own: all terms that can begin at
-one place of a text are in one part, so what the parts find at a place is never in doubt.
+"""Glossaries of any size: all terms found in one walk over a text.
+
+Terms of up to ``PART_BYTES`` form a trie with failure links, so the time for a text grows
+with the text and with what is found, not with the number of terms.  A task builds the
+automaton from the broadcast terms, once.  More terms stay a table: a filter of at most
+``FILTER_BITS`` bits, which is broadcast, says where a text may hold a term; those places
+meet the terms by an equi join and then their text by its row.  The filter may pass a place
+too many, never one too few, and the join compares whole terms.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -22,9 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import free_name
+from ..sources.scratch import stored
 
-#: UTF-8 bytes of terms in one automaton; its memory is about a hundred times that in the worst case.
+#: UTF-8 bytes of terms in an automaton; its memory is about a hundred times that in the worst case.
 PART_BYTES = 2 << 20
+#: Bits of the filter for more terms, at most (32 MB).
+FILTER_BITS = 1 << 28
+#: Bytes of text whose places are looked at together.
+BLOCK = 1 << 19
+#: A place is tried for long terms only if its first so many bytes begin one.
+GATES = [8 << i for i in range(20)]
 
 Pair = tuple[str, str | None]
 
@@ -52,6 +61,18 @@ class Terms:
             found[end - self.lengths[i] + 1] = i  # a later end is a longer term
         return found
 
+    def taken(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(from, to, term) of what a walk takes that tries the longest term first and goes on behind it."""
+        return one_pass({at: (self.lengths[i], i) for at, i in self.longest(text).items()})
+
+    def replaced(self, text: str) -> str:
+        pieces, free = [], 0
+        for at, to, i in self.taken(text):
+            if (translation := self.pairs[i][1]) is not None:
+                pieces += [text[free:at], translation]
+                free = to
+        return "".join([*pieces, text[free:]])
+
 
 def one_pass(found: dict[int, tuple[int, object]]) -> Iterator[tuple[int, int, object]]:
     """Of (length, what) by place those that a walk takes which goes on behind what it took: (from, to, what)."""
@@ -76,83 +97,162 @@ _built: dict[str, Terms] = {}
 
 def _terms(part: Part) -> Terms:
     if part.name not in _built:
-        if len(_built) > 3:
-            _built.clear()
+        _built.clear()  # one automaton in a worker
         _built[part.name] = Terms(part.sent.value)
     return _built[part.name]
 
 
-def parts_of(glossary: DataFrame) -> list[Part]:
-    """The terms (original, translation) in parts of bounded size.
+def terms_of(glossary: DataFrame) -> Part | DataFrame:
+    """The terms (original, translation), broadcast if they are of bounded size, as a stored table if not.
 
     Empty and null terms are left out; of a term given twice the largest translation counts.
     """
     spark = glossary.sparkSession
     translation = F.max("translation") if "translation" in glossary.columns else F.lit(None).cast("string")
-    terms = glossary.filter("original <> ''").groupBy("original").agg(translation.alias("translation"))
-    size = terms.agg(F.coalesce(F.sum(F.octet_length("original")), F.lit(0))).first()[0]
-    n = max(1, -(-size // PART_BYTES))
-    part = F.pmod(F.xxhash64(F.left("original", F.lit(1))), F.lit(n))
-    found = []
-    for i in range(n):
-        pairs = [(r[0], r[1]) for r in (terms.filter(part == i) if n > 1 else terms).toLocalIterator()]
-        found.append(Part(uuid.uuid4().hex, spark.sparkContext.broadcast(pairs)))
-    return found
-
-
-FOUND = T.ArrayType(
-    T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("at", "length")), *(T.StructField(c, T.StringType()) for c in ("original", "translation"))])
-)
-
-
-def _with_found(df: DataFrame, text: str, sent: Part, column: str) -> DataFrame:
-    """``df`` with what the part finds (longest at each place) added to ``column``."""
-    kept = [i for i, c in enumerate(df.columns) if c != column]
-    names = [df.columns[i] for i in kept] + [column]
-    before = df.columns.index(column) if column in df.columns else None
-    at = df.columns.index(text)
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("original", pa.string()), ("translation", pa.string())]))
+    terms = stored(glossary.filter("original <> ''").groupBy("original").agg(translation.alias("translation")), "terms")
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("original") + F.coalesce(F.octet_length("translation"), F.lit(0))), F.lit(0))).first()[0]
+    if size > 2 * PART_BYTES or terms.agg(F.coalesce(F.sum(F.octet_length("original")), F.lit(0))).first()[0] > PART_BYTES:
+        return terms
+    return Part(uuid.uuid4().hex, spark.sparkContext.broadcast([(r[0], r[1]) for r in terms.toLocalIterator()]))
+
+
+class Hashes:
+    """A 64-bit value for each run of the bytes, by differences of one running sum."""
+
+    step, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    table = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+    power = back = np.ones(1, np.uint64)
+
+    def __init__(self, data: np.ndarray):
+        n = len(data) + 1
+        with np.errstate(over="ignore"):
+            if len(Hashes.power) < n:
+                Hashes.power, Hashes.back = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x)]) for x in (self.step, self.inverse))
+            self.sums = np.zeros(n, np.uint64)
+            np.cumsum(self.table[data] * self.power[: n - 1], out=self.sums[1:])
+
+    def at(self, places: np.ndarray, length: int | np.ndarray, gate: bool) -> np.ndarray:
+        """The value of the run of ``length`` at each place: its high and its low bits choose two bits of the filter."""
+        with np.errstate(over="ignore"):
+            h = (self.sums[places + length] - self.sums[places]) * self.back[places]
+            h += np.asarray(2 * length + gate, np.uint64) * self.step
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+            return h ^ (h >> np.uint64(32))
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all values end to end, and where each begins (one more than values); nulls are empty."""
+    values = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = values.buffers()
+    begins = np.frombuffer(offsets, np.int64, len(values) + 1 + values.offset)[values.offset :] if len(values) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[begins[0] : begins[-1]], begins - begins[0]
+
+
+@dataclass
+class Filter:
+    """Where terms may be: two bits for each term and for each gate that it passes."""
+
+    bits: Broadcast
+    shift: int
+    lengths: list[int]
+
+    def passing(self, places: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Of the places those whose value has both its bits."""
+        bits = self.bits.value
+        for at in (lambda h: h >> np.uint64(self.shift), lambda h: h & np.uint64((1 << (64 - self.shift)) - 1)):
+            bit = at(h)
+            there = np.flatnonzero((bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+            places, h = places[there], h[there]
+        return places
+
+    def places(self, data: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(value, first byte in ``data``, length) of all runs that may be terms, none across two values; a block at a time."""
+        most = self.lengths[-1]
+        for low in range(0, len(data), BLOCK):
+            part = data[low : low + BLOCK + most]
+            hashes, left, gates = Hashes(part), np.arange(min(BLOCK, len(part))), iter(GATES)
+            gate, all_found = next(gates), []
+            for length in self.lengths:
+                while gate <= length:
+                    left = left[left + gate <= len(part)]
+                    left = self.passing(left, hashes.at(left, gate, True))
+                    gate = next(gates)
+                left = left[left + length <= len(part)]
+                if not len(left):
+                    break
+                all_found.append(self.passing(left, hashes.at(left, length, False)) + low)
+            if all_found:
+                found = np.concatenate(all_found)
+                length = np.repeat(self.lengths[: len(all_found)], [len(x) for x in all_found])
+                value = np.searchsorted(begins, found, "right") - 1
+                inside = found + length <= begins[value + 1]
+                yield value[inside], found[inside], length[inside]
+
+
+def filter_of(terms: DataFrame) -> Filter:
+    """The filter of a table of terms; its bits are put together by tasks, a word of 64 at a time."""
+    spark = terms.sparkSession
+    size = F.octet_length("original")
+    lengths = sorted(r[0] for r in terms.select(size).distinct().toLocalIterator())
+    shift = 64 - max(16, min(FILTER_BITS, 64 * terms.count()).bit_length() - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _terms(sent)
         for batch in batches:
-            found = []
-            for value in batch.column(at):
-                body = value.as_py()
-                here = terms.longest(body) if body else {}
-                found.append([{"at": p, "length": terms.lengths[i], "original": terms.pairs[i][0], "translation": terms.pairs[i][1]} for p, i in here.items()])
-            if before is not None:
-                found = [a + b for a, b in zip(batch.column(before).to_pylist(), found, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, kind)], names)
-
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(column, FOUND)]))
+            data, begins = _bytes_of(batch.column(0))
+            hashes, first, n = Hashes(data), begins[:-1], np.diff(begins)
+            values = [hashes.at(first, n, False)]
+            for gate in GATES:
+                first, n = first[n >= gate], n[n >= gate]
+                if not len(n):
+                    break
+                values.append(hashes.at(first, gate, True))
+            h = np.concatenate(values)
+            at = np.unique(np.r_[h >> np.uint64(shift), h & np.uint64((1 << (64 - shift)) - 1)])
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64))], ["at"])
+
+    at = terms.select("original").mapInArrow(run, "at long")
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    made = words.toArrow()
+    bits = np.zeros(1 << (64 - shift - 6), np.int64)
+    bits[made["word"].to_numpy()] = made["bits"].to_numpy()
+    return Filter(spark.sparkContext.broadcast(bits.view(np.uint8)), shift, lengths)
+
+
+def occurrences(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, at, length, original, translation) of every occurrence of a term, overlapping ones too; places in bytes."""
+    sent = filter_of(terms)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, begins = _bytes_of(batch.column(1))
+            for value, first, length in sent.places(data, begins):
+                ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+                whole = data[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]
+                runs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(whole.tobytes())])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(value)), pa.array((first - begins[value]).astype(np.int32)), pa.array(length.astype(np.int32)), runs], [key, "at", "length", "run"]
+                )
 
-def _walk(df: DataFrame, text: str, parts: list[Part], make: Callable[[Iterator[tuple[list, str | None, list]]], Iterator[list]], schema: dict[str, T.DataType], kept: list[str]) -> DataFrame:
-    """mapInArrow over rows (kept values, text, what is taken in one pass: from, to, pair)."""
-    column = free_name(df, "found")
-    for sent in parts[:-1]:
-        df = _with_found(df, text, sent, column)
-    at, before = df.columns.index(text), df.columns.index(column) if len(parts) > 1 else None
-    places = [df.columns.index(c) for c in kept]
-    last, made = parts[-1], list(schema)
+    kind = rows.schema[key].dataType.simpleString()
+    found = rows.select(key, text).mapInArrow(run, f"{key} {kind}, at int, length int, run binary")
+    # As bytes, so that a run which cuts a character in two is no text, and no term.
+    return found.join(terms.withColumn("run", F.col("original").cast("binary")), "run").drop("run")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _terms(last)
 
-        def rows(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list]]:
-            earlier = batch.column(before) if before is not None else None
-            for n, value in enumerate(batch.column(at)):
-                body = value.as_py()
-                here = {p: (terms.lengths[i], terms.pairs[i]) for p, i in (terms.longest(body) if body else {}).items()}
-                for x in earlier[n].as_py() if earlier is not None else ():
-                    here[x["at"]] = (x["length"], (x["original"], x["translation"]))
-                yield body, list(one_pass(here))
+def _by_row(df: DataFrame, text: str, terms: DataFrame, pair: list[str]) -> tuple[DataFrame, DataFrame, str]:
+    """``df`` stored with a number for each row, and (number, found) of the rows with terms: at, length and ``pair`` by place."""
+    key = free_name(df, "term_row")
+    rows = stored(df.withColumn(key, F.monotonically_increasing_id()), "texts")
+    # The longest at a place; of the terms there one has that length.
+    best = occurrences(rows, key, text, terms).select(key, F.struct("at", "length", *pair).alias("x"))
+    return rows, best.groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("found")), key
 
-        for columns, arrays in make(([batch.column(i) for i in places], rows(batch)) for batch in batches):
-            yield pa.RecordBatch.from_arrays([*columns, *arrays], [*kept, *made])
 
-    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in places), *(T.StructField(c, kind) for c, kind in schema.items())]))
+def _taken(found: list[dict] | None) -> Iterator[tuple[int, int, dict]]:
+    # A later one at the same place is longer.
+    return one_pass({x["at"]: (x["length"], x) for x in found or ()})
 
 
 def substituted(df: DataFrame, text: str, glossary: DataFrame, output: str) -> DataFrame:
@@ -160,40 +260,69 @@ def substituted(df: DataFrame, text: str, glossary: DataFrame, output: str) -> D
 
     What was put in is not looked at again; a term without a translation stays; a null text stays null.
     """
+    kept = [c for c in df.columns if c != output]
+    sent = known = terms_of(glossary)
+    if isinstance(known, Part):
+        source, at, before = df, df.columns.index(text), None
+    else:
+        sent = None
+        rows, found, key = _by_row(df, text, known, ["translation"])
+        column = free_name(rows, "found")
+        source = rows.join(found.withColumnRenamed("found", column), key, "left").drop(key)
+        at, before = source.columns.index(text), source.columns.index(column)
+    places = [source.columns.index(c) for c in kept]
 
-    def make(batches):
-        for columns, rows in batches:
-            out = []
-            for body, taken in rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[str | bytes | None] = []
+            for n, value in enumerate(batch.column(at)):
+                body = value.as_py()
                 if body is None:
                     out.append(None)
-                    continue
-                pieces, free = [], 0
-                for at, to, (_, translation) in taken:
-                    if translation is not None:
-                        pieces += [body[free:at], translation]
-                        free = to
-                out.append("".join([*pieces, body[free:]]))
-            yield columns, [pa.array(out, pa.string())]
+                elif sent:
+                    out.append(_terms(sent).replaced(body))
+                else:
+                    out.append(_put_in(body.encode(), [(x, y, t["translation"]) for x, y, t in _taken(batch.column(before)[n].as_py())]).decode())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(out, pa.string())], [*kept, output])
+
+    return source.mapInArrow(run, T.StructType([*(source.schema.fields[i] for i in places), T.StructField(output, T.StringType())]))
 
-    kept = [c for c in df.columns if c != output]
-    return _walk(df, text, parts_of(glossary), make, {output: T.StringType()}, kept)
+
+def _put_in(body: bytes, taken: list[tuple[int, int, str | None]]) -> bytes:
+    pieces, free = [], 0
+    for at, to, translation in taken:
+        if translation is not None:
+            pieces += [body[free:at], translation.encode()]
+            free = to
+    return b"".join([*pieces, body[free:]])
 
 
 def counted(df: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
-    """(original, rows, occurrences) of the terms that the one-pass rule takes somewhere in ``text``; added up in each task first."""
+    """(original, rows, occurrences) of the terms that the one-pass rule takes somewhere in ``text``; added up in each batch first."""
+    sent = known = terms_of(glossary)
+    if isinstance(known, Part):
+        source = df.select(text)
+    else:
+        sent = None
+        source = _by_row(df.select(text), text, known, ["original"])[1].select("found")
 
-    def make(batches):
-        rows_with, times = Counter(), Counter()
-        for _, rows in batches:
-            for _, taken in rows:
-                here = Counter(pair[0] for _, _, pair in taken)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows_with, times = Counter(), Counter()
+            for value in batch.column(0):
+                if sent:
+                    terms = _terms(sent)
+                    here = Counter(terms.pairs[i][0] for _, _, i in terms.taken(value.as_py() or ""))
+                else:
+                    here = Counter(x["original"] for _, _, x in _taken(value.as_py()))
                 rows_with.update(here.keys())
                 times.update(here)
-        names = list(times)
-        yield [], [pa.array(names, pa.string()), pa.array([rows_with[x] for x in names], pa.int64()), pa.array([times[x] for x in names], pa.int64())]
+            names = list(times)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([rows_with[x] for x in names], pa.int64()), pa.array([times[x] for x in names], pa.int64())], ["original", "n_rows", "n_times"]
+            )
 
-    sums = _walk(df.select(text), text, parts_of(glossary), make, {"original": T.StringType(), "n_rows": T.LongType(), "n_times": T.LongType()}, [])
+    sums = source.mapInArrow(run, "original string, n_rows long, n_times long")
     return sums.groupBy("original").agg(F.sum("n_rows").alias("rows"), F.sum("n_times").alias("occurrences"))
 
 
@@ -201,36 +330,43 @@ def violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """(id, original, translation, missing, kept) of the terms in ``source`` that ``target`` does not treat as the glossary says.
 
     ``target`` is walked twice, for terms that are still there and for translations; a
-    null target or translation violates nothing.  Every part of the glossary judges its own terms.
+    null target or translation violates nothing.
     """
+    known = terms_of(glossary)
+    if isinstance(known, DataFrame):
+        rows = stored(pairs.select("id", "source", "target", F.monotonically_increasing_id().alias("row")), "pairs")
+        there = occurrences(rows.filter("target is not null"), "row", "source", known).select("row", F.struct("original", "translation").alias("x"))
+        return judged(rows.join(there.groupBy("row").agg(F.collect_set("x").alias("terms")), "row"), "terms")
     kind = pairs.schema["id"].dataType.simpleString()
-    rows = pairs.select("id", "source", "target")
-
-    def judged(sent: Part) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms = _terms(sent)
-            wanted = sorted({t for _, t in terms.pairs if t})
-            number = {t: i for i, t in enumerate(wanted)}
-            translations = Terms([(t, None) for t in wanted])
-            for batch in batches:
-                out: list[tuple] = []
-                for n, (source, target) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                    source, target = source.as_py(), target.as_py()
-                    there = {i for _, i in terms.all(source)} if source and target is not None else ()
-                    if there:
-                        left, made = {i for _, i in terms.all(target)}, {i for _, i in translations.all(target)}
-                        for i in there:
-                            original, translation = terms.pairs[i]
-                            missing = None if translation is None else translation != "" and number[translation] not in made
-                            if missing or i in left:
-                                out.append((n, original, translation, missing, i in left))
-                took, *columns = zip(*out, strict=True) if out else [()] * 5
-                kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "original", "translation", "missing", "kept"])
-
-        return rows.mapInArrow(run, f"id {kind}, original string, translation string, missing boolean, kept boolean")
-
-    first, *rest = map(judged, parts_of(glossary))
-    for more in rest:
-        first = first.unionByName(more)
-    return first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _terms(known)
+        wanted = sorted({t for _, t in terms.pairs if t})
+        number = {t: i for i, t in enumerate(wanted)}
+        translations = Terms([(t, None) for t in wanted])
+        for batch in batches:
+            out: list[tuple] = []
+            for n, (source, target) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                source, target = source.as_py(), target.as_py()
+                there = {i for _, i in terms.all(source)} if source and target is not None else ()
+                if there:
+                    left, made = {i for _, i in terms.all(target)}, {i for _, i in translations.all(target)}
+                    for i in there:
+                        original, translation = terms.pairs[i]
+                        missing = None if translation is None else translation != "" and number[translation] not in made
+                        if missing or i in left:
+                            out.append((n, original, translation, missing, i in left))
+            took, *columns = zip(*out, strict=True) if out else [()] * 5
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(took, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "original", "translation", "missing", "kept"])
+
+    return pairs.select("id", "source", "target").mapInArrow(run, f"id {kind}, original string, translation string, missing boolean, kept boolean")
+
+
+def judged(pairs: DataFrame, listed: str) -> DataFrame:
+    """(id, original, translation, missing, kept) of the terms in the array ``listed`` that ``target`` does not treat as they say."""
+    target = F.col("target")
+    checked = F.transform(
+        listed, lambda t: F.struct(t["original"].alias("original"), t["translation"].alias("translation"), (~F.contains(target, t["translation"])).alias("missing"), F.contains(target, t["original"]).alias("kept")),
+    )
+    return pairs.select("id", F.explode(F.filter(checked, lambda t: t["missing"] | t["kept"])).alias("term")).select("id", "term.*")

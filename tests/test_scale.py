@@ -243,3 +243,16 @@ def test_batch_files_are_never_over_the_limit(spark, monkeypatch):
     with pytest.raises(ValueError, match="bytes"):
         prompts.batch_files(df, F.octet_length("line"), 20, ["id"])
     assert prompts.batch_files(df.limit(0), F.octet_length("line"), 20, ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("run", ["apply_glossary", "glossary_coverage"])
+def test_more_terms_take_no_more_workers(spark, monkeypatch, run):
+    monkeypatch.setattr(terms, "PART_BYTES", 20)
+    rows = spark.createDataFrame([(1, "xx term7 term11"), (2, None)], "id long, text string")
+    steps = set()
+    for n in (10, 100):
+        many = spark.createDataFrame([(f"term{i}", f"<{i}>") for i in range(n)], "original string, translation string")
+        plan = getattr(textrules, run)(rows, "text", many)._jdf.queryExecution().optimizedPlan().toString()
+        steps.add(plan.count("MapInArrow"))
+    # No worker holds the terms: what they find is joined.
+    assert len(steps) == 1 and max(steps) <= 2 and "Join" in plan
