@@ -288,6 +288,43 @@ def substituted(df: DataFrame, text: str, glossary: DataFrame, output: str) -> D
     return source.mapInArrow(run, T.StructType([*(source.schema.fields[i] for i in places), T.StructField(output, T.StringType())]))
 
 
+def fits(listed: DataFrame) -> bool:
+    """Whether the settings' arrays (column ``terms``) are of a size in all that may be sent to every task."""
+    bytes_of = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["original"]) + F.octet_length(t["translation"]))
+    return listed.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0] <= PART_BYTES
+
+
+def settings_of(listed: DataFrame, key: str, df: DataFrame) -> Broadcast | None:
+    """The terms of each setting (key, terms), broadcast; nothing if they are too large for that or ``df`` has keys that only Spark compares with these."""
+    kinds = [x.schema[key].dataType for x in (listed, df)]
+    if not any(all(isinstance(k, kind) for k in kinds) for kind in (T.StringType, T.IntegralType)) or not fits(listed):
+        return None
+    pairs = {r[0]: [(t["original"], t["translation"]) for t in r[1]] for r in listed.select(key, "terms").filter(F.col(key).isNotNull()).toLocalIterator()}
+    return listed.sparkSession.sparkContext.broadcast(pairs)
+
+
+def substituted_by_setting(df: DataFrame, text: str, settings: Broadcast, key: str, output: str) -> DataFrame:
+    """``df`` with each text's terms replaced by ``substituted``'s rule, those of the row's own setting."""
+    places = [i for i, c in enumerate(df.columns) if c != output]
+    names = [df.columns[i] for i in places]
+    at, setting = df.columns.index(text), df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, built = settings.value, {}
+        for batch in batches:
+            out: list[str | None] = []
+            for body, which in zip(batch.column(at), batch.column(setting), strict=True):
+                body, which = body.as_py(), which.as_py()
+                if body and which in pairs:
+                    if which not in built:
+                        built[which] = Terms(pairs[which])
+                    body = built[which].replaced(body)
+                out.append(body)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(out, pa.string())], [*names, output])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in places), T.StructField(output, T.StringType())]))
+
+
 def _put_in(body: bytes, taken: list[tuple[int, int, str | None]]) -> bytes:
     pieces, free = [], 0
     for at, to, translation in taken:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import free_name
+from ..sources.scratch import stored
 from . import terms
 
 #: Terms of a glossary that an expression of the plan tries one by one.
@@ -60,19 +61,29 @@ def apply_glossaries(df: DataFrame, text: str, glossary: DataFrame, key: str = "
     """``df`` with the glossary of each row's own setting (``key``) substituted in ``text``, by the rule of ``apply_glossary``.
 
     ``glossary`` (key, original, translation) may hold any number of settings; a setting's
-    terms, unique by original, travel as one array and meet its rows by an equi join.
+    terms are unique by original.  Up to ``terms.PART_BYTES`` of terms in all are broadcast,
+    an automaton for each setting, and no row moves.  More travel as one array for each setting, with the pattern and
+    the table made from it once, and meet their rows by an equi join.
     Empty terms and null translations are passed over; a row whose setting is null or
     has no terms keeps its text.
     """
-    setting, terms = free_name(df, "glossary_setting"), free_name(df, "glossary_terms")
-    rows = df.join(_terms_of(glossary, key).select(F.col(key).alias(setting), F.col("terms").alias(terms)), F.col(key) == F.col(setting), "left")
-    quoted = F.transform(terms, lambda t: F.regexp_replace(t["original"], SPECIAL, r"\\$1"))
-    heads = F.array_join(F.transform(terms, lambda t: F.regexp_replace(F.substring(t["original"], 1, 1), r"([\\\[\]^&-])", r"\\$1")), "")
-    pattern = F.concat(F.lit("(?s)("), F.array_join(quoted, "|"), F.lit("|[^"), heads, F.lit("]+|.)"))
-    table = F.map_from_entries(F.transform(terms, lambda t: F.struct(t["original"], t["translation"])))
-    pieces = F.regexp_extract_all(F.col(text), pattern, F.lit(1))
-    changed = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")
-    whole = F.when(F.col(terms).isNull(), F.col(text)).otherwise(changed)
+    listed = stored(_terms_of(glossary, key), "glossaries")
+    if small := terms.settings_of(listed, key, df):
+        return terms.substituted_by_setting(df, text, small, key, output)
+    setting, table, pattern = (free_name(df, f"glossary_{x}") for x in ("setting", "table", "pattern"))
+    quoted = F.transform("terms", lambda t: F.regexp_replace(t["original"], SPECIAL, r"\\$1"))
+    heads = F.array_join(F.transform("terms", lambda t: F.regexp_replace(F.substring(t["original"], 1, 1), r"([\\\[\]^&-])", r"\\$1")), "")
+    # Stored, so that they are not made again for every piece of a text.
+    made = stored(
+        listed.select(
+            F.col(key).alias(setting), F.concat(F.lit("(?s)("), F.array_join(quoted, "|"), F.lit("|[^"), heads, F.lit("]+|.)")).alias(pattern),
+            F.map_from_entries(F.transform("terms", lambda t: F.struct(t["original"], t["translation"]))).alias(table),
+        ), "patterns",
+    )
+    rows = df.join(made, F.col(key) == F.col(setting), "left")
+    pieces = F.regexp_extract_all(F.col(text), F.col(pattern), F.lit(1))
+    changed = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(F.col(table), p), p)), "")
+    whole = F.when(F.col(setting).isNull(), F.col(text)).otherwise(changed)
     return rows.withColumn(output, whole).select(*[c for c in df.columns if c != output], output)
 
 
@@ -81,22 +92,19 @@ def glossary_violations(pairs: DataFrame, glossary: DataFrame, key: str | None =
 
     Only terms that violate are returned.  Without ``key`` the glossary (original,
     translation) is for all pairs, has any number of terms and is walked as an automaton,
-    so each pair is looked at where it lies and nothing is shuffled.  With ``key``, a
-    column of both, each pair is held against the terms of its own setting.
+    so each pair is looked at where it lies and nothing is shuffled (more than ``terms.PART_BYTES`` of terms are joined).
+    With ``key``, a column of both, each pair is held against the terms of its own setting, which
+    is sent to all tasks if the settings are of that size in all.
     """
     if not key:
         return terms.violations(pairs, glossary)
     setting, listed = free_name(pairs, "glossary_setting"), free_name(pairs, "glossary_terms")
-    own = _terms_of(glossary, key).select(F.col(key).alias(setting), F.col("terms").alias(listed))
-    pairs = pairs.join(own, F.col(key) == F.col(setting))
+    own = stored(_terms_of(glossary, key), "glossaries")
+    small = terms.fits(own)
+    own = own.select(F.col(key).alias(setting), F.col("terms").alias(listed))
+    pairs = pairs.join(F.broadcast(own) if small else own, F.col(key) == F.col(setting))
     present = F.filter(F.col(listed), lambda t: F.contains(F.col("source"), t["original"]))
-    hits = pairs.select("id", "source", "target", F.explode(present).alias("term"))
-    original, translation = F.col("term.original"), F.col("term.translation")
-    checked = hits.select(
-        "id", original.alias("original"), translation.alias("translation"),
-        (~F.contains("target", translation)).alias("missing"), F.contains("target", original).alias("kept"),
-    )
-    return checked.filter("missing or kept")
+    return terms.judged(pairs.withColumn(listed, present), listed)
 
 
 def digit_runs(text: Column) -> Column:

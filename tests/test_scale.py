@@ -256,3 +256,19 @@ def test_more_terms_take_no_more_workers(spark, monkeypatch, run):
         steps.add(plan.count("MapInArrow"))
     # No worker holds the terms: what they find is joined.
     assert len(steps) == 1 and max(steps) <= 2 and "Join" in plan
+
+
+def test_settings_do_not_move_rows_or_make_tables_for_each_piece(spark, monkeypatch):
+    glossary = spark.createDataFrame([("x", "a.", "<1>"), ("x", "a", "<2>"), ("y", "b]", "<3>"), (None, "c", "no")], "config_id string, original string, translation string")
+    rows = [(1, "x", "a.ab]"), (2, "y", "a.ab]"), (3, None, "cab"), (4, "z", "a"), (5, "x", None)]
+    df = spark.createDataFrame(rows, "id int, config_id string, text string")
+    wanted = {1: "<1><2>b]", 2: "a.a<3>", 3: "cab", 4: "a", 5: None}
+    small = textrules.apply_glossaries(df, "text", glossary)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "map_from_entries" not in plan
+    assert {r["id"]: r["replaced"] for r in small.collect()} == wanted
+    monkeypatch.setattr(terms, "PART_BYTES", 0)
+    large = textrules.apply_glossaries(df, "text", glossary)
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "map_from_entries" not in plan
+    assert {r["id"]: r["replaced"] for r in large.collect()} == wanted
