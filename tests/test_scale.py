@@ -272,3 +272,15 @@ def test_settings_do_not_move_rows_or_make_tables_for_each_piece(spark, monkeypa
     plan = large._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "map_from_entries" not in plan
     assert {r["id"]: r["replaced"] for r in large.collect()} == wanted
+
+
+def test_violations_by_setting_do_not_copy_texts(spark, monkeypatch):
+    glossary = spark.createDataFrame([("x", "a", "<2>"), ("x", "b", "<b>"), ("y", "a", "c")], "config_id string, original string, translation string")
+    rows = [(1, "x", "ab", "<2>b"), (2, "y", "aa", "c"), (3, None, "a", "a"), (4, "x", "b", None), (5, "y", "a", "")]
+    pairs = spark.createDataFrame(rows, "id int, config_id string, source string, target string")
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(terms, "PART_BYTES", size)
+        bad = textrules.glossary_violations(pairs, glossary, "config_id")
+        assert {tuple(r) for r in bad.collect()} == {(1, "b", "<b>", True, True), (5, "a", "c", True, False)}
+        copied = next(line for line in bad._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line)
+        assert "source#" not in copied and "target#" not in copied.split("explode")[0]
