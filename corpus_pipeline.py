@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (but for the case of A-Z) one row stays, that with the largest doc_id."""
+    """Of equal texts (but for the case of A-Z) one row stays, that with the largest doc_id; found against a digest index."""
     docs, key = with_row_key(docs)
     return _keep(docs, exact_dedup.distinct_rows(docs, key), key)
 

@@ -76,14 +76,15 @@ def _digest(text: Column) -> Column:
     return F.sha2(ascii_lower(text).cast("binary"), 256)
 
 
-def settle(rows: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
-    """(digest, keep_id, group_size, earlier) of the distinct digests of ``rows``, the ids of those in the index ``known`` as there."""
-    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+def settle(rows: DataFrame, known: DataFrame, buckets: int, *more: Column) -> DataFrame:
+    """(digest, keep_id, group_size, earlier) and the aggregates ``more`` of the distinct digests of ``rows``, the ids of those in the index ``known`` as there."""
+    groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), *more)
+    others = groups.columns[3:]
     # By bucket, so without a shuffle; a digest occurs once in an index that nothing disturbed.
     held = known.groupBy("digest").agg(F.min("keep_id").alias("earlier_id")).withColumn("held", F.lit(True))
     both = groups.repartition(buckets, "digest").join(held.hint("merge"), "digest", "left")
     earlier = F.coalesce("held", F.lit(False))
-    return both.select("digest", F.when(earlier, F.col("earlier_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", earlier.alias("earlier"))
+    return both.select("digest", F.when(earlier, F.col("earlier_id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size", earlier.alias("earlier"), *others)
 
 
 def _append(fresh: DataFrame, index: str) -> None:
@@ -99,15 +100,23 @@ def compact(spark: SparkSession, index: str, table: str, path: str | None = None
     return table
 
 
-def distinct_rows(docs: DataFrame, row_key: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key) of exactly one row of each text, that with the largest id: of equal ids too, and of null ids if there is no other.
+def distinct_rows(docs: DataFrame, row_key: list[str], index: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key) of exactly one row of each text that is not in ``index``, that with the largest id: of equal ids too, and of null ids if there is no other.
 
-    Found by a pre-aggregated maximum, with no join.
+    As in ``deduplicate``, the distinct digests meet the index in its sort-merge join and the
+    new ones are appended.  Without ``index`` that is one of its own, which the catalog does not keep.
     """
+    spark = docs.sparkSession
+    own = None if index else create_index(spark, f"digest_index_{uuid.uuid4().hex}", fresh_path(spark, "digest-index"))
+    index = index or own
     rank = F.struct(F.col(id_col).isNotNull(), F.col(id_col), *row_key)
-    rows = docs.select(_digest(F.col(text_col)).alias("digest"), rank.alias("rank"))
-    best = rows.groupBy("digest").agg(F.max("rank").alias("rank"))
-    return best.select(*[F.col("rank")[c].alias(c) for c in row_key])
+    rows = docs.select(_digest(F.col(text_col)).alias("digest"), F.col(id_col).cast("long").alias("doc_id"), rank.alias("rank"))
+    groups = materialise(settle(rows, spark.table(index), _buckets(spark, index), F.max("rank").alias("rank")), "digest-groups")
+    fresh = groups.filter(~F.col("earlier"))
+    _append(fresh.select("digest", "keep_id"), index)
+    if own:
+        spark.sql(f"DROP TABLE {own}")  # its files stay until the shared folder goes
+    return fresh.select(*[F.col("rank")[c].alias(c) for c in row_key])
 
 
 def deduplicate_once(docs: DataFrame) -> DataFrame:

@@ -266,3 +266,28 @@ def test_dense_anchor_finds_every_component():
     root = np.arange(700)
     root[a] = b
     assert len(np.unique(label)) == 3 and all(len(np.unique(label[root == r])) == 1 for r in np.unique(root)) and len(np.unique(root)) == 3
+
+
+def test_rows_of_a_stage_meet_the_index(spark):
+    index = exact_dedup.create_index(spark, "stage_index", buckets=4)
+    schema = "doc_id long, text string, k int"
+    first = spark.createDataFrame([(1, "a", 0), (2, "A", 1), (2, "a", 2), (None, "c", 3)], schema)
+    later = spark.createDataFrame([(9, "a", 4), (3, "b", 5), (None, "C", 6)], schema)
+    assert sorted(r["k"] for r in exact_dedup.distinct_rows(first, ["k"], index).collect()) == [2, 3]
+    assert [r["k"] for r in exact_dedup.distinct_rows(later, ["k"], index).collect()] == [5]
+    assert spark.table(index).count() == 3
+    before = {t.name for t in spark.catalog.listTables()}
+    assert sorted(r["k"] for r in exact_dedup.distinct_rows(later, ["k"]).collect()) == [4, 5, 6]
+    assert {t.name for t in spark.catalog.listTables()} == before
+    spark.sql(f"DROP TABLE {index}")
+
+
+def test_the_exact_stage_goes_by_an_index(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    settle = exact_dedup.settle
+    monkeypatch.setattr(exact_dedup, "settle", lambda rows, known, *more: seen.append(known.columns) or settle(rows, known, *more))
+    docs = spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.exact_stage(spark, docs, "").collect()] == [2]
+    assert seen == [["digest", "keep_id"]]
