@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 RUN = ".parts-"
 COMMITTED = "committed"
@@ -30,23 +30,25 @@ class Written(WriterCommitMessage):
     manifest: str
 
 
-class PayloadWriter(DataSourceWriter):
+class PayloadWriter(DataSourceArrowWriter):
     def __init__(self, folder: str, run: str):
         self.folder, self.run = folder, os.path.join(folder, RUN + run)
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         os.makedirs(self.run, exist_ok=True)
-        manifest = uuid.uuid4().hex
+        manifest, n = uuid.uuid4().hex, 0
         with open(os.path.join(self.run, f"{manifest}.manifest"), "w", encoding="utf-8") as listed:
-            for n, row in enumerate(rows):
-                name = os.path.basename(row["output_name"] or "")
-                if not name:
-                    raise ValueError("an output name is empty")
-                project = os.path.basename(row["project"] or "")
-                part = f"{manifest}-{n}.part"
-                listed.write(json.dumps([part, os.path.join(project, name)]) + "\n")
-                with open(os.path.join(self.run, part), "wb") as f:
-                    f.write(row["payload"] or b"")
+            for batch in iterator:
+                for row in zip(*(batch.column(c) for c in ("project", "output_name", "payload")), strict=True):
+                    project, name, payload = (x.as_py() for x in row)
+                    name = os.path.basename(name or "")
+                    if not name:
+                        raise ValueError("an output name is empty")
+                    part = f"{manifest}-{n}.part"
+                    listed.write(json.dumps([part, os.path.join(os.path.basename(project or ""), name)]) + "\n")
+                    with open(os.path.join(self.run, part), "wb") as f:
+                        f.write(payload or b"")
+                    n += 1
         return Written(manifest)
 
     def commit(self, messages: list[Written | None]) -> None:

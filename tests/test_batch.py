@@ -267,3 +267,16 @@ def test_plan_stream(spark, tmp_path):
     writer = plan_stream(stream, lambda: done, lambda df, _: planned.extend(r["file_name"] for r in df.collect()))
     writer.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert planned == ["a.jpg"]
+
+
+def test_settings_files_are_not_listed_by_the_driver(spark, tmp_path, monkeypatch):
+    from foliomill.sources import scan
+
+    (tmp_path / "sub.cfg").mkdir()
+    for name, content in (("a.cfg", b"x\r\ny"), ("b.cfg", b"\xff"), (".c.cfg", b"no"), ("d.txt", b"no"), ("sub.cfg/e", b"z"), ("f g%20.cfg", b"")):
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(scan, "_exists", lambda *_: pytest.fail("listed by the driver"))
+    for start in ("", "file:"):
+        found = scan.scan_configs(spark, f"{start}{tmp_path}/*.cfg").collect()
+        assert {tuple(r) for r in found} == {(f"file:{tmp_path}/{n}", *x) for n, x in (("a.cfg", ("x\ny", None)), ("b.cfg", ("", "not UTF-8")), ("sub.cfg/e", ("z", None)), ("f g%20.cfg", ("", None)))}
+    assert scan.scan_configs(spark, f"{tmp_path}/none/*.cfg").count() == 0
