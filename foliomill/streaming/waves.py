@@ -23,41 +23,50 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 class Waves(StatefulProcessor):
-    """State of an output: the pages that wait, the one that runs, and the one that succeeded."""
+    """State of an output: the pages that wait, and in one value the page that runs, whether one succeeded and whether any waits.
+
+    Every use of state is a call to the executor, so what waits is looked at only if there
+    is any; an output of one page never has.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getMapState("waiting", "file_name string", "held boolean")
-        self.running = handle.getValueState("running", "file_name string")
-        self.done = handle.getValueState("done", "file_name string")
+        self.state = handle.getValueState("state", "running string, done boolean, held boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         actions: list[tuple[str, str]] = []
-        done = self.done.exists()
-        running = self.running.get()[0] if self.running.exists() else None
+        before = self.state.get() or (None, False, False)
+        running, done, held = before
+        new: set[str] = set()
         for batch in rows:
             for name, kind in zip(batch["file_name"], batch["kind"], strict=True):
                 if kind == PAGE:
                     if done:
                         actions.append((name, SKIP))
                     elif name != running:
-                        self.waiting.updateValue((name,), (True,))
+                        new.add(name)
                 elif name == running:
                     running = None
-                    if kind == SUCCESS:
-                        done = True
-                        self.done.update((name,))
-        held = sorted(k[0] for k in self.waiting.keys())  # noqa: SIM118
-        if done:
-            actions += [(name, SKIP) for name in held]
-            self.waiting.clear()
-        elif running is None and held:
-            running = held[0]
-            self.waiting.removeKey((running,))
-            actions.append((running, RUN))
-        if running is None:
-            self.running.clear()
-        else:
-            self.running.update((running,))
+                    done = done or kind == SUCCESS
+        if done or running is None:
+            old = {k[0] for k in self.waiting.keys()} if held else set()  # noqa: SIM118
+            names = sorted(old | new)
+            if done:
+                actions += [(name, SKIP) for name in names]
+                if held:
+                    self.waiting.clear()
+                new, held = set(), False
+            elif names:
+                running, held = names[0], len(names) > 1
+                actions.append((running, RUN))
+                if running in old:
+                    self.waiting.removeKey((running,))
+                new -= old | {running}
+        for name in new:
+            self.waiting.updateValue((name,), (True,))
+        held = held or bool(new)
+        if (running, done, held) != tuple(before):
+            self.state.update((running, done, held))
         if actions:
             yield pd.DataFrame([(*key, *a) for a in actions], columns=["project", "output_name", "file_name", "action"])
 

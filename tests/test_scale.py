@@ -284,3 +284,44 @@ def test_violations_by_setting_do_not_copy_texts(spark, monkeypatch):
         assert {tuple(r) for r in bad.collect()} == {(1, "b", "<b>", True, True), (5, "a", "c", True, False)}
         copied = next(line for line in bad._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line)
         assert "source#" not in copied and "target#" not in copied.split("explode")[0]
+
+
+def test_an_output_of_one_page_costs_few_calls_to_state():
+    import pandas as pd
+
+    from foliomill.streaming import waves
+
+    class State:
+        def __init__(self):
+            self.value, self.map, self.calls = None, {}, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return {
+                "get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda v: setattr(self, "value", v), "clear": lambda: (setattr(self, "value", None), self.map.clear()),
+                "keys": lambda: iter(list(self.map)), "updateValue": self.map.__setitem__, "removeKey": self.map.pop,
+            }[name]
+
+    made = []
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            made.append(State())
+            return made[-1]
+
+        getMapState = getValueState  # noqa: N815
+
+    def run(w, *events):
+        return [tuple(r)[2:] for x in w.handleInputRows(("p", "a"), iter([pd.DataFrame(events, columns=["file_name", "kind"])]), None) for r in x.itertuples(index=False)]
+
+    one = waves.Waves()
+    one.init(Handle())
+    assert run(one, ("1", "page")) == [("1", "run")] and run(one, ("1", "success")) == []
+    assert sum(s.calls for s in made) <= 4
+    more = waves.Waves()
+    more.init(Handle())
+    assert run(more, ("2", "page"), ("1", "page"), ("3", "page")) == [("1", "run")]
+    assert run(more, ("0", "page"), ("1", "failed"), ("1", "failed")) == [("0", "run")]
+    assert run(more, ("0", "failed")) == [("2", "run")] and run(more, ("3", "page")) == []
+    assert run(more, ("2", "success"), ("9", "page")) == [("9", "skip"), ("3", "skip")]
+    assert run(more, ("4", "page")) == [("4", "skip")]
