@@ -32,6 +32,8 @@ PART_BYTES = 2 << 20
 FILTER_BITS = 1 << 28
 #: Bytes of text whose places are looked at together.
 BLOCK = 1 << 19
+#: Bytes of found runs that a worker passes on together (one longer run goes alone).
+RUN_BYTES = 4 << 20
 #: A place is tried for long terms only if its first so many bytes begin one.
 GATES = [8 << i for i in range(20)]
 
@@ -103,17 +105,18 @@ def _terms(part: Part) -> Terms:
 
 
 def terms_of(glossary: DataFrame) -> Part | DataFrame:
-    """The terms (original, translation), broadcast if they are of bounded size, as a stored table if not.
+    """The terms (original, translation), broadcast if they are of bounded size, as a stored table with a number for each if not.
 
     Empty and null terms are left out; of a term given twice the largest translation counts.
     """
     spark = glossary.sparkSession
     translation = F.max("translation") if "translation" in glossary.columns else F.lit(None).cast("string")
-    terms = stored(glossary.filter("original <> ''").groupBy("original").agg(translation.alias("translation")), "terms")
+    unlike = glossary.filter("original <> ''").groupBy("original").agg(translation.alias("translation"))
+    terms = stored(unlike.withColumn("number", F.monotonically_increasing_id()), "terms")
     size = terms.agg(F.coalesce(F.sum(F.octet_length("original") + F.coalesce(F.octet_length("translation"), F.lit(0))), F.lit(0))).first()[0]
     if size > 2 * PART_BYTES or terms.agg(F.coalesce(F.sum(F.octet_length("original")), F.lit(0))).first()[0] > PART_BYTES:
         return terms
-    return Part(uuid.uuid4().hex, spark.sparkContext.broadcast([(r[0], r[1]) for r in terms.toLocalIterator()]))
+    return Part(uuid.uuid4().hex, spark.sparkContext.broadcast([(r[0], r[1]) for r in terms.drop("number").toLocalIterator()]))
 
 
 class Hashes:
@@ -220,14 +223,23 @@ def filter_of(terms: DataFrame) -> Filter:
     return Filter(spark.sparkContext.broadcast(bits.view(np.uint8)), shift, lengths)
 
 
+def _pieces(value: np.ndarray, first: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs in pieces of ``RUN_BYTES``: terms within terms have more bytes in all than the text that holds them."""
+    ends, low = np.cumsum(length), 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - length[low] + RUN_BYTES, "right")))
+        yield value[low:high], first[low:high], length[low:high]
+        low = high
+
+
 def occurrences(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, at, length, original, translation) of every occurrence of a term, overlapping ones too; places in bytes."""
+    """(key, at, length, original, translation, number) of every occurrence of a term, overlapping ones too; places in bytes."""
     sent = filter_of(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, begins = _bytes_of(batch.column(1))
-            for value, first, length in sent.places(data, begins):
+            for value, first, length in (x for found in sent.places(data, begins) for x in _pieces(*found)):
                 ends = np.r_[0, np.cumsum(length)].astype(np.int32)
                 whole = data[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])]
                 runs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(whole.tobytes())])
@@ -334,24 +346,72 @@ def _put_in(body: bytes, taken: list[tuple[int, int, str | None]]) -> bytes:
     return b"".join([*pieces, body[free:]])
 
 
+def _walked(at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``one_pass`` over places in ascending order: which of them are taken.  Only those that reach into one another are looked at singly."""
+    taken = np.ones(len(at), bool)
+    inside = np.flatnonzero(at[1:] < np.maximum.accumulate(ends)[:-1]) + 1
+    free, last = 0, -1
+    for i in inside.tolist():
+        if last != i - 1:
+            free = ends[i - 1]  # nothing reaches into that one, so it is taken
+        taken[i] = at[i] >= free
+        if taken[i]:
+            free = ends[i]
+        last = i
+    return taken
+
+
+def _sums(found: pa.ListArray) -> list[np.ndarray]:
+    """(number, rows, occurrences) of the terms that the one-pass rule takes, of rows whose (at, length, number) are listed by place."""
+    flat = found.flatten()
+    at, length, number = (flat.field(name).to_numpy() for name in ("at", "length", "number"))
+    row = np.repeat(np.arange(len(found), dtype=np.int64), found.value_lengths().to_numpy())
+    place = (row << 32) + at
+    if not len(place):
+        return [place] * 3
+    longest = np.r_[place[1:] != place[:-1], True]  # a later one at the same place is longer
+    row, place, length, number = (x[longest] for x in (row, place, length, number))
+    taken = _walked(place, place + length)
+    row, number = row[taken], number[taken]
+    order = np.lexsort((row, number))
+    row, number = row[order], number[order]
+    term = np.r_[True, number[1:] != number[:-1]]
+    first = np.flatnonzero(term)
+    pair = term | np.r_[True, row[1:] != row[:-1]]
+    return [number[first], np.add.reduceat(pair, first, dtype=np.int64), np.diff(np.r_[first, len(number)])]
+
+
 def counted(df: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
-    """(original, rows, occurrences) of the terms that the one-pass rule takes somewhere in ``text``; added up in each batch first."""
-    sent = known = terms_of(glossary)
+    """(original, rows, occurrences) of all terms: how often the one-pass rule takes them in ``text``; added up in each batch first.
+
+    Of terms that are a table only numbers travel with the places found, and what they
+    come to meets the terms at the end.
+    """
+    known = terms_of(glossary)
     if isinstance(known, Part):
-        source = df.select(text)
+        listed, by = glossary.select("original").filter("original <> ''").distinct(), "original"
+        sums = df.select(text).mapInArrow(_count_by_automaton(known), "original string, n_rows long, n_times long")
     else:
-        sent = None
-        source = _by_row(df.select(text), text, known, ["original"])[1].select("found")
+        listed, by = known.select("original", "number"), "number"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _sums(batch.column(0))], ["number", "n_rows", "n_times"])
 
+        found = _by_row(df.select(text), text, known, ["number"])[1]
+        sums = found.select("found").mapInArrow(run, "number long, n_rows long, n_times long")
+    added = sums.groupBy(by).agg(F.sum("n_rows").alias("rows"), F.sum("n_times").alias("occurrences"))
+    zero = F.lit(0).cast("long")
+    return listed.join(added, by, "left").select("original", *(F.coalesce(c, zero).alias(c) for c in ("rows", "occurrences")))
+
+
+def _count_by_automaton(part: Part) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows_with, times = Counter(), Counter()
             for value in batch.column(0):
-                if sent:
-                    terms = _terms(sent)
-                    here = Counter(terms.pairs[i][0] for _, _, i in terms.taken(value.as_py() or ""))
-                else:
-                    here = Counter(x["original"] for _, _, x in _taken(value.as_py()))
+                terms = _terms(part)
+                here = Counter(terms.pairs[i][0] for _, _, i in terms.taken(value.as_py() or ""))
                 rows_with.update(here.keys())
                 times.update(here)
             names = list(times)
@@ -359,8 +419,7 @@ def counted(df: DataFrame, text: str, glossary: DataFrame) -> DataFrame:
                 [pa.array(names, pa.string()), pa.array([rows_with[x] for x in names], pa.int64()), pa.array([times[x] for x in names], pa.int64())], ["original", "n_rows", "n_times"]
             )
 
-    sums = source.mapInArrow(run, "original string, n_rows long, n_times long")
-    return sums.groupBy("original").agg(F.sum("n_rows").alias("rows"), F.sum("n_times").alias("occurrences"))
+    return run
 
 
 def violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:

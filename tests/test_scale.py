@@ -3,6 +3,8 @@
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +260,43 @@ def test_more_terms_take_no_more_workers(spark, monkeypatch, run):
     assert len(steps) == 1 and max(steps) <= 2 and "Join" in plan
 
 
+def test_coverage_moves_numbers_and_reads_the_glossary_once(spark, monkeypatch):
+    monkeypatch.setattr(terms, "PART_BYTES", 20)
+    many = spark.createDataFrame([(f"term{i}",) for i in range(30)] + [("",), (None,), ("term7",)], "original string")
+    rows = spark.createDataFrame([(1, "term7 term11 term7"), (2, None), (3, "term1 term7")], "id long, text string")
+    found = textrules.glossary_coverage(rows, "text", many)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    listed = next(line for line in plan.splitlines() if "struct(at" in line)
+    assert "number" in listed and "original" not in listed and "LogicalRDD" not in plan and "LocalRelation" not in plan
+    seen = {r["original"]: (r["rows"], r["occurrences"]) for r in found.collect()}
+    assert seen == {f"term{i}": (0, 0) for i in range(30)} | {"term7": (2, 3), "term11": (1, 1), "term1": (1, 1)}
+
+
+def test_found_runs_are_passed_on_in_pieces(monkeypatch):
+    monkeypatch.setattr(terms, "RUN_BYTES", 100)
+    length = np.r_[np.arange(1, 60), 500, 1, 99, 100, 3]  # terms within terms, and one longer than a piece
+    runs = [np.arange(len(length)), np.arange(len(length)) * 2, length]
+    pieces = list(terms._pieces(*runs))
+    assert all(x.sum() <= 100 or len(x) == 1 for _, _, x in pieces)
+    assert all((np.concatenate(x) == whole).all() for x, whole in zip(zip(*pieces), runs, strict=True))
+    assert list(terms._pieces(*(x[:0] for x in runs))) == []
+
+
+def test_sums_of_a_batch_by_brute_force():
+    rng = random.Random(5)
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("length", pa.int32()), ("number", pa.int64())]))
+    for skip in [0, 1] * 300:
+        rows = [[{"at": a, "length": n, "number": rng.randint(0, 3)} for a, n in sorted({(rng.randint(0, 12), rng.randint(1, 5)) for _ in range(rng.randint(0, 9))})] for _ in range(rng.randint(skip, 4))]
+        wanted = {}
+        for row in rows[skip:]:
+            here = [x["number"] for _, _, x in terms.one_pass({x["at"]: (x["length"], x) for x in row})]
+            for n in set(here):
+                times = wanted.get(n, (0, 0))
+                wanted[n] = (times[0] + 1, times[1] + here.count(n))
+        got = terms._sums(pa.array(rows, kind).slice(skip))
+        assert {n: (r, k) for n, r, k in zip(*(x.tolist() for x in got), strict=True)} == wanted
+
+
 def test_settings_do_not_move_rows_or_make_tables_for_each_piece(spark, monkeypatch):
     glossary = spark.createDataFrame([("x", "a.", "<1>"), ("x", "a", "<2>"), ("y", "b]", "<3>"), (None, "c", "no")], "config_id string, original string, translation string")
     rows = [(1, "x", "a.ab]"), (2, "y", "a.ab]"), (3, None, "cab"), (4, "z", "a"), (5, "x", None)]
